@@ -54,3 +54,12 @@ def words_of(text: Column) -> Column:
 def id_and_text(docs: DataFrame) -> DataFrame:
     """The two columns that a text operator reads, whatever else ``docs`` has; the text as UTF-8 bytes, null as empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_or_empty(), "UTF-8").alias("text"))
+
+
+#: Ids below this number are broadcast (16 MB), more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A one-column frame of ids, marked for broadcast only if it has been counted to have fewer than ``most`` rows."""
+    return F.broadcast(ids) if ids.limit(most).count() < most else ids

@@ -101,18 +101,17 @@ def vote(text: str, kind: int, start: int, end: int, base: bool, failed: bool) -
     span = text[start:end]
     digits = re.sub(r"[^0-9]", "", span)
     ending = re.split(r"[ .)\]}]", span)[-1].lower()
-    shape = {
-        0: 2 <= len(ending) <= 10 and ending.isalpha(),
-        1: all(p == "0" or not p.startswith("0") for p in re.split("[.:]", span)),
-        2: len(digits) in (15, 16) and bool(re.fullmatch(r"[0-9]+|[0-9]{4}(?:[ .-][0-9]{4}){3}", span)),
-        3: bool(re.search(r"[0-9]{3}\)?[ .-][0-9]{3}[ .-]?[0-9]{4}$|(?:[0-9]{2}[ .-]){3,}[0-9]{2}$", span)),
-    }[kind]
-    known = {
-        0: ending in ENDINGS,
-        1: ":" in span or 1 <= int(span.split(".")[0][:9]) <= 223,
-        2: digits[:1] in ("3", "4", "5", "6"),
-        3: any(digits.lstrip("0").startswith(c) for c in COUNTRY_CODES) if span[:1] == "+" or span.startswith("00") else None,
-    }[kind]
+    known: bool | None
+    if kind == 0:
+        shape, known = 2 <= len(ending) <= 10 and ending.isalpha(), ending in ENDINGS
+    elif kind == 1:
+        shape = all(p == "0" or not p.startswith("0") for p in re.split("[.:]", span))
+        known = ":" in span or 1 <= int(span.split(".")[0][:9]) <= 223
+    elif kind == 2:
+        shape, known = len(digits) in (15, 16) and bool(re.fullmatch(r"[0-9]+|[0-9]{4}(?:[ .-][0-9]{4}){3}", span)), digits[:1] in ("3", "4", "5", "6")
+    else:
+        shape = bool(re.search(r"[0-9]{3}\)?[ .-][0-9]{3}[ .-]?[0-9]{4}$|(?:[0-9]{2}[ .-]){3,}[0-9]{2}$", span))
+        known = any(digits.lstrip("0").startswith(c) for c in COUNTRY_CODES) if span[:1] == "+" or span.startswith("00") else None
     before = text[max(0, start - 32) : start].lower()
     context = 1 if any(c in before for c in CUES[kind]) else 0 if any(c in before for c in ANTI_CUES) else None
     free = not (start and _ALNUM.match(text[start - 1])) and not (end < len(text) and _ALNUM.match(text[end]))
@@ -245,5 +244,5 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = pii_spans(documents(spark, sf_dir)).withColumn("base", F.filter("spans", lambda s: s["base"]))
     names = F.array(*map(F.lit, KINDS))
     listing = lambda column: F.array_join(F.transform(column, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.size(F.expr(f"filter(base, s -> s.kind = {k})")).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return spans.select("doc_id", *counts, F.sha2(listing("base"), 256).alias("base_sha256"), listing("spans").alias("spans"))
