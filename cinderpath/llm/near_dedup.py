@@ -11,8 +11,10 @@ A document's set holds the distinct 2-word shingles of its lower-cased words (A-
 3. Stars: the members of a key's bucket are compared with its smallest id only. Buckets are formed by a partial aggregation and a join
    that adaptive execution splits, never by collecting a bucket.
 4. Rest: what the stars leave in different components of one bucket is compared across those components, so that no candidate
-   link between different texts is lost. In a large group of near copies the stars have joined nearly all members, so this step
-   sees the few others.
+   link between different texts is lost: the rows outside a bucket's largest component with all its rows. Two exact bounds keep
+   this small in a large group of near copies. A shingle that no other open document has can't be in an intersection, so with s
+   shared ones of n an intersection is at most m = min(s_a, s_b) and the similarity at most m / (n_a + n_b - m). And a pair is
+   emitted in one bucket only, that of its first two agreeing collections.
 5. Every candidate pair that passes the size bound is verified on the full sets (as sorted 64-bit shingle hashes).
 6. Components: smallest labels are passed along links, with pointer jumping, each round written to the shared folder.
 
@@ -24,10 +26,11 @@ the smallest id; an empty table gives an empty result; other columns are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, id_and_text, sized, written
@@ -99,10 +102,37 @@ def signatures(docs: DataFrame, halves: int = HALVES, width: int = WIDTH, size:
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, halves array<long>")
 
 
-def table_keys(classes: DataFrame, halves: int) -> DataFrame:
-    """key, id: the tensored keys of each class, one for each pair of its collections."""
-    pairs = f"flatten(transform(sequence(0, {halves - 2}), i -> transform(sequence(i + 1, {halves - 1}), j -> xxhash64(i, j, halves[i], halves[j]))))"
-    return classes.select(F.explode(F.expr(pairs)).alias("key"), "id")
+def keys_of(halves: int) -> Column:
+    """The tensored keys of a class: one for each pair of its collections, in the order of ``combinations``."""
+    return F.expr(f"flatten(transform(sequence(0, {halves - 2}), i -> transform(sequence(i + 1, {halves - 1}), j -> xxhash64(i, j, halves[i], halves[j]))))")
+
+
+def across_components(placed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, halves: int) -> DataFrame:
+    """Pairs (a, b), a < b, of one bucket and different components that no bound excludes; placed: key, id, component."""
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column("shingles")]
+            ids = np.repeat(batch.column("id").to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], ["id", "shingle"])
+
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
+    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("rows", "component")).alias("main")).where("parts > 1").select("key", "main")
+    rows = written(placed.join(mixed, "key"), "open-buckets")
+    ids = rows.select("id").distinct()
+    once = sets.join(ids, "id").mapInArrow(exploded, "id long, shingle long").groupBy("shingle").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    own = once.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    facts = ids.join(classes.select("id", "n", "halves"), "id").join(own, "id", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).where(f"100 * s >= {percent} * n")
+    full = rows.join(facts.select("id", "n", "s", "halves"), "id").withColumn("at", F.array_position(keys_of(halves), F.col("key")) - 1)
+    first, second = (F.array(*[F.lit(p[k]) for p in combinations(range(halves), 2)])[F.col("at").cast("int")] for k in (0, 1))
+    full = written(full.withColumns({"i": first, "j": second}).drop("at"), "open-rows")
+    columns = ("id", "component", "n", "s", "halves")
+    y = full.select("key", *[F.col(c).alias(c + "_y") for c in columns])
+    x = full.where("component <> main").select("key", "i", "j", *[F.col(c).alias(c + "_x") for c in columns])
+    bound = f"100 * least(s_x, s_y) >= {percent} * (n_x + n_y - least(s_x, s_y))"
+    here = "NOT exists(sequence(0, j), k -> k <> i AND k <> j AND halves_x[k] = halves_y[k])"
+    met = x.join(y, "key").where(f"component_x <> component_y AND {bound} AND {here}")
+    return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -158,7 +188,7 @@ def near_groups(docs: DataFrame, percent: int = 80, halves: int = HALVES, width:
     classes = written(
         signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves")), "classes"
     )
-    keys = table_keys(classes, halves)
+    keys = classes.select(F.explode(keys_of(halves)).alias("key"), "id")
     shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
     members = written(keys.join(shared, "key"), "buckets")
     sets = written(shingle_sets(docs, members.select("id").distinct(), size), "shingle-sets")
@@ -167,10 +197,7 @@ def near_groups(docs: DataFrame, percent: int = 80, halves: int = HALVES, width:
     links = written(verified(stars, sizes, sets, percent), "links")
     joined = components(links, "stars")
     placed = members.join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-    open_rows = written(placed.join(mixed, "key"), "open-buckets")
-    x, y = (open_rows.select("key", F.col("id").alias(i), F.col("component").alias(c)) for i, c in (("a", "ca"), ("b", "cb")))
-    across = x.join(y, "key").where("a < b AND ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    across = across_components(placed, classes, sets, percent, halves).join(stars, ["a", "b"], "left_anti")
     more = written(verified(across, sizes, sets, percent), "links")
     groups = joined if more.isEmpty() else components(links.union(more), "all")
     named = classes.select("set_hash", "id").join(groups, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
