@@ -8,15 +8,16 @@ A document's set holds the distinct 2-word shingles of its lower-cased words (A-
 2. Tensored banding: a table key is a *pair* of collections, so 14 collections of 3 minhashes make 91 tables of 6 minhashes from 42
    minhash computations instead of 546. Two sets with a similarity of 0.8 share a key unless fewer than 2 of 14 collections agree, that
    is with probability 0.9993; of 0.85 with 0.99996. What is missed there is in most groups still linked through a third document.
-3. Stars: the members of a key's bucket are compared with its smallest id only. Buckets are formed by a partial aggregation and a join
-   that adaptive execution splits, never by collecting a bucket.
-4. Rest: what the stars leave in different components of one bucket is compared across those components, so that no candidate
-   link between different texts is lost: the rows outside a bucket's largest component with all its rows. Two exact bounds keep
-   this small in a large group of near copies. A shingle that no other open document has can't be in an intersection, so with s
-   shared ones of n an intersection is at most m = min(s_a, s_b) and the similarity at most m / (n_a + n_b - m). And a pair is
-   emitted in one bucket only, that of its first two agreeing collections.
-5. Every candidate pair that passes the size bound is verified on the full sets (as sorted 64-bit shingle hashes).
-6. Components: smallest labels are passed along links, with pointer jumping, each round written to the shared folder.
+3. First stars: each class is compared with the smallest id of all buckets it is in, one pair for each class. Buckets are formed by a
+   partial aggregation and a join that adaptive execution splits, never by collecting a bucket.
+4. Second stars: in each bucket whose rows are still in several components, the rows outside its largest component are compared
+   with a pivot, the member of that component with the fewest shingles of its own - in a family of copies the least edited one.
+5. Rest: the rows that are still outside are compared with all rows of the bucket, so that no candidate link between different texts
+   is lost. An exact bound leaves few of these pairs: two sets share at most what they share inside the pivot's set - known from
+   bit masks over the pivot's shingles - and the smaller of their parts outside it. A pair is emitted in one bucket only, that
+   of its first two agreeing collections.
+6. Every candidate pair that passes the size bound is verified on the full sets (as sorted 64-bit shingle hashes).
+7. Components: smallest labels are passed along links, with pointer jumping, each round written to the shared folder.
 
 Defined cases: a text without words has an empty set, is linked with nothing and kept; a text of one word has one shingle, the word; a
 row with a null id is linked with nothing and kept, its component_id null; rows that share an id are one document; ties go to
@@ -107,31 +108,65 @@ def keys_of(halves: int) -> Column:
     return F.expr(f"flatten(transform(sequence(0, {halves - 2}), i -> transform(sequence(i + 1, {halves - 1}), j -> xxhash64(i, j, halves[i], halves[j]))))")
 
 
-def across_components(placed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, halves: int) -> DataFrame:
-    """Pairs (a, b), a < b, of one bucket and different components that no bound excludes; placed: key, id, component."""
+def open_rows(members: DataFrame, components: DataFrame) -> DataFrame:
+    """key, id, component, main (the bucket's largest component): the rows of buckets that hold several components."""
+    placed = members.join(components, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
+    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("rows", "component")).alias("main")).where("parts > 1").select("key", "main")
+    return written(placed.join(mixed, "key"), "open-buckets")
+
+
+def own_shingles(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, own: the number of shingles that no other open class has."""
 
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column("shingles")]
             ids = np.repeat(batch.column("id").to_numpy(), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], ["id", "shingle"])
 
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
-    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("rows", "component")).alias("main")).where("parts > 1").select("key", "main")
-    rows = written(placed.join(mixed, "key"), "open-buckets")
-    ids = rows.select("id").distinct()
-    once = sets.join(ids, "id").mapInArrow(exploded, "id long, shingle long").groupBy("shingle").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    own = once.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-    facts = ids.join(classes.select("id", "n", "halves"), "id").join(own, "id", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).where(f"100 * s >= {percent} * n")
-    full = rows.join(facts.select("id", "n", "s", "halves"), "id").withColumn("at", F.array_position(keys_of(halves), F.col("key")) - 1)
-    first, second = (F.array(*[F.lit(p[k]) for p in combinations(range(halves), 2)])[F.col("at").cast("int")] for k in (0, 1))
+    exploded = sets.join(rows.select("id").distinct(), "id").mapInArrow(run, "id long, shingle long")
+    once = exploded.groupBy("shingle").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    return written(once.groupBy("id").agg(F.count(F.lit(1)).alias("own")), "own-shingles")
+
+
+def with_pivots(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """``rows`` with each bucket's pivot."""
+    central = rows.where("component = main").join(own, "id", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("own", F.lit(0)).alias("own"), "id")).alias("p"))
+    return rows.join(central.select("key", F.col("p.id").alias("pivot")), "key")
+
+
+def masks(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, pivot, n, outside, bits: how each open class lies to the pivots of its buckets; a bit for each shingle of the pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x, y in zip(batch.column("shingles"), batch.column("center"), strict=True):
+                s, center = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                inside = np.isin(center, s, assume_unique=True)
+                bits = np.packbits(np.pad(inside, (0, -len(inside) % 64))).view(np.int64)
+                found.append((len(s), len(s) - int(inside.sum()), bits.tolist()))
+            columns = zip(*found, strict=True) if found else [[]] * 3
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("pivot"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "pivot", "n", "outside", "bits"])
+
+    pairs = rows.select("id", "pivot").distinct().join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("center")), "pivot")
+    return pairs.select("id", "pivot", "shingles", "center").mapInArrow(run, "id long, pivot long, n long, outside long, bits array<long>")
+
+
+def across_components(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, halves: int) -> DataFrame:
+    """Pairs (a, b), a < b, of one bucket and different components that the bound doesn't exclude; rows: with pivots."""
+    full = rows.join(masks(rows, sets), ["id", "pivot"]).join(classes.select("id", "halves"), "id")
+    full = full.withColumn("at", (F.array_position(keys_of(halves), F.col("key")) - 1).cast("int"))
+    first, second = (F.get(F.array(*[F.lit(p[k]) for p in combinations(range(halves), 2)]), F.col("at")) for k in (0, 1))
     full = written(full.withColumns({"i": first, "j": second}).drop("at"), "open-rows")
-    columns = ("id", "component", "n", "s", "halves")
-    y = full.select("key", *[F.col(c).alias(c + "_y") for c in columns])
+    columns = ("id", "component", "n", "outside", "bits", "halves")
     x = full.where("component <> main").select("key", "i", "j", *[F.col(c).alias(c + "_x") for c in columns])
-    bound = f"100 * least(s_x, s_y) >= {percent} * (n_x + n_y - least(s_x, s_y))"
+    y = full.select("key", *[F.col(c).alias(c + "_y") for c in columns])
+    most = "(aggregate(zip_with(bits_x, bits_y, (p, q) -> CAST(bit_count(p & q) AS BIGINT)), 0L, (s, v) -> s + v) + least(outside_x, outside_y))"
     here = "NOT exists(sequence(0, j), k -> k <> i AND k <> j AND halves_x[k] = halves_y[k])"
-    met = x.join(y, "key").where(f"component_x <> component_y AND {bound} AND {here}")
+    met = x.join(y, "key").where(f"component_x <> component_y AND {here} AND {100 + percent} * {most} >= {percent} * (n_x + n_y)")
     return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
@@ -193,13 +228,17 @@ def near_groups(docs: DataFrame, percent: int = 80, halves: int = HALVES, width:
     members = written(keys.join(shared, "key"), "buckets")
     sets = written(shingle_sets(docs, members.select("id").distinct(), size), "shingle-sets")
     sizes = classes.select("id", "n")
-    stars = written(members.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    stars = members.where("id > hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
     links = written(verified(stars, sizes, sets, percent), "links")
-    joined = components(links, "stars")
-    placed = members.join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    across = across_components(placed, classes, sets, percent, halves).join(stars, ["a", "b"], "left_anti")
+    groups = components(links, "first")
+    rows = open_rows(members, groups)
+    own = own_shingles(rows, sets)
+    second = with_pivots(rows, own).where("component <> main").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
+    links = written(links.union(verified(second, sizes, sets, percent)), "links")
+    groups = components(links, "second")
+    across = across_components(with_pivots(open_rows(members, groups), own), classes, sets, percent, halves)
     more = written(verified(across, sizes, sets, percent), "links")
-    groups = joined if more.isEmpty() else components(links.union(more), "all")
+    groups = groups if more.isEmpty() else components(links.union(more), "all")
     named = classes.select("set_hash", "id").join(groups, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
     found = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(named, "set_hash", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
