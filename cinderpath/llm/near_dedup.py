@@ -182,7 +182,13 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return wanted.mapInArrow(run, "id long, shingles binary")
 
 
-def verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes allow the similarity."""
+    n = lambda side: sizes.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"))
+    return pairs.join(n("a"), "a").join(n("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,9 +203,7 @@ def verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int)
                 good.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    n = lambda side: sizes.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"))
-    fits = pairs.join(n("a"), "a").join(n("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
-    with_sets = fits.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
+    with_sets = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
     return with_sets.select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -229,15 +233,15 @@ def near_groups(docs: DataFrame, percent: int = 80, halves: int = HALVES, width:
     sets = written(shingle_sets(docs, members.select("id").distinct(), size), "shingle-sets")
     sizes = classes.select("id", "n")
     stars = members.where("id > hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
-    links = written(verified(stars, sizes, sets, percent), "links")
+    links = written(verified(fitting(stars, sizes, percent), sets, percent), "links")
     groups = components(links, "first")
     rows = open_rows(members, groups)
     own = own_shingles(rows, sets)
     second = with_pivots(rows, own).where("component <> main").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
-    links = written(links.union(verified(second, sizes, sets, percent)), "links")
+    links = written(links.union(verified(fitting(second, sizes, percent), sets, percent)), "links")
     groups = components(links, "second")
     across = across_components(with_pivots(open_rows(members, groups), own), classes, sets, percent, halves)
-    more = written(verified(across, sizes, sets, percent), "links")
+    more = written(verified(across, sets, percent), "links")
     groups = groups if more.isEmpty() else components(links.union(more), "all")
     named = classes.select("set_hash", "id").join(groups, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
     found = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(named, "set_hash", "left")
