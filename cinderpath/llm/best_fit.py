@@ -19,6 +19,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -62,13 +63,19 @@ class WordEncoder:
             yield b"".join(map(self.known.__getitem__, words))
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker."""
+    return WordEncoder(path)
+
+
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: one row per piece of every document."""
     path = path or default_path()
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = word_encoder(path)
         for batch in batches:
             rows: list[tuple] = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_batch(batch.column("text").to_pylist()), strict=True):

@@ -40,7 +40,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _ODD_BYTES = bytes([9, 11, 12, 13, 28, 29, 30, 31])
 _ODD = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 _DOUBLE = (b"  ", b"\n\n", b" \n", b"\n ")
-CACHE = 800_000
+CACHE = 500_000
 
 
 def default_path() -> str:
@@ -69,30 +69,33 @@ class Merges:
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: token for token, i in self.special.items()}
         self.single = {b: vocab[c] for c, b in chars.items()}
-        self.ranks = {}
+        self.ranks, self.merged = {}, {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.ranks[vocab[a], vocab[b]] = rank
+            self.merged[rank] = vocab[a + b]
+        self.known: dict[bytes, list[int]] = {}  # pre-tokens merged before, kept while there is room
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile(b"(" + b"|".join(map(regex.escape, self.special)) + b")")
 
     def merge(self, token: bytes) -> list[int]:
-        """Merges the best-ranked pair, all its places from the left, until no pair has a rank."""
-        ids, ranks = [*map(self.single.__getitem__, token)], self.ranks
-        while len(ids) > 1:
-            best = min((ranks[p] + p for p in zip(ids, ids[1:], strict=False) if p in ranks), default=None)
-            if best is None:
-                break
-            _, new, a, b = best
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if ids[i] == a and i + 1 < n and ids[i + 1] == b:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        """Merges the pair of the best rank, the leftmost of equal ones, until no pair has a rank."""
+        ids = self.known.get(token)
+        if ids is not None:
+            return ids
+        ids, rank_of, none = [*map(self.single.__getitem__, token)], self.ranks.get, 1 << 30
+        ranks = [rank_of(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)
+            ids[at : at + 2] = [self.merged[best]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank_of((ids[at - 1], ids[at]), none)
+            if at < len(ranks):
+                ranks[at] = rank_of((ids[at], ids[at + 1]), none)
+        if len(self.known) >= CACHE // 2:
+            self.known.clear()
+        self.known[token] = ids
         return ids
 
     def encode(self, text: bytes) -> list[int]:
@@ -101,10 +104,17 @@ class Merges:
             if piece in self.special:
                 out.append(self.special[piece])
             else:
-                for token in self.pattern.findall(piece.decode("utf-8", "replace")):
+                for token in self.pretokens(piece.decode("utf-8", "replace")):
                     out += self.merge(token.encode())
         return out
 
+    def pretokens(self, text: str) -> list[str]:
+        """The pieces of the pattern. A Latin word with at most one space before it and marks behind it needs no search."""
+        head = text.rstrip(".,;:!?")
+        if head.lstrip(" ").isalpha() and head.count(" ") <= 1 and max(head) < "\u0250":
+            return [head, text[len(head) :]] if len(head) < len(text) else [head]
+        return self.pattern.findall(text)
+
 
 @lru_cache(maxsize=2)
 def merges(path: str) -> Merges:
@@ -227,6 +237,12 @@ class Words(dict):
         return out
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(path: str, lexicon: bytes) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(path, lexicon)
+
+
 class Encoder:
     def __init__(self, path: str, lexicon: bytes | None = None):
         self.coder = merges(path)
@@ -300,7 +316,7 @@ def _encoded(docs: DataFrame, path: str, min_share: float, schema: str, of, kind
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, lexicon.value)
+        encoder = shared_encoder(path, lexicon.value)
         for batch in batches:
             made = []
             for text in batch.column("text"):
