@@ -1,0 +1,223 @@
+"""Each operator on a small table of hard rows, against brute force where SQL can't express it."""
+
+import hashlib
+import re
+import struct
+import zlib
+from collections import Counter
+from math import log10
+
+import pytest
+
+import corpus_pipeline
+from cinderpath.llm import best_fit, bpe_lexicon, exact_dedup, license_scan, near_dedup, pii, quality, suffix_tree_lm, toxicity, url_filter
+
+BASE = " ".join(f"word{i} and more{i % 7}" for i in range(60))
+TEXTS = [
+    (1, BASE), (2, BASE.replace("word5 ", "changed ")), (3, BASE.replace(" ", "\n")), (4, None), (5, ""), (6, "one"), (7, "One"), (8, BASE), (8, BASE), (None, BASE),
+    (9, "mail me at a.b@mail.example.com or +1 (555) 123-4567 x 4111 1111 1111 1111 and 10.0.0.300 and 10.0.0.1 "), (10, "é " * 3000 + "ünï 漢字 <|endoftext|> end"), (11, "  tabs\tand  spaces \n\n"),
+    (12, "Licensed under CC BY-NC 4.0. All rights reserved, all rights reserved"), (13, "you are such an id-iot " * 4), (14, "released under the MIT licence"), (15, "the the the the the the"), (16, "a" * 20000),
+]
+SCHEMA = "doc_id long, text string, lang string, label string, n long, md5 string, key string, score double"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "en", "x", 1, "m", "k", 0.5) for i, t in TEXTS], SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, 1, int(i == 13)) for i in (1, 2, 6, 9, 13, 14)] + [(None, None, None)], "doc_id long, quality int, toxic int")
+
+
+def rows(df):
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+def words(text):
+    return (text or "").encode().lower().split()
+
+
+def test_empty_tables(spark, nothing, labels):
+    for run in (exact_dedup.exact_dedup, near_dedup.near_groups, quality.judge, pii.pii_spans, license_scan.license_scan, bpe_lexicon.encode_documents, best_fit.best_fit_packing, suffix_tree_lm.suffix_tree_scores):
+        assert run(nothing).count() == 0, run
+    assert toxicity.toxicity(nothing, labels).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter.url_filter(pages, labels).count() == 0
+
+
+def test_exact(docs):
+    found = rows(exact_dedup.exact_dedup(docs))
+    assert len(found) == len(TEXTS)
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    for r in found:
+        assert any(r["text_sha256"] == hashlib.sha256(norm(t).encode()).hexdigest() for i, t in TEXTS if i == r["doc_id"])
+    by = {r["doc_id"]: r for r in found}
+    assert by[3]["keep_id"] == 1 and by[1]["group_size"] == 5 and not by[None]["kept"] and by[5]["keep_id"] == 4 and by[6]["kept"] and by[7]["kept"]
+
+
+def test_near(docs):
+    sets = {}
+    for i, t in TEXTS:
+        w = words(t)
+        if i is not None:
+            sets[i] = frozenset(zip(w, w[1:], strict=False)) if len(w) > 1 else frozenset([tuple(w)] if w else [])
+    parent = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    parent[a] = parent[b] = min(parent[a], parent[b])
+    for r in rows(near_dedup.near_groups(docs)):
+        if r["doc_id"] is None:
+            assert r["component_id"] is None and r["kept"]
+        else:
+            assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), parent[r["doc_id"]], parent[r["doc_id"]] == r["doc_id"])
+
+
+def test_large_near_group_keeps_every_link(spark):
+    """Copies with few and many edits, so that first stars don't settle the group."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(80):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 3, 6, 7, 8, 9, 12])):
+            w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts.append((i, " ".join(w)))
+    sets = {i: set(zip(t.split(), t.split()[1:], strict=False)) for i, t in texts}
+    parent = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if parent[a] != parent[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    parent[a] = parent[b] = min(parent[a], parent[b])
+                    changed = True
+    found = {r["doc_id"]: r["component_id"] for r in rows(near_dedup.near_groups(spark.createDataFrame(texts, "doc_id long, text string")))}
+    assert found == parent
+
+
+def test_quality(docs):
+    for r in rows(quality.judge(docs)):
+        texts = [t or "" for i, t in TEXTS if i == r["doc_id"]]
+        w = re.findall(r"[^\x20\x09-\x0D]+", texts[0])
+        windows = Counter(zip(w, w[1:], w[2:], strict=False))
+        inside = {j for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        lines = [x for x in texts[0].split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", texts[0])), len(lines) - len(set(lines)), len(inside))
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r["base_failed"] and r["kept"])
+
+
+def test_quality_votes_agree(spark):
+    good, bad = [(i, f"{BASE} {i}.\nAnother line of text {i}") for i in range(40)], [(100 + i, "BUY!! NOW$$ *** " * 40) for i in range(10)]
+    kept = {r["doc_id"]: r["kept"] for r in rows(quality.judge(spark.createDataFrame(good + bad, "doc_id long, text string")))}
+    assert all(kept[i] for i, _ in good) and not any(kept[i] for i, _ in bad)
+
+
+def test_urls(spark, labels):
+    urls = ["https://WWW.Example.com/en/x", "http://a.example.com/en/1", "http://net/es/2", "http://b.net/fr", "ftp://c.org/?q#f", None, "no scheme", "http://", "http://com"]
+    pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    found = [r for r in sorted(rows(url_filter.url_filter(pages, labels)), key=lambda r: r["page_id"])]
+    assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in found] == [
+        ("www.example.com", "/en/x", "www.example.com/en/", "allow"), ("a.example.com", "/en/1", "example.com/en/", "block"), ("net", "/es/2", "net/es/", "block"), ("b.net", "/fr", None, "allow"),
+        ("c.org", "/", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("com", "", None, "allow"),
+    ]
+    many = spark.createDataFrame([(i, f"http://{'spam' if i % 3 == 0 else 'fine'}.example.org/p{i}") for i in range(90)], "page_id long, url string")
+    marks = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(0, 60)], "doc_id long, quality int, toxic int")
+    verdicts = {r["page_id"]: r["verdict"] for r in rows(url_filter.url_filter(many, marks))}
+    assert all((verdicts[i] == "block") == (i % 3 == 0) for i in range(90))
+
+
+def test_language_model(docs):
+    texts = [(i, [*words(t), b"\n"], zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2) for i, t in TEXTS]
+    counts = Counter(w for _, ws, held in texts if not held for w in ws)
+    total, distinct = sum(counts.values()), len(counts)
+    want = sorted((str(i), held, len(ws), sum(w in counts for w in ws), round(sum(log10((counts[w] + 1) / (total + distinct + 1)) for w in ws), 6)) for i, ws, held in texts)
+    found = rows(suffix_tree_lm.suffix_tree_scores(docs))
+    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in found) == want
+    assert {r["train_tokens"] for r in found} == {total} and all(r["score"] < 0 for r in found)
+    assert sum(r["score"] for r in found) > sum(r["base_score"] for r in found)
+
+
+def test_toxicity(spark, docs, labels):
+    found = rows(toxicity.toxicity(docs, labels))
+    assert len(found) == len(TEXTS) and all(0 <= r["score"] <= 1 for r in found)
+    insults, plain = ["idiot", "moron", "stupid"], [f"{a}{b}" for a in ("an", "the", "er", "on") for b in ("tion", "ing", "ed", "ly", "ble")]
+    texts = [(i, " ".join(plain[(i + k * 3) % 20] for k in range(30)) + (f" {insults[i % 3]} {insults[(i + 1) % 3]}." if i % 4 == 0 else "")) for i in range(400)]
+    marks = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in texts], "doc_id long, quality int, toxic int")
+    held = [r for r in rows(toxicity.toxicity(spark.createDataFrame(texts, "doc_id long, text string"), marks)) if r["held_out"]]
+    assert sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in held) / len(held) > 0.97
+    bags = [(i % 4 == 0, [w.encode() for w in t.split()]) for i, t in texts]
+    machine = toxicity.train(bags)
+    gapped, clean = machine.decisions([b"id-iot", b"sttupid"]), machine.decisions([b"anly", b"ertion"])
+    assert gapped.min() > clean.max()
+
+
+def test_personal_data(docs):
+    by = {r["doc_id"]: [(pii.KINDS[s["kind"]], s["start"], s["end"]) for s in r["spans"] if s["base"]] for r in rows(pii.pii_spans(docs))}
+    text = dict((i, t) for i, t in TEXTS)[9]
+    assert [(k, text[a:b]) for k, a, b in by[9]] == [("email", "a.b@mail.example.com"), ("ip", "10.0.0.1"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 123-4567")]
+    assert by[4] == by[5] == [] and len(list(pii.emails("a@b.c%d@e.f @x.y z@@q.r"))) == 2
+    shown = {r["doc_id"]: r["text"] for r in rows(pii.redact(docs))}
+    assert shown[4] is None and "<EMAIL>" in shown[9] and "4111" not in shown[9] and shown[1] == BASE
+
+
+def test_packing(docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(best_fit.default_path())
+    want = Counter()
+    for i, t in TEXTS:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        for k, at in enumerate(range(0, len(ids), 64)):
+            part = ids[at : at + 64]
+            want[i, k, at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))] += 1
+    found = rows(best_fit.best_fit_packing(docs, capacity=64))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == want
+    sequences = {}
+    for r in sorted(found, key=lambda r: r["offset"]):
+        assert r["offset"] == sequences.get(r["sequence_id"], 0)
+        sequences[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(sequences.values()) <= 64 and len(sequences) <= -(-sum(r["length"] for r in found) // 64) + 2
+    few = rows(best_fit.best_fit_packing(docs, capacity=64, max_docs=2))
+    assert max(Counter(r["sequence_id"] for r in few).values()) <= 2
+
+
+def test_notices(docs):
+    by = {r["doc_id"]: r for r in rows(license_scan.license_scan(docs))}
+    assert [(m["label"], m["start_word"]) for m in by[12]["matches"] if m["exact"]] == [("cc-by", 2), ("reserved", 7), ("reserved", 10)]
+    assert {"cc-by-nc", "reserved"} <= {m["label"] for m in by[12]["matches"]} and {m["label"] for m in by[14]["matches"]} == {"mit"}
+    assert by[14]["matches"][0]["edits"] == 1 and by[4]["n_words"] == 0 and not by[1]["matches"]
+
+
+def test_encoding(docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(bpe_lexicon.default_path())
+    for r in rows(bpe_lexicon.encode_documents(docs, min_share=0.001)):
+        text = next(t or "" for i, t in TEXTS if i == r["doc_id"])
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert bytes(r["ids"]) == struct.pack(f"<{len(ids)}I", *ids) and bytes(r["decoded"]).decode() == tokenizer.decode(ids, skip_special_tokens=False)
+    entries = [(w.encode(), [i, i + 1]) for i, w in enumerate(["tap", "taps", "top", "tops", "cap"])]
+    lexicon = bpe_lexicon.Lexicon(bpe_lexicon.compile_lexicon(entries))
+    assert [lexicon.ids_of(w) for w, _ in entries] == [ids for _, ids in entries] and lexicon.ids_of(b"ta") is None and lexicon.ids_of(b"tapx") is None
+
+
+def test_pipeline(spark, tmp_path):
+    texts = [(i, f"{BASE} {i} line.\nAnother sentence number {i}") for i in range(12)] + [(20, f"{BASE} 0 line.\nAnother  sentence number 0"), (21, "BUY!! NOW$$ *** " * 40), (22, " ".join(f"fresh{i} text{i}" for i in range(80)) + " a@b.org")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    out = rows(corpus_pipeline.run(spark, str(tmp_path)))
+    assert 21 not in {r["doc_id"] for r in out} and {0, 22} <= {r["doc_id"] for r in out} and len(out) == 2
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_copies", "near_copies", "personal_data", "packing"]
