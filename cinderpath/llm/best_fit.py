@@ -16,6 +16,7 @@ ties in length are broken by doc_id and piece; an empty table gives an empty res
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, id_and_text, written
 
-CACHE = 800_000
+CACHE = 600_000
+_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -50,17 +52,31 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    @staticmethod
+    def parts(word: bytes) -> list[str]:
+        """A word as parts that the tokenizer encodes apart: a Latin word, which it lower-cases, and the marks behind it; else the word."""
+        text = word.decode()
+        simple = _SIMPLE(text)
+        return [x for x in (simple[1].lower(), simple[2]) if x] if simple else [text]
 
     def encode_batch(self, texts: list[bytes]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.split()
-            new = list({w for w in words if w not in self.known})
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = list(set(words))
-            for word, got in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self.known[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
-            yield b"".join(map(self.known.__getitem__, words))
+        known, cores = self.known, self.cores
+        for at in range(0, len(texts), 128):
+            some = [text.split() for text in texts[at : at + 128]]
+            new = {w for words in some for w in words if w not in known}
+            if len(known) + len(new) > CACHE:
+                known.clear()
+                cores.clear()
+                new = {w for words in some for w in words}
+            parts = {w: self.parts(w) for w in new}
+            missing = list({p for ps in parts.values() for p in ps if p not in cores})
+            for part, got in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+                cores[part] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+            known.update((w, b"".join([cores[p] for p in ps])) for w, ps in parts.items())
+            for words in some:
+                yield b"".join(map(known.__getitem__, words))
 
 
 @lru_cache(maxsize=1)

@@ -22,8 +22,11 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
+import re
 import struct
+import sys
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -41,6 +44,7 @@ _ODD_BYTES = bytes([9, 11, 12, 13, 28, 29, 30, 31])
 _ODD = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 _DOUBLE = (b"  ", b"\n\n", b" \n", b"\n ")
 CACHE = 500_000
+_SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)").fullmatch
 
 
 def default_path() -> str:
@@ -56,6 +60,14 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian uint32."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Merges:
     """A vocabulary file's merges: exact encoding of words that no lexicon has."""
 
@@ -100,7 +112,7 @@ class Merges:
 
     def encode(self, text: bytes) -> list[int]:
         out: list[int] = []
-        for piece in self.cut.split(text) if any(s in text for s in self.special) else [text]:
+        for piece in self.cut.split(text) if any(map(text.__contains__, self.special)) else [text]:
             if piece in self.special:
                 out.append(self.special[piece])
             else:
@@ -110,9 +122,9 @@ class Merges:
 
     def pretokens(self, text: str) -> list[str]:
         """The pieces of the pattern. A Latin word with at most one space before it and marks behind it needs no search."""
-        head = text.rstrip(".,;:!?")
-        if head.lstrip(" ").isalpha() and head.count(" ") <= 1 and max(head) < "\u0250":
-            return [head, text[len(head) :]] if len(head) < len(text) else [head]
+        simple = _SIMPLE(text)
+        if simple:
+            return [x for x in simple.groups() if x]
         return self.pattern.findall(text)
 
 
@@ -133,7 +145,8 @@ def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
 
     Words come sorted; as soon as no later word can pass through a state, the state is replaced by an equal one if there is one.
     Layout: numbers of states, edges, words and ids; for each state its first edge and whether a word ends there; for each edge its
-    byte, target and the number of words that come before it in its state; for each word where its ids begin; the ids. All uint32.
+    target and the number of words that come before it in its state; for each word where its ids begin; the ids: all uint32. Then
+    the byte of each edge.
     """
     root: list = [{}, False]  # edges by byte, final
     known: dict[tuple, list] = {}
@@ -173,17 +186,18 @@ def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
             order.append(state)
             stack.append((state, True))
             stack += [(t, False) for t in state[0].values() if id(t) not in number]
-    first, final, edges = [], [], []
+    first, final, edges, labels = [], [], [], []
     for state in order:
-        first.append(len(edges) // 3)
+        first.append(len(labels))
         final.append(int(state[1]))
         skip = int(state[1])
         for byte, target in sorted(state[0].items()):
-            edges += [byte, number[id(target)], skip]
+            edges += [number[id(target)], skip]
+            labels.append(byte)
             skip += below[id(target)]
-    first.append(len(edges) // 3)
-    flat = [len(order), len(edges) // 3, len(offsets) - 1, len(ids), *first, *final, *edges, *offsets, *ids]
-    return struct.pack(f"<{len(flat)}I", *flat)
+    first.append(len(labels))
+    flat = [len(order), len(labels), len(offsets) - 1, len(ids), *first, *final, *edges, *offsets, *ids]
+    return struct.pack(f"<{len(flat)}I", *flat) + bytes(labels) + bytes(-len(labels) % 4)
 
 
 class Lexicon:
@@ -199,9 +213,9 @@ class Lexicon:
         at = 4
         self.first, at = view[at : at + states + 1], at + states + 1
         self.final, at = view[at : at + states], at + states
-        self.edges, at = view[at : at + 3 * edges], at + 3 * edges
+        self.edges, at = view[at : at + 2 * edges], at + 2 * edges
         self.offsets, at = view[at : at + words + 1], at + words + 1
-        self.ids = view[at : at + n]
+        self.ids, self.labels = view[at : at + n], 4 * (at + n)
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
@@ -209,14 +223,13 @@ class Lexicon:
     def ids_of(self, word: bytes) -> list[int] | None:
         """The ids of a word that the lexicon has, else None."""
         state = rank = 0
-        first, edges = self.first, self.edges
-        for byte in word:
-            for e in range(3 * first[state], 3 * first[state + 1], 3):
-                if edges[e] == byte:
-                    state, rank = edges[e + 1], rank + edges[e + 2]
-                    break
-            else:
+        first, edges, labels, find = self.first, self.edges, self.labels, self.map.find
+        for i in range(len(word)):
+            at = find(word[i : i + 1], labels + first[state], labels + first[state + 1])
+            if at < 0:
                 return None
+            at = 2 * (at - labels)
+            state, rank = edges[at], rank + edges[at + 1]
         return self.ids[self.offsets[rank] : self.offsets[rank + 1]].tolist() if self.final[state] else None
 
 
@@ -233,7 +246,7 @@ class Words(dict):
             ids = self.coder.encode(self.prefix + word)
         if len(self) >= CACHE:
             self.clear()
-        out = self[word] = (struct.pack(f"<{len(ids)}I", *ids), b"".join(map(self.coder.bytes_of.__getitem__, ids)))
+        out = self[word] = (packed(ids), b"".join(map(self.coder.bytes_of.__getitem__, ids)))
         return out
 
 
@@ -257,7 +270,7 @@ class Encoder:
         lines = lines_of(text)
         if lines is None:
             ids = self.coder.encode(text)
-            return struct.pack(f"<{len(ids)}I", *ids), b"".join(map(self.coder.bytes_of.__getitem__, ids))
+            return packed(ids), b"".join(map(self.coder.bytes_of.__getitem__, ids))
         parts = []
         bare, led = self.bare.__getitem__, self.led.__getitem__
         for i, line in enumerate(lines):
