@@ -31,6 +31,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,11 @@ _ODD_BYTES = bytes([9, 11, 12, 13, 28, 29, 30, 31])
 _ODD = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 _DOUBLE = (b"  ", b"\n\n", b" \n", b"\n ")
 CACHE = 500_000
-_SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)").fullmatch
+_MARKS = b".,;:!?"
+#: Latin letters up to U+024F, as UTF-8.
+_LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+").fullmatch
+#: Longer pre-tokens are merged one by one.
+LONG, NONE = 48, 1 << 30
 
 
 def default_path() -> str:
@@ -87,6 +92,14 @@ class Merges:
             self.ranks[vocab[a], vocab[b]] = rank
             self.merged[rank] = vocab[a + b]
         self.known: dict[bytes, list[int]] = {}  # pre-tokens merged before, kept while there is room
+        # the same for many pre-tokens at once: pairs as sorted numbers with their ranks, and the ranks of pairs of bytes
+        self.span = max(vocab.values()) + 1
+        keys = np.array([a * self.span + b for a, b in self.ranks], np.int64)
+        order = keys.argsort()
+        self.pairs, self.pair_ranks = keys[order], np.array([*self.ranks.values()], np.int32)[order]
+        self.merged_ids = np.array([self.merged[r] for r in self.ranks.values()], np.int32)
+        self.single_ids = np.array([self.single[b] for b in range(256)], np.int32)
+        self.byte_ranks = self.ranks_of(np.repeat(self.single_ids, 256), np.tile(self.single_ids, 256))
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile(b"(" + b"|".join(map(regex.escape, self.special)) + b")")
 
@@ -110,6 +123,55 @@ class Merges:
         self.known[token] = ids
         return ids
 
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = left.astype(np.int64) * self.span + right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == wanted) & (right >= 0), self.pair_ranks[at], NONE)
+
+    def merge_many(self, tokens: list[bytes]) -> list[bytes]:
+        """``merge`` of many pre-tokens, as little-endian uint32. Each round merges the best pair of every pre-token that has one.
+
+        A row holds a pre-token's ids between two empty columns; what a merge takes away becomes empty, and neighbours are linked.
+        """
+        out = [b""] * len(tokens)
+        order = sorted(range(len(tokens)), key=lambda i: len(tokens[i]))
+        while order and len(tokens[order[-1]]) > LONG:
+            i = order.pop()
+            out[i] = packed(self.merge(tokens[i]))
+        for at in range(0, len(order), 2048):
+            some = order[at : at + 2048]
+            lengths = np.array([len(tokens[i]) for i in some])
+            raw = np.frombuffer(b"".join([tokens[i] for i in some]), np.uint8).astype(np.int32)
+            n, width = len(some), int(lengths[-1]) + 2
+            column = np.arange(width, dtype=np.int32)
+            ids = np.full((n, width), -1, np.int32)
+            ids[(column >= 1) & (column <= lengths[:, None])] = self.single_ids[raw]
+            ranks = np.full((n, width), NONE, np.int32)
+            inner = np.ones(max(len(raw) - 1, 0), bool)
+            inner[np.cumsum(lengths)[:-1] - 1] = False  # pairs of two pre-tokens
+            ranks[(column >= 1) & (column < lengths[:, None])] = self.byte_ranks[(raw[:-1] * 256 + raw[1:])[inner]]
+            after, before = np.tile(column + 1, (n, 1)), np.tile(column - 1, (n, 1))
+            live = np.arange(n)
+            while True:
+                best_at = ranks[live].argmin(axis=1)
+                best = ranks[live, best_at]
+                found = best < NONE
+                live, a, best = live[found], best_at[found], best[found]
+                if not len(live):
+                    break
+                made = ids[live, a] = self.merged_ids[best]
+                gone = after[live, a]
+                c, z = after[live, gone], before[live, a]
+                ids[live, gone], ranks[live, gone] = -1, NONE
+                after[live, a], before[live, c] = c, a
+                ranks[live, a] = self.ranks_of(made, ids[live, c])
+                ranks[live, z] = self.ranks_of(ids[live, z], made)
+            kept = ids >= 0
+            flat, ends = ids[kept].astype("<u4").tobytes(), 4 * np.cumsum(kept.sum(axis=1))
+            for i, start, end in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                out[i] = flat[start:end]
+        return out
+
     def encode(self, text: bytes) -> list[int]:
         out: list[int] = []
         for piece in self.cut.split(text) if any(map(text.__contains__, self.special)) else [text]:
@@ -121,10 +183,7 @@ class Merges:
         return out
 
     def pretokens(self, text: str) -> list[str]:
-        """The pieces of the pattern. A Latin word with at most one space before it and marks behind it needs no search."""
-        simple = _SIMPLE(text)
-        if simple:
-            return [x for x in simple.groups() if x]
+        """The pieces of the pattern."""
         return self.pattern.findall(text)
 
 
@@ -208,29 +267,42 @@ class Lexicon:
             f.write(data)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        view = memoryview(self.map).cast("I")
-        states, edges, words, n = view[:4]
-        at = 4
-        self.first, at = view[at : at + states + 1], at + states + 1
-        self.final, at = view[at : at + states], at + states
-        self.edges, at = view[at : at + 2 * edges], at + 2 * edges
-        self.offsets, at = view[at : at + words + 1], at + words + 1
-        self.ids, self.labels = view[at : at + n], 4 * (at + n)
+        states, edges, words, n = np.frombuffer(self.map, "<u4", 4).tolist()
+        view = np.frombuffer(self.map, "<u4", 4 + 2 * states + 1 + 2 * edges + words + 1 + n)
+        first, self.final, pairs, self.offsets, self.ids = np.split(view[4:], np.cumsum([states + 1, states, 2 * edges, words + 1]))
+        self.targets, self.skips = pairs[::2].astype(np.int64), pairs[1::2].astype(np.int64)
+        labels = np.frombuffer(self.map, np.uint8, edges, 4 * len(view))
+        #: each edge as its state and byte, ascending
+        self.steps = np.repeat(np.arange(states), np.diff(first.astype(np.int64))) * 256 + labels
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
     def ids_of(self, word: bytes) -> list[int] | None:
         """The ids of a word that the lexicon has, else None."""
-        state = rank = 0
-        first, edges, labels, find = self.first, self.edges, self.labels, self.map.find
-        for i in range(len(word)):
-            at = find(word[i : i + 1], labels + first[state], labels + first[state + 1])
-            if at < 0:
-                return None
-            at = 2 * (at - labels)
-            state, rank = edges[at], rank + edges[at + 1]
-        return self.ids[self.offsets[rank] : self.offsets[rank + 1]].tolist() if self.final[state] else None
+        found = self.ids_of_many([word])[0]
+        return None if found is None else np.frombuffer(found, "<u4").tolist()
+
+    def ids_of_many(self, words: list[bytes]) -> list[bytes | None]:
+        """The ids of each word that the lexicon has, as little-endian uint32, else None. All words of a block walk one byte a step."""
+        out: list[bytes | None] = [None] * len(words)
+        for start in range(0, len(words) if len(self.steps) else 0, 8192):
+            some = words[start : start + 8192]
+            raw = np.frombuffer(b"".join(some), np.uint8)
+            lengths = np.array([*map(len, some)], np.int64)
+            begins = np.cumsum(lengths) - lengths
+            row, state, rank, depth = np.arange(len(some)), np.zeros(len(some), np.int64), np.zeros(len(some), np.int64), 0
+            while len(row):
+                done = lengths[row] == depth
+                for i, r in zip(row[done & (self.final[state] > 0)].tolist(), rank[done & (self.final[state] > 0)].tolist(), strict=True):
+                    out[start + i] = self.ids[self.offsets[r] : self.offsets[r + 1]].tobytes()
+                row, state, rank = row[~done], state[~done], rank[~done]
+                wanted = state * 256 + raw[begins[row] + depth]
+                at = np.minimum(np.searchsorted(self.steps, wanted), len(self.steps) - 1)
+                on = self.steps[at] == wanted
+                row, at = row[on], at[on]
+                state, rank, depth = self.targets[at], rank[on] + self.skips[at], depth + 1
+        return out
 
 
 class Words(dict):
@@ -239,15 +311,34 @@ class Words(dict):
     def __init__(self, lexicon: Lexicon | None, coder: Merges, prefix: bytes):
         super().__init__()
         self.lexicon, self.coder, self.prefix = lexicon, coder, prefix
-
-    def __missing__(self, word: bytes) -> tuple[bytes, bytes]:
-        ids = self.lexicon.ids_of(self.prefix + word) if self.lexicon else None
-        if ids is None:
-            ids = self.coder.encode(self.prefix + word)
-        if len(self) >= CACHE:
+        self.cores: dict[bytes, bytes] = {}  # pre-tokens -> ids
+
+    def pretokens(self, word: bytes) -> list[bytes]:
+        """The pre-tokens of a word with its prefix. A Latin word and the marks behind it need no pattern."""
+        core = word.rstrip(_MARKS)
+        if core and _LATIN(core):
+            return [self.prefix + core, word[len(core) :]] if len(core) < len(word) else [self.prefix + core]
+        return [x.encode() for x in self.coder.pretokens((self.prefix + word).decode())]
+
+    def learn(self, words: set[bytes]) -> None:
+        """Makes ready all of ``words``, which hold no special token."""
+        new = words.difference(self)
+        if len(self) + len(new) > CACHE:
             self.clear()
-        out = self[word] = (packed(ids), b"".join(map(self.coder.bytes_of.__getitem__, ids)))
-        return out
+            self.cores.clear()
+            new = words
+        unseen, cores, bytes_of = {}, self.cores, self.coder.bytes_of.__getitem__
+        new = [*new]
+        for word, ids in zip(new, self.lexicon.ids_of_many([self.prefix + word for word in new]) if self.lexicon else [None] * len(new), strict=True):
+            if ids is None:
+                unseen[word] = self.pretokens(word)
+            else:
+                self[word] = ids, b"".join(map(bytes_of, np.frombuffer(ids, "<u4").tolist()))
+        missing = [*{x for parts in unseen.values() for x in parts if x not in cores}]
+        cores.update(zip(missing, self.coder.merge_many(missing), strict=True))
+        for word, parts in unseen.items():
+            ids = b"".join([cores[x] for x in parts])
+            self[word] = ids, b"".join(map(bytes_of, np.frombuffer(ids, "<u4").tolist()))
 
 
 @lru_cache(maxsize=1)
@@ -261,16 +352,27 @@ class Encoder:
         self.coder = merges(path)
         made = Lexicon(lexicon) if lexicon else None
         self.bare, self.led = Words(made, self.coder, b""), Words(made, self.coder, b" ")
-        self.line_feed = self.bare[b"\n"]
+        self.line_feed = packed(self.coder.encode(b"\n")), b"\n"
 
     def encode(self, text: bytes) -> tuple[bytes, bytes]:
         """A text's ids as little-endian uint32, and the bytes that they stand for."""
-        if not text:
-            return b"", b""
-        lines = lines_of(text)
-        if lines is None:
-            ids = self.coder.encode(text)
-            return packed(ids), b"".join(map(self.coder.bytes_of.__getitem__, ids))
+        return next(self.encode_batch([text]))
+
+    def encode_batch(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        for at in range(0, len(texts), 256):
+            some = texts[at : at + 256]
+            cut = [None if any(map(text.__contains__, self.coder.special)) else lines_of(text) for text in some]
+            lines = [line for found in cut for line in found or ()]
+            self.bare.learn({line[0] for line in lines})
+            self.led.learn({word for line in lines for word in line[1:]})
+            for text, found in zip(some, cut, strict=True):
+                yield self.joined(found) if found else self.whole(text)
+
+    def whole(self, text: bytes) -> tuple[bytes, bytes]:
+        ids = self.coder.encode(text)
+        return packed(ids), b"".join(map(self.coder.bytes_of.__getitem__, ids))
+
+    def joined(self, lines: list[list[bytes]]) -> tuple[bytes, bytes]:
         parts = []
         bare, led = self.bare.__getitem__, self.led.__getitem__
         for i, line in enumerate(lines):
@@ -332,8 +434,7 @@ def _encoded(docs: DataFrame, path: str, min_share: float, schema: str, of, kind
         encoder = shared_encoder(path, lexicon.value)
         for batch in batches:
             made = []
-            for text in batch.column("text"):
-                ids, raw = encoder.encode(text.as_py())
+            for ids, raw in encoder.encode_batch(batch.column("text").to_pylist()):
                 # as the library's decoder: bytes that aren't UTF-8 become U+FFFD
                 made.append(of(ids, raw.decode("utf-8", "replace").encode()))
             columns = zip(*made, strict=True) if made else [[] for _ in kinds]
