@@ -21,6 +21,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from .common import documents, id_and_text, written
 
 CACHE = 600_000
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+_MARKS = b".,;:!?"
+#: Letters of ASCII and Latin-1, as UTF-8.
+_LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -52,29 +55,49 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
 
     @staticmethod
-    def parts(word: bytes) -> list[str]:
-        """A word as parts that the tokenizer encodes apart: a Latin word, which it lower-cases, and the marks behind it; else the word."""
-        text = word.decode()
-        simple = _SIMPLE(text)
-        return [x for x in (simple[1].lower(), simple[2]) if x] if simple else [text]
+    def words(text: bytes) -> list[bytes]:
+        """The words of a text; A-Z lower-cased beforehand, as the tokenizer does, unless a special token or a combining mark may be there."""
+        return (text if b"<|" in text or b"\xcc" in text else text.lower()).split()
+
+    def learn(self, new: set[bytes]) -> None:
+        """Encodes words not met before. A Latin word and the marks behind it are encoded apart, as the tokenizer cuts them."""
+        cores, known = self.cores, self.known
+        split, whole, parts = [], [], set()
+        for w in new:
+            core = w.rstrip(_MARKS)
+            if core in cores or _LATIN(core):
+                marks = w[len(core) :]
+                split.append((w, core, marks))
+                if core not in cores:
+                    parts.add(core)
+                if marks and marks not in cores:
+                    parts.add(marks)
+            else:
+                whole.append(w)
+        for w, got in zip(whole, self.encoded(whole), strict=True):
+            known[w] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+        fresh = [*parts]
+        for part, got in zip(fresh, self.encoded(fresh), strict=True):
+            cores[part] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+        known.update((w, cores[core] + cores[marks] if marks else cores[core]) for w, core, marks in split)
+
+    def encoded(self, texts: list[bytes]) -> list:
+        return self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
 
     def encode_batch(self, texts: list[bytes]) -> Iterator[bytes]:
-        known, cores = self.known, self.cores
-        for at in range(0, len(texts), 128):
-            some = [text.split() for text in texts[at : at + 128]]
-            new = {w for words in some for w in words if w not in known}
+        known = self.known
+        for at in range(0, len(texts), 256):
+            some = [self.words(text) for text in texts[at : at + 256]]
+            distinct = set(chain.from_iterable(some))
+            new = distinct.difference(known)
             if len(known) + len(new) > CACHE:
                 known.clear()
-                cores.clear()
-                new = {w for words in some for w in words}
-            parts = {w: self.parts(w) for w in new}
-            missing = list({p for ps in parts.values() for p in ps if p not in cores})
-            for part, got in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                cores[part] = struct.pack(f"<{len(got.ids)}I", *got.ids)
-            known.update((w, b"".join([cores[p] for p in ps])) for w, ps in parts.items())
+                self.cores.clear()
+                new = distinct
+            self.learn(new)
             for words in some:
                 yield b"".join(map(known.__getitem__, words))
 
