@@ -222,3 +222,24 @@ def test_pipeline(spark, tmp_path):
     # 21 is rejected; of 0 and 20 the longer, 20, stays; of the near copies 1 to 11 and 20 the smallest id
     assert sorted(r["doc_id"] for r in out) == [1, 22]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_copies", "near_copies", "personal_data", "packing"]
+
+
+def test_pipeline_judges_near_copies_on_five_words_and_every_row(spark, tmp_path):
+    words = [f"{a}{b}ing" for a in "abcdefghij" for b in "klmnopqrstuvwxyzabcdefghi"]
+    edited = list(words)
+    for i in range(10, 250, 25):
+        edited[i] += "x"
+    pairs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    share = lambda n: len(pairs(words, n) & pairs(edited, n)) / len(pairs(words, n) | pairs(edited, n))
+    assert share(2) > 0.8 > share(5)
+    frame = lambda texts: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda stage, texts: sorted((str(r["doc_id"]), r["text"]) for r in rows(stage(spark, frame(texts), str(tmp_path))))
+    one, two = " ".join(words), " ".join(edited)
+    assert len(left(corpus_pipeline.near_copies, [(1, one), (2, two)])) == 2
+    close = one.replace(words[100], "other")
+    assert left(corpus_pipeline.near_copies, [(2, close), (1, one)]) == [("1", one)]
+    # a null id isn't a reason to stay, and rows that share an id are judged apart
+    assert left(corpus_pipeline.near_copies, [(None, close), (1, one), (None, two)]) == sorted([("1", one), ("None", two)])
+    assert left(corpus_pipeline.exact_copies, [(7, one), (7, one), (7, two), (None, one), (None, BASE), (None, BASE)]) == sorted([("7", one), ("7", two), ("None", BASE)])
+    junk, text = "BUY!! NOW$$ *** " * 40, f"{BASE}.\nAnother line of text"
+    assert left(corpus_pipeline.quality_rules, [(None, junk), (3, junk), (3, text), (None, text)]) == sorted([("3", text), ("None", text)])
