@@ -10,6 +10,7 @@ from cinderpath.operators import cleanse, history, scoring
 from cinderpath.sources.bindings import perf_events
 
 SF = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
 DAYS = ["2024-12-20", "2025-01-10", "2025-01-25", "2025-02-08", "2025-12-06", "2025-12-20", "2025-12-27"]
 INCHES = [158.25, 166.75, 179.75, 177.75, 160.75, 167.50, 176.50]
 
@@ -82,5 +83,23 @@ def test_against_sql(spark, name):
     assert sorted(map(repr, map(tuple, got.select(columns).collect()))) == sorted(map(repr, want.select(*columns).fetchall()))
 
 
+def test_every_athlete_and_supplier_is_ranked(spark, tmp_path):
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{LARGER}/events.parquet'")
+    got = [tuple(r) for r in entry.queries()["history_sorted"](spark, LARGER).select("id", "athlete_id", "mark", "place").collect()]
+    # the SQL covers the athletes up to 20; the others have one row for each athlete, event and season, with places without gaps
+    assert sorted(r for r in got if r[1] <= 20) == sorted(db.sql(entry.oracle_sql()["history_sorted"]).select("id", "athlete_id", "mark", "place").fetchall())
+    groups = perf_events(spark, LARGER).select("athlete_id", "event", "season").distinct().groupBy("athlete_id").count().collect()
+    places = {}
+    for _, athlete, _, place in got:
+        places.setdefault(athlete, []).append(place)
+    assert max(places) > 20 and {a: sorted(p) for a, p in places.items()} == {r["athlete_id"]: list(range(1, r["count"] + 1)) for r in groups}
+    lines = [(s, o, 1, float((s * o) % 5)) for s in (1, 20, 21, 500) for o in range(9)]
+    spark.createDataFrame(lines, "l_suppkey long, l_orderkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    ranks = sorted((r.l_suppkey, r.l_orderkey, r["rank"], r.potential) for r in entry.queries()["comp_rank"](spark, str(tmp_path)).collect())
+    rank = {(s, o): 1 + sum(t == s and other > q for t, _, _, other in lines) for s, o, _, q in lines}
+    assert ranks == sorted((s, o, n, float([10, 8, 6, 4, 2, 1, *[0] * 9][n - 1])) for (s, o), n in rank.items())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
