@@ -6,8 +6,11 @@ the longest rule that fits wins. They are literals of the plan, a fixed handful,
 For every other url the verdict comes from mined rules. Labelled pages (``labels`` joined on page_id = doc_id; a page is unwanted if
 its label says low quality or toxic) become transactions of the url's tokens plus the item ``!bad`` where unwanted. Spark's FP-growth
 finds frequent token combinations, and association rules that end in ``!bad`` are kept if confidence, support and lift reach the
-given values. A url has a fixed number of token slots (below), so a transaction has at most 12 items and the number of itemsets
-with support s is at most 2^12 / s: the mined rules are small by construction and don't grow with the corpus.
+given values. The whole url is tokenised: all host labels, path segments, query keys and values, by place, and the words inside them
+at any place. What is left out before mining can't change a verdict or its confidence: tokens that are in fewer unwanted pages than
+the support asks for are in no rule; a token in all pages adds nothing to a rule (where a lift over 1 is asked for); and tokens that are
+in just the same labelled pages stand for each other, so they are mined as one item, which a url has if it has any of them (the sets of
+pages are compared by 128-bit hashes). The number of itemsets isn't bounded otherwise; it is that of the combinations with the support.
 
 The rules are matched through an inverted index: each rule is filed under one token of its antecedent, the rarest; a url's distinct
 tokens meet the index in a join, and the rest of the antecedent is then tested on the url's token array. The index is broadcast only
@@ -20,8 +23,10 @@ are each judged; an empty table gives an empty result; other columns are ignored
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import UPPER, written
@@ -35,6 +40,8 @@ LISTED = (
     ("block", "net", "/fr/"),
 )
 BAD = "!bad"
+#: The table of items is broadcast below this number of rows.
+BROADCAST_ITEMS = 100_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -53,21 +60,27 @@ def listed(host: Column, path: Column) -> tuple[Column, Column]:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """At most 12 distinct tokens: scheme, the last four labels of the host, first two path segments, file ending, query, fragment, depth, digits."""
+    """Distinct tokens: scheme, labels of the host from the right, path segments, file ending, query keys and values, the words of all these and of the fragment, depth, digits."""
     labels = F.reverse(F.split(host, r"\."))
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    at = lambda kind, array, i: F.concat(F.lit(f"{kind}{i}="), F.get(array, F.lit(i)))
-    slots = [
-        F.concat(F.lit("scheme="), F.substring_index(url, "://", 1)),
-        *[at("host", labels, i) for i in range(4)],
-        *[at("path", segments, i) for i in range(2)],
-        F.concat(F.lit("ends="), F.nullif(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1), F.lit(""))),
-        F.concat(F.lit("query="), F.nullif(F.regexp_extract(url, r"\?([^=&#]+)", 1), F.lit(""))),
-        F.when(F.contains(url, F.lit("#")), F.lit("fragment")),
-        F.concat(F.lit("depth="), F.least(F.size(segments), F.lit(9)).cast("string")),
-        F.when(host.rlike("[0-9]"), F.lit("digits")),
+    query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
+    fragment = F.regexp_extract(url, r"(?s)#(.*)", 1)
+    pairs = F.filter(F.split(query, "[&;]"), lambda s: s != "")
+    placed = lambda kind, array: F.transform(array, lambda s, i: F.concat(F.lit(kind), i.cast("string"), F.lit("="), s))
+    words = F.filter(F.split(F.lower(F.concat_ws("/", host, path, query, fragment)), r"[^\p{L}\p{N}]+"), lambda s: s != "")
+    found = [
+        F.array(F.concat(F.lit("scheme="), F.substring_index(url, "://", 1))),
+        placed("host", labels),
+        placed("path", segments),
+        F.array(F.concat(F.lit("ends="), F.nullif(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1), F.lit("")))),
+        F.transform(pairs, lambda s: F.concat(F.lit("query="), F.substring_index(s, "=", 1))),
+        F.transform(F.filter(pairs, lambda s: F.contains(s, F.lit("="))), lambda s: F.concat(F.lit("value="), s)),
+        F.transform(words, lambda s: F.concat(F.lit("word="), s)),
+        F.array(F.when(F.contains(url, F.lit("#")), F.lit("fragment"))),
+        F.array(F.concat(F.lit("depth="), F.size(segments).cast("string"))),
+        F.array(F.when(host.rlike("[0-9]"), F.lit("digits"))),
     ]
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array(*slots))))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.concat(*found))))
 
 
 def with_tokens(pages: DataFrame) -> DataFrame:
@@ -77,14 +90,34 @@ def with_tokens(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("listed"), tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
 
 
-def mine(judged: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 1.5) -> DataFrame:
-    """antecedent, confidence: the association rules antecedent => unwanted that are worth keeping."""
+def alike(basket: DataFrame, least: int, universal: bool) -> DataFrame:
+    """token, item: the tokens in ``least`` unwanted pages or more; tokens of the same pages have one item. Without those of all pages unless ``universal``."""
+    seen = basket.select("row", "bad", F.explode("tokens").alias("token")).groupBy("token")
+    counted = seen.agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("y"))
+    counted = written(counted.where(F.col("n_bad") >= least), "tokens")
+    if not universal:
+        counted = counted.where(F.col("n") < basket.count())
+    return written(counted.select("token", F.min("token").over(Window.partitionBy("n", "x", "y")).alias("item")), "items")
+
+
+def items_of(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """row, items (sorted): of the rows that have any."""
+    small = items.limit(BROADCAST_ITEMS).count() < BROADCAST_ITEMS
+    met = rows.select("row", F.explode("tokens").alias("token")).join(F.broadcast(items) if small else items, "token")
+    return met.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def mine(judged: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 1.5) -> tuple[DataFrame, DataFrame]:
+    """antecedent, confidence: the association rules antecedent => unwanted that are worth keeping; and token, item: what the antecedents' items stand for."""
     marks = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy(F.col("doc_id").alias("page_id"))
     marks = marks.agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
-    basket = judged.where(F.size("tokens") > 0).join(marks, "page_id").select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(written(basket, "baskets"))
+    basket = written(judged.where(F.size("tokens") > 0).join(marks, "page_id").select("row", "bad", "tokens"), "baskets")
+    items = alike(basket, max(1, ceil(min_support * basket.count())), min_lift <= 1)
+    found = F.coalesce("items", F.array().cast("array<string>"))
+    itemsets = basket.select("row", "bad").join(items_of(basket, items), "row", "left").select(F.when(F.col("bad"), F.array_append(found, F.lit(BAD))).otherwise(found).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(written(itemsets, "itemsets"))
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.get("consequent", F.lit(0)) == BAD) & (F.col("lift") >= min_lift))
-    return written(rules.select("antecedent", "confidence"), "rules")
+    return written(rules.select("antecedent", "confidence"), "rules"), items
 
 
 def matched(judged: DataFrame, rules: DataFrame, broadcast_rules: int = 100_000) -> DataFrame:
@@ -101,15 +134,15 @@ def matched(judged: DataFrame, rules: DataFrame, broadcast_rules: int = 100_000)
 
 def url_filter(pages: DataFrame, labels: DataFrame, **mining: float) -> DataFrame:
     """page_id, host, path, rule, verdict, confidence (of the mined rule, else null); one row per row of ``pages``."""
-    judged = with_tokens(pages)
-    found = mine(judged, labels, **mining)
+    judged = written(with_tokens(pages).withColumn("row", F.monotonically_increasing_id()), "urls")
+    found, items = mine(judged, labels, **mining)
     if found.isEmpty():
         return judged.select("page_id", "host", "path", "rule", F.coalesce("listed", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("confidence"))
-    # equal token arrays have equal verdicts: matched once for each distinct array
-    keyed = judged.withColumn("page_key", F.sort_array("tokens"))
-    hits = matched(keyed.where("listed IS NULL").select("page_key", F.col("page_key").alias("tokens")).distinct(), found)
+    # equal item arrays have equal verdicts: matched once for each distinct array
+    keyed = written(items_of(judged.where("listed IS NULL"), items).withColumnRenamed("items", "page_key"), "page-items")
+    hits = keyed.join(matched(keyed.select("page_key", F.col("page_key").alias("tokens")).distinct(), found), "page_key").select("row", "confidence")
     mined = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return keyed.join(hits, "page_key", "left").select("page_id", "host", "path", "rule", F.coalesce("listed", mined).alias("verdict"), F.when(F.col("listed").isNull(), F.col("confidence")).alias("confidence"))
+    return judged.join(hits, "row", "left").select("page_id", "host", "path", "rule", F.coalesce("listed", mined).alias("verdict"), "confidence")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,3 +243,39 @@ def test_pipeline_judges_near_copies_on_five_words_and_every_row(spark, tmp_path
     assert left(corpus_pipeline.exact_copies, [(7, one), (7, one), (7, two), (None, one), (None, BASE), (None, BASE)]) == sorted([("7", one), ("7", two), ("None", BASE)])
     junk, text = "BUY!! NOW$$ *** " * 40, f"{BASE}.\nAnother line of text"
     assert left(corpus_pipeline.quality_rules, [(None, junk), (3, junk), (3, text), (None, text)]) == sorted([("3", text), ("None", text)])
+
+
+@pytest.mark.parametrize(
+    "url", ["http://a{i}.org/x{i}/y/{w}/1", "http://{w}.b.c.d.example.org/p{i}", "http://a.org/p{i}?page={i}&{w}=1", "http://a.org/p{i}?page={i}&ref={w}", "http://a{i}.org/best-{w}-{i}", "http://my-{w}-{i}.org/", "http://a.org/" + "x/" * 12 + "{w}/{i}"]
+)
+def test_urls_are_mined_whole(spark, url):
+    pages = spark.createDataFrame([(i, url.format(i=i, w="casino" if i % 3 == 0 else "garden")) for i in range(60)], "page_id long, url string")
+    marks = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(45)], "doc_id long, quality int, toxic int")
+    found = {r["page_id"]: r["verdict"] for r in rows(url_filter.url_filter(pages, marks, min_support=0.1))}
+    assert all((found[i] == "block") == (i % 3 == 0) for i in range(60))
+
+
+def test_mined_rules_against_all_rules(spark):
+    """Confidences against every rule over all tokens, by brute force."""
+    import random
+    from itertools import combinations
+
+    rng = random.Random(5)
+    urls = [f"http://h.org/{rng.choice('ab')}/{rng.choice('cd')}" + rng.choice(["", "?k=v", "#f"]) for _ in range(60)]
+    bad = [("/a" in u and "/c" in u) != (rng.random() < 0.2) for u in urls]
+    judged = url_filter.with_tokens(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    bags = {r["page_id"]: frozenset(r["tokens"]) for r in rows(judged)}
+    labelled, n_bad = range(40), sum(bad[:40])
+    best = dict.fromkeys(bags)
+    sets = {frozenset(c) for i in labelled for n in (1, 2, 3) for c in combinations(sorted(bags[i]), n)}
+    for s in sets:
+        fits = [i for i in labelled if s <= bags[i]]
+        hits = sum(bad[i] for i in fits)
+        if hits >= 4 and hits / len(fits) >= 0.5 and hits / len(fits) / (n_bad / 40) >= 1.5:
+            for i, bag in bags.items():
+                if s <= bag:
+                    best[i] = max(best[i] or 0, hits / len(fits))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    marks = spark.createDataFrame([(i, int(not bad[i]), 0) for i in labelled], "doc_id long, quality int, toxic int")
+    found = {r["page_id"]: r["confidence"] for r in rows(url_filter.url_filter(pages, marks, min_support=0.1))}
+    assert any(best.values()) and found == pytest.approx(best)
