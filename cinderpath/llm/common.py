@@ -20,20 +20,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a folder of our own only where none is set, as in tests."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where none is set: a temporary one in local mode, else the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cinderpath-"))
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cinderpath-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/cinderpath-shared")
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: computed once, and not again when an executor is lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cinderpath/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables made by ``written`` that nothing will read again."""
+    for df in frames:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -281,44 +281,44 @@ def test_mined_rules_against_all_rules(spark):
     assert any(best.values()) and found == pytest.approx(best)
 
 
-@pytest.mark.parametrize("hot", [0.05])
-def test_language_model_against_the_whole_tree(spark, hot):
-    """Scores by brute force: counts are absolute, contexts as deep as they pass; with and without the broadcast part."""
+@pytest.mark.parametrize("entries", [2_000_000, 12])
+def test_language_model_against_the_whole_tree(spark, entries):
+    """Scores by brute force: counts are absolute, contexts grow as long as they pass; with all and with little of the tree broadcast."""
     import random
     from math import log, sqrt
 
     rng = random.Random(1)
     phrases = ["a b c d", "x b c e", "a q c f", "x q c g"]
-    texts = [(i, " ".join(rng.choice(phrases) if rng.random() < 0.8 else f"r{rng.randrange(300)}" for _ in range(12))) for i in range(50)] + [(100 + i, " ".join(f"copy{j}" for j in range(30))) for i in range(8)]
+    texts = [(i, " ".join(rng.choice(phrases) if rng.random() < 0.8 else f"r{rng.randrange(300)}" for _ in range(12))) for i in range(300)] + [(1000 + i, " ".join(f"copy{j}" for j in range(30))) for i in range(8)]
     all_words = {i: [*t.encode().split(), b"\n"] for i, t in texts}
     training = [w for i, w in all_words.items() if zlib.crc32(str(i).encode()) % 7 != 2]
     counts = Counter(x for w in training for x in w)
     total, distinct, k = sum(counts.values()), len(counts), 0.5
     root = lambda x: (counts[x] + 1) / (total + distinct + 1)
-    levels, kept = [], set()
-    prob = lambda s, x: root(x) if not s else levels[len(s) - 1][s][0].get(x, 0) / (levels[len(s) - 1][s][1] + k) + levels[len(s) - 1][s][2] * prob(s[1:], x)
+    kept = {}  # context: continuations, number, escape
+    prob = lambda s, x: root(x) if not s else kept[s][0].get(x, 0) / (kept[s][1] + k) + kept[s][2] * prob(s[1:], x)
+    grows = {()}
     for d in range(1, 50):
         follow = {}
         for w in training:
             for i in range(d, len(w)):
-                follow.setdefault(tuple(w[i - d : i]), Counter())[w[i]] += 1
-        now = {}
+                if tuple(w[i - d + 1 : i]) in grows:
+                    follow.setdefault(tuple(w[i - d : i]), Counter())[w[i]] += 1
+        grows = set()
         for s, c in follow.items():
             n = sum(c.values())
             seen = {x: m for x, m in c.items() if m >= 2}
-            if n >= 5 and seen and (d == 1 or (s[1:] in levels[-1] and max(levels[-1][s[1:]][0].values()) < levels[-1][s[1:]][1])):
-                now[s] = (seen, n, (n - sum(seen.values()) + k) / (n + k))
-        levels.append(now)
-        passed = set()
-        for s, (seen, n, _) in now.items():
+            if n < 5 or not seen:
+                continue
             below = {x: prob(s[1:], x) for x in seen}
-            rest = n - sum(seen.values())
+            rest, free, bound = n - sum(seen.values()), len(seen), log(total)
             statistic = sum(m * log(m / (n * below[x])) for x, m in seen.items()) + (rest * log(rest / (n * max(1 - sum(below.values()), 1e-12))) if rest else 0)
-            if 2 * statistic > len(seen) + 3 * sqrt(2 * len(seen)):
-                passed.add(s)
-        if not passed:
+            if 2 * statistic > free + 2 * sqrt(free * bound) + 2 * bound:
+                kept[s] = (seen, n, (rest + k) / (n + k))
+                if max(seen.values()) < n:
+                    grows.add(s)
+        if not grows:
             break
-        kept |= {s[j:] for s in passed for j in range(d)}
     assert max(map(len, kept)) >= 3  # deeper than two
     want = {}
     for i, w in all_words.items():
@@ -326,5 +326,6 @@ def test_language_model_against_the_whole_tree(spark, hot):
         for j, x in enumerate(w):
             s = next((tuple(w[j - d : j]) for d in range(min(j, 50), 0, -1) if tuple(w[j - d : j]) in kept), ())
             want[i] += log10(prob(s, x))
-    found = {r["doc_id"]: r["score"] for r in rows(suffix_tree_lm.suffix_tree_scores(spark.createDataFrame(texts, "doc_id long, text string"), hot=hot))}
+    scores = suffix_tree_lm.suffix_tree_scores(spark.createDataFrame(texts, "doc_id long, text string"), min_context=5, min_joint=2, entries=entries)
+    found = {r["doc_id"]: r["score"] for r in rows(scores)}
     assert found == pytest.approx(want)
