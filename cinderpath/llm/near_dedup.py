@@ -12,12 +12,16 @@ A document's set holds the distinct 2-word shingles of its lower-cased words (A-
    partial aggregation and a join that adaptive execution splits, never by collecting a bucket.
 4. Second stars: in each bucket whose rows are still in several components, the rows outside its largest component are compared
    with a pivot, the member of that component with the fewest shingles of its own - in a family of copies the least edited one.
-5. Rest: the rows that are still outside are compared with all rows of the bucket, so that no candidate link between different texts
-   is lost. An exact bound leaves few of these pairs: two sets share at most what they share inside the pivot's set - known from
-   bit masks over the pivot's shingles - and the smaller of their parts outside it. A pair is emitted in one bucket only, that
-   of its first two agreeing collections.
+5. Rest: rows that are still outside may yet be linked with any row of another component of the bucket. Exact bounds leave few of
+   these pairs, and no link is lost. Let D be the symmetric difference of a row and the pivot, n its size and ``own`` the number of
+   shingles that no other open class has. Two rows x and y are linked exactly if |Dx| + |Dy| - 2 |Dx and Dy| <= (n_x + n_y) / 9 (for
+   80 %), and no more than |D| - own can be shared. So a row is out, by itself, if |D| - n / 9 is beyond the largest
+   |D| - 2 own + n / 9 of the others at its pivot: copies edited at random fall away here, one by one. What is left is paired if what
+   the two share inside the pivot (known from bit masks over its shingles) and at most share outside it (the smaller part without
+   own shingles) allows the link. Pairs are looked for by pivot.
 6. Every candidate pair that passes the size bound is verified on the full sets (as sorted 64-bit shingle hashes).
-7. Components: smallest labels are passed along links, with pointer jumping, each round written to the shared folder.
+7. Components: smallest labels are passed along links, with pointer jumping, each round written to the shared folder. Later links
+   only join components, so they are handled between these.
 
 Defined cases: a text without words has an empty set, is linked with nothing and kept; a text of one word has one shingle, the word; a
 row with a null id is linked with nothing and kept, its component_id null; rows that share an id are one document; ties go to
@@ -27,14 +31,13 @@ the smallest id; an empty table gives an empty result; other columns are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, sized, written
+from .common import discard, documents, id_and_text, sized, written
 
 HALVES, WIDTH, SHINGLE = 14, 3, 2
 CACHE = 1_000_000
@@ -136,37 +139,55 @@ def with_pivots(rows: DataFrame, own: DataFrame) -> DataFrame:
     return rows.join(central.select("key", F.col("p.id").alias("pivot")), "key")
 
 
-def masks(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """id, pivot, n, outside, bits: how each open class lies to the pivots of its buckets; a bit for each shingle of the pivot."""
+def masks(rows: DataFrame, sets: DataFrame, own: DataFrame) -> DataFrame:
+    """id, pivot, n, delta, own, free, bits: how each open class lies to the pivots of its buckets.
+
+    delta: size of the symmetric difference; own: shingles of no other open class; free: other shingles outside the pivot; a bit for
+    each shingle of the pivot.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for x, y in zip(batch.column("shingles"), batch.column("center"), strict=True):
+            for x, y, own in zip(batch.column("shingles"), batch.column("center"), batch.column("own").to_pylist(), strict=True):
                 s, center = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 inside = np.isin(center, s, assume_unique=True)
                 bits = np.packbits(np.pad(inside, (0, -len(inside) % 64))).view(np.int64)
-                found.append((len(s), len(s) - int(inside.sum()), bits.tolist()))
-            columns = zip(*found, strict=True) if found else [[]] * 3
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("pivot"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "pivot", "n", "outside", "bits"])
-
-    pairs = rows.select("id", "pivot").distinct().join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("center")), "pivot")
-    return pairs.select("id", "pivot", "shingles", "center").mapInArrow(run, "id long, pivot long, n long, outside long, bits array<long>")
-
-
-def across_components(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, halves: int) -> DataFrame:
-    """Pairs (a, b), a < b, of one bucket and different components that the bound doesn't exclude; rows: with pivots."""
-    full = rows.join(masks(rows, sets), ["id", "pivot"]).join(classes.select("id", "halves"), "id")
-    full = full.withColumn("at", (F.array_position(keys_of(halves), F.col("key")) - 1).cast("int"))
-    first, second = (F.get(F.array(*[F.lit(p[k]) for p in combinations(range(halves), 2)]), F.col("at")) for k in (0, 1))
-    full = written(full.withColumns({"i": first, "j": second}).drop("at"), "open-rows")
-    columns = ("id", "component", "n", "outside", "bits", "halves")
-    x = full.where("component <> main").select("key", "i", "j", *[F.col(c).alias(c + "_x") for c in columns])
-    y = full.select("key", *[F.col(c).alias(c + "_y") for c in columns])
-    most = "(aggregate(zip_with(bits_x, bits_y, (p, q) -> CAST(bit_count(p & q) AS BIGINT)), 0L, (s, v) -> s + v) + least(outside_x, outside_y))"
-    here = "NOT exists(sequence(0, j), k -> k <> i AND k <> j AND halves_x[k] = halves_y[k])"
-    met = x.join(y, "key").where(f"component_x <> component_y AND {here} AND {100 + percent} * {most} >= {percent} * (n_x + n_y)")
+                both = int(inside.sum())
+                found.append((len(s), len(s) + len(center) - 2 * both, own, len(s) - both - own, bits.tolist()))
+            columns = zip(*found, strict=True) if found else [[]] * 5
+            kinds = (*[pa.int64()] * 4, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("pivot"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "pivot", "n", "delta", "own", "free", "bits"])
+
+    # the pivot's own shingles are in the difference of every other row, not in its own
+    mine = F.when(F.col("id") == F.col("pivot"), 0).otherwise(F.coalesce("own", F.lit(0))).cast("long")
+    pairs = rows.select("id", "pivot").distinct().join(own, "id", "left").select("id", "pivot", mine.alias("own")).join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("center")), "pivot")
+    return pairs.select("id", "pivot", "own", "shingles", "center").mapInArrow(run, "id long, pivot long, n long, delta long, own long, free long, bits array<long>")
+
+
+def able_to_link(lying: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``masks`` that some other row at their pivot can be linked with, by sizes alone."""
+    wide, narrow = 100 + percent, 100 - percent
+    bounded = lying.withColumns({"least": F.expr(f"{wide} * delta - {narrow} * n"), "most": F.expr(f"{wide} * (delta - 2 * own) + {narrow} * n")})
+    first = bounded.groupBy("pivot").agg(F.max(F.struct("most", "id")).alias("top"))
+    ranked = bounded.join(first, "pivot")
+    second = ranked.where("id <> top.id").groupBy("pivot").agg(F.max("most").alias("next"))
+    return ranked.join(second, "pivot").where("least <= CASE WHEN id = top.id THEN next ELSE top.most END").drop("top", "next")
+
+
+def across_components(rows: DataFrame, sets: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of different components that meet at a pivot and that the bounds don't exclude; rows: with pivots.
+
+    All rows of a bucket meet at its pivot, and most buckets of a group have the same one, so a pair is looked at about once, not once
+    for each key that it shares.
+    """
+    lying = written(masks(rows, sets, own), "masks")
+    full = written(able_to_link(lying, percent).join(rows.select("id", "component").distinct(), "id").join(rows.select("pivot", "main").distinct(), "pivot"), "able")
+    columns = ("id", "component", "n", "free", "least", "most", "bits")
+    x = full.where("component <> main").select("pivot", *[F.col(c).alias(c + "_x") for c in columns])
+    y = full.select("pivot", *[F.col(c).alias(c + "_y") for c in columns])
+    shared = "(aggregate(zip_with(bits_x, bits_y, (p, q) -> CAST(bit_count(p & q) AS BIGINT)), 0L, (s, v) -> s + v) + least(free_x, free_y))"
+    met = x.join(y, "pivot").where(f"component_x <> component_y AND least_x <= most_y AND least_y <= most_x AND {100 + percent} * {shared} >= {percent} * (n_x + n_y)")
     return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
@@ -211,16 +232,32 @@ def components(links: DataFrame, label: str) -> DataFrame:
     """id, component (its smallest id): of every id that has a link."""
     edges = written(links.select("a", "b").union(links.select("b", "a")), f"{label}-edges")
     labels = written(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("component")), f"{label}-labels")
+    before = labels
     while True:
         around = edges.join(labels.select(F.col("id").alias("b"), F.col("component").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
         lower = labels.join(around, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("now"))
         jump = labels.select(F.col("id").alias("now"), F.col("component").alias("further"))
         moved = written(lower.join(jump, "now", "left").select("id", "old", F.least("now", "further").alias("component")), f"{label}-labels")
-        labels = moved.select("id", "component")
+        discard(before)
+        labels, before = moved.select("id", "component"), moved
         if moved.where("component < old").isEmpty():
+            discard(edges)
             return labels
 
 
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` with the components that further links join made one."""
+    end = lambda side: groups.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))
+    joined = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("of_a", "a").alias("x"), F.coalesce("of_b", "b").alias("y"))
+    between = written(joined.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "between")
+    if between.isEmpty():
+        return groups
+    names = components(between, "merged").select(F.col("id").alias("component"), F.col("component").alias("name"))
+    # classes that had no component are names of their own
+    alone = names.join(groups.select("id"), names["component"] == groups["id"], "left_anti").select(F.col("component").alias("id"), F.col("name").alias("component"))
+    return written(groups.join(names, "component", "left").select("id", F.coalesce("name", "component").alias("component")).unionByName(alone), "groups")
+
+
 def near_groups(docs: DataFrame, percent: int = 80, halves: int = HALVES, width: int = WIDTH, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per row of ``docs``."""
     signed = written(signatures(docs, halves, width, size), "signatures")
@@ -235,14 +272,15 @@ def near_groups(docs: DataFrame, percent: int = 80, halves: int = HALVES, width:
     stars = members.where("id > hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
     links = written(verified(fitting(stars, sizes, percent), sets, percent), "links")
     groups = components(links, "first")
+    discard(links)
     rows = open_rows(members, groups)
     own = own_shingles(rows, sets)
     second = with_pivots(rows, own).where("component <> main").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
-    links = written(links.union(verified(fitting(second, sizes, percent), sets, percent)), "links")
-    groups = components(links, "second")
-    across = across_components(with_pivots(open_rows(members, groups), own), classes, sets, percent, halves)
-    more = written(verified(across, sets, percent), "links")
-    groups = groups if more.isEmpty() else components(links.union(more), "all")
+    groups = merged(groups, verified(fitting(second, sizes, percent), sets, percent))
+    discard(rows)
+    rows = open_rows(members, groups)
+    groups = merged(groups, verified(across_components(with_pivots(rows, own), sets, own, percent), sets, percent))
+    discard(rows, own, sets, members)
     named = classes.select("set_hash", "id").join(groups, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
     found = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(named, "set_hash", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
