@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,7 +41,10 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Deletes tables made by ``written`` that nothing will read again."""
+    """Deletes tables made by ``written`` that nothing will read again, and lets Spark's cleaner drop the shuffles that made them."""
+    gc.collect()
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
     for df in frames:
         spark = df.sparkSession
         place = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)

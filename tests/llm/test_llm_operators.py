@@ -339,7 +339,7 @@ def test_language_model_against_the_whole_tree(spark, entries):
             below = {x: prob(s[1:], x) for x in seen}
             rest, free, bound = n - sum(seen.values()), len(seen), log(total)
             statistic = sum(m * log(m / (n * below[x])) for x, m in seen.items()) + (rest * log(rest / (n * max(1 - sum(below.values()), 1e-12))) if rest else 0)
-            if 2 * statistic > free + 2 * sqrt(free * bound) + 2 * bound:
+            if 2 * statistic > free + 2 * sqrt(free * bound) + 2 * bound and statistic >= 0.05 * n:
                 kept[s] = (seen, n, (rest + k) / (n + k))
                 if max(seen.values()) < n:
                     grows.add(s)
