@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 from math import log10
@@ -227,6 +228,54 @@ def test_notices(docs):
     assert by[14]["matches"][0]["edits"] == 1 and by[4]["n_words"] == 0 and not by[1]["matches"]
 
 
+def test_notices_are_told_apart():
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES, license_scan.CHARS_PER_EDIT)
+    near = lambda text: [(m["label"], m["start_word"], m["end_word"]) for m in sorted(scanner.scan(text.encode())[1], key=lambda m: m["start_word"]) if not m["exact"]]
+    assert near("Licensed under CC BY-SA 4.0.") == [("cc-by-sa", 0, 7)] and near("Licensed under CC BY-NC 4.0.") == [("cc-by-nc", 0, 7)]
+    for name in ("BSD", "ISC", "GPL"):
+        assert [x[0] for x in near(f"code licensed under the {name} license here")] == [name.lower()]
+    both = "released under the MIT licence released under the MIT license"
+    assert near(both) == near(" ".join([*both.split()[5:], *both.split()[:5]])) == [("mit", 0, 5), ("mit", 5, 10)]
+    start = time.process_time()
+    n, found = scanner.scan(b"cc by " * 80_000)
+    assert n == 160_000 and len(found) == 80_000 and found[-1]["start_word"] == 159_998 and time.process_time() - start < 5
+
+
+def test_notices_against_all_windows():
+    """The label of a place is that of the notice with the fewest edits, over all windows of the text by dynamic programming."""
+    import random
+
+    def fewest(notice, text):
+        row = [0] * (len(text) + 1)  # a match may begin anywhere
+        for i, x in enumerate(notice, 1):
+            last, row = row, [i] + [0] * len(text)
+            for j, y in enumerate(text, 1):
+                row[j] = min(last[j - 1] + (x != y), last[j] + 1, row[j - 1] + 1)
+        return min(row)
+
+    rng = random.Random(11)
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES, license_scan.CHARS_PER_EDIT)
+    planted = 0
+    for _ in range(120):
+        notice, label, fixed = rng.choice(license_scan.NOTICES)
+        allowed = max(1, len(notice) // license_scan.CHARS_PER_EDIT)
+        words = notice.split()
+        for _ in range(rng.randrange(allowed + 3)):
+            k = rng.choice([k for k, w in enumerate(words) if w not in fixed])
+            at = rng.randrange(len(words[k]))
+            words[k] = words[k][:at] + rng.choice(["z", "q", "zq"]) + words[k][at + rng.randrange(2) :]
+        noise = [" ".join(rng.choice(["morning", "garden", "seven", "window", "yellow"]) for _ in range(4)) for _ in range(2)]
+        text = f" {noise[0]} {' '.join(words)} {noise[1]} "
+        near = [(fewest(f"{n}", text), -len(n), tag) for n, tag, must in license_scan.NOTICES if all(f" {w} " in text for w in must)]
+        near = [x for x, (n, _, must) in zip(near, [n for n in license_scan.NOTICES if all(f" {w} " in text for w in n[2])], strict=True) if x[0] <= max(1, len(n) // license_scan.CHARS_PER_EDIT)]
+        found = [m for m in scanner.scan(text.encode())[1] if not m["exact"]]
+        assert [m["label"] for m in found] == [x[2] for x in sorted(near)[:1]], (text, found, sorted(near)[:3])
+        if found:
+            planted += 1
+            assert found[0]["edits"] == min(near)[0]
+    assert 40 < planted < 120
+
+
 def test_encoding(docs):
     from tokenizers import Tokenizer
 
