@@ -3,8 +3,9 @@
 1. ``features`` counts, in one pass over whole texts, what the rules look at. Nothing is exploded: words, lines and windows are
    arrays inside the row, so this pass has no shuffle whatever the length of a text.
 2. ``votes`` turns the counts into votes: 1 good, 0 bad, null abstains.
-3. ``reliabilities`` aggregates the votes into counts of patterns - at most 3^8 = 6,561 rows, whatever the size of the corpus - and
-   runs expectation-maximisation on those counts.
+3. ``reliabilities`` aggregates the votes into counts of patterns - at most 3^9 = 19,683 rows, whatever the size of the corpus - and
+   runs expectation-maximisation on those counts. Only documents that the base rule (too short, or mostly repeated) leaves open are
+   counted: it decides the others by itself, and would else be what the two classes settle on. The rules look at other grounds.
 4. ``judge`` computes each document's posterior probability of being good. This posterior replaces "all rules must pass".
 
 Words in 3-word windows found twice or more (``n_repeat_words``) are found by sorting (64-bit window hash, position) pairs in the row
@@ -28,15 +29,22 @@ from .common import documents, text_or_empty, words_of, written
 SYMBOLS = "[#*$%&|<>]"
 #: rule: (good, bad) as SQL conditions on the counts; neither means that the rule abstains.
 RULES: dict[str, tuple[str, str]] = {
-    "length": ("n_words >= 100", "n_words < 50"),
-    "word_length": ("word_chars BETWEEN 3 * n_words AND 10 * n_words", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
     "symbols": ("100 * n_symbols <= n_words", "10 * n_symbols > n_words"),
+    "word_length": ("2 * word_chars BETWEEN 6 * n_words AND 13 * n_words", "2 * word_chars < 5 * n_words OR word_chars > 7 * n_words"),
+    "plain_words": ("100 * n_plain >= 80 * n_words", "100 * n_plain < 60 * n_words"),
+    "lone_marks": ("100 * n_marks <= 2 * n_words", "10 * n_marks > n_words"),
+    "line_ends": ("100 * n_ended >= 70 * n_lines", "100 * n_ended < 50 * n_lines"),
     "duplicate_lines": ("n_dup_lines = 0 AND n_lines > 1", "10 * n_dup_lines > 3 * n_lines"),
-    "repeats": ("100 * n_repeat_words <= 10 * n_words", "100 * n_repeat_words > 40 * n_words"),
     "capitals": ("5 * n_capitals <= word_chars", "2 * n_capitals > word_chars"),
     "variety": ("10 * n_distinct >= 3 * n_words", "10 * n_distinct < n_words"),
     "shouts": ("100 * n_shouts <= n_words", "4 * n_shouts > n_words"),
 }
+#: What the base rule refuses, whatever the votes.
+BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
+#: Words of letters only, with punctuation after them; words without a letter or digit; line ends after a sentence.
+PLAIN = r"""(?<![^\x20\x09-\x0D])[("'«„“]?[\p{L}\p{M}'’-]+[.,;:!?…)"'»”]*(?![^\x20\x09-\x0D])"""
+MARKS = r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"
+ENDED = r"""[.!?…。！？]["'»”)]?[\x20\x09\x0B-\x0D]*(?=\n|\z)"""
 
 
 @dataclass(frozen=True)
@@ -76,9 +84,10 @@ def features(docs: DataFrame) -> DataFrame:
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
         F.regexp_count(text, F.lit("!+")).cast("long").alias("n_shouts"),
+        *(F.regexp_count(text, F.lit(pattern)).cast("long").alias(name) for name, pattern in (("n_plain", PLAIN), ("n_marks", MARKS), ("n_ended", ENDED))),
     )
     counted = rows.select(
-        "doc_id", "n_symbols", "n_capitals", "n_shouts", "words",
+        "doc_id", "n_symbols", "n_capitals", "n_shouts", "n_plain", "n_marks", "n_ended", "words",
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
@@ -94,16 +103,16 @@ def votes(counted: DataFrame) -> DataFrame:
     return counted.withColumns({f"vote_{rule}": F.expr(f"CASE WHEN {bad} THEN 0 WHEN {good} THEN 1 END") for rule, (good, bad) in RULES.items()})
 
 
-def reliabilities(voted: DataFrame, steps: int = 50, prior: float = 0.85, accuracy: float = 0.8, smoothing: float = 1.0) -> Reliabilities:
-    """Estimated over all rows. An empty table leaves the starting values.
+def reliabilities(voted: DataFrame, steps: int = 50, prior: float = 0.85, start: tuple = ((0.7, 0.03, 0.27), (0.45, 0.35, 0.2)), smoothing: float = 1.0) -> Reliabilities:
+    """Estimated over all rows that the base rule leaves open. Without any, the starting values stay.
 
-    The starting values say that a rule is right with probability ``accuracy`` and that most documents are good, which also fixes
-    which of the two classes is called good. ``smoothing`` is added to each count, so no probability becomes 0. What reaches the
-    driver is one row for each pattern of votes, 3^8 at most.
+    The starting values (of good and of bad documents: shares of the votes good, bad and none) say that a rule seldom finds a defect in
+    a good document, that a bad one has few of all defects, and that most documents are good. This also fixes which of the two classes
+    is called good. ``smoothing`` is added to each count, so no probability becomes 0. What reaches the
+    driver is one row for each pattern of votes, 3^9 at most.
     """
-    patterns = [(row[:-1], row[-1]) for row in voted.groupBy(*[f"vote_{rule}" for rule in RULES]).agg(F.count(F.lit(1))).collect()]
-    start = (accuracy * 0.7, (1 - accuracy) * 0.7, 0.3)
-    now = Reliabilities(prior, dict.fromkeys(RULES, start), dict.fromkeys(RULES, (start[1], start[0], start[2])))
+    patterns = [(row[:-1], row[-1]) for row in voted.where(f"NOT ({BASE_FAILED})").groupBy(*[f"vote_{rule}" for rule in RULES]).agg(F.count(F.lit(1))).collect()]
+    now = Reliabilities(prior, *(dict.fromkeys(RULES, shares) for shares in start))
     kinds = {1: 0, 0: 1, None: 2}
     for _ in range(steps if patterns else 0):
         mass = {True: 0.0, False: 0.0}
@@ -127,7 +136,7 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, posterior, kept; one row per row of ``docs``."""
     voted = votes(written(features(docs), "quality-features"))
     posterior = reliabilities(voted).posterior()
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = F.expr(BASE_FAILED)
     return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), posterior.alias("posterior")).withColumn(
         "kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)
     )

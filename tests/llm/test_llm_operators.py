@@ -152,6 +152,19 @@ def test_quality_votes_agree(spark):
     assert all(kept[i] for i, _ in good) and not any(kept[i] for i, _ in bad)
 
 
+def test_quality_refuses_junk_that_the_base_rule_passes(spark):
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randrange(2, 9)))
+    text = lambda end: "\n".join(" ".join(word() + end(i) for i in range(12)) + "." for _ in range(8))
+    good = [(i, text(lambda i: "," if i % 5 == 4 else "")) for i in range(150)]
+    junk = [(1000 + i, text(lambda i: rng.choice(["$$$", "&&&", " |", "###"]))) for i in range(15)] + [(2000 + i, "buy now " * 60) for i in range(15)]
+    found = {r["doc_id"]: r for r in rows(quality.judge(spark.createDataFrame(good + junk, "doc_id long, text string")))}
+    assert all(found[i]["kept"] for i, _ in good) and not any(found[i]["kept"] for i, _ in junk)
+    assert not any(found[1000 + i]["base_failed"] for i in range(15))
+
+
 def test_urls(spark, labels):
     urls = ["https://WWW.Example.com/en/x", "http://a.example.com/en/1", "http://net/es/2", "http://b.net/fr", "ftp://c.org/?q#f", None, "no scheme", "http://", "http://com"]
     pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string")
@@ -330,23 +343,52 @@ def test_urls_are_mined_whole(spark, url):
     assert all((found[i] == "block") == (i % 3 == 0) for i in range(60))
 
 
+def test_urls_without_an_association_are_allowed(spark):
+    """Labels that don't depend on the url block next to nothing, and the listed columns are right on the whole table."""
+    from urllib.parse import urlsplit
+
+    pages, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("pages", "labels"))
+    found = rows(url_filter.op2_url_filter(spark, "/root/testdata/sf0.01"))
+    open_ = [r for r in found if r["rule"] is None]
+    assert len(open_) > 100 and sum(r["verdict"] == "block" for r in open_) <= 0.02 * len(open_)
+    assert marks.count() and len(found) == pages.count()
+    urls = {r["page_id"]: r["url"] or "" for r in rows(pages)}
+    for r in found:
+        url = urls[r["page_id"]]
+        host = "".join(c.lower() if c.isascii() else c for c in re.split("[/?#]", url.partition("://")[2])[0])
+        path = re.split("[?#]", url.partition("://")[2])[0][len(host) :]
+        fits = [(h + p, v) for v, h, p in url_filter.LISTED if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, r["verdict"]))
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict) and urlsplit(url) is not None
+
+
 def test_mined_rules_against_all_rules(spark):
     """Confidences against every rule over all tokens, by brute force."""
     import random
     from itertools import combinations
+    from math import log
 
     rng = random.Random(5)
-    urls = [f"http://h.org/{rng.choice('ab')}/{rng.choice('cd')}" + rng.choice(["", "?k=v", "#f"]) for _ in range(60)]
-    bad = [("/a" in u and "/c" in u) != (rng.random() < 0.2) for u in urls]
+    urls = [f"http://h.org/{rng.choice('ab')}/{rng.choice('cd')}" + rng.choice(["", "?k=v", "#f"]) for _ in range(320)]
+    bad = [("/a" in u and "/c" in u) != (rng.random() < 0.1) for u in urls]
     judged = url_filter.with_tokens(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
     bags = {r["page_id"]: frozenset(r["tokens"]) for r in rows(judged)}
-    labelled, n_bad = range(40), sum(bad[:40])
+    labelled, n_bad = range(240), sum(bad[:240])
     best = dict.fromkeys(bags)
     sets = {frozenset(c) for i in labelled for n in (1, 2, 3) for c in combinations(sorted(bags[i]), n)}
+    # itemsets as they are mined: tokens of at least 24 unwanted pages, not of all pages, one for tokens of the same pages
+    of = lambda s: frozenset(i for i in labelled if s <= bags[i])
+    pages_of = {t: of({t}) for t in set().union(*(bags[i] for i in labelled))}
+    chosen = {p: min(t for t in pages_of if pages_of[t] == p) for p in pages_of.values() if sum(bad[i] for i in p) >= 24 and len(p) < 240}
+    mined = [frozenset(chosen[pages_of[t]] for t in bags[i] if pages_of[t] in chosen) | ({"!bad"} if bad[i] else set()) for i in labelled]
+    support = Counter(frozenset(c) for m in mined for n in range(1, len(m) + 1) for c in combinations(sorted(m), n))
+    tests = sum(n >= 24 for n in support.values())
     for s in sets:
         fits = [i for i in labelled if s <= bags[i]]
         hits = sum(bad[i] for i in fits)
-        if hits >= 4 and hits / len(fits) >= 0.5 and hits / len(fits) / (n_bad / 40) >= 1.5:
+        c, p = hits / len(fits), n_bad / 240
+        gain = c * log(c / p) + ((1 - c) * log((1 - c) / (1 - p)) if c < 1 else 0) if hits else 0
+        if hits >= 24 and c >= 0.5 and c / p >= 1.5 and len(fits) * gain >= log(tests / 0.01):
             for i, bag in bags.items():
                 if s <= bag:
                     best[i] = max(best[i] or 0, hits / len(fits))
