@@ -6,7 +6,9 @@ the longest rule that fits wins. They are literals of the plan, a fixed handful,
 For every other url the verdict comes from mined rules. Labelled pages (``labels`` joined on page_id = doc_id; a page is unwanted if
 its label says low quality or toxic) become transactions of the url's tokens plus the item ``!bad`` where unwanted. Spark's FP-growth
 finds frequent token combinations, and association rules that end in ``!bad`` are kept if confidence, support and lift reach the
-given values. The whole url is tokenised: all host labels, path segments, query keys and values, by place, and the words inside them
+given values and chance doesn't explain them: an antecedent of n labelled pages, of which a share c is unwanted against a share p of
+all, has a chance of at most e^(-n KL(c, p)) (Chernoff's bound), and over all the itemsets that were looked at ``risk`` such rules
+may be expected. Without that test a single labelled page would make rules of all its tokens. The whole url is tokenised: all host labels, path segments, query keys and values, by place, and the words inside them
 at any place. What is left out before mining can't change a verdict or its confidence: tokens that are in fewer unwanted pages than
 the support asks for are in no rule; a token in all pages adds nothing to a rule (where a lift over 1 is asked for); and tokens that are
 in just the same labelled pages stand for each other, so they are mined as one item, which a url has if it has any of them (the sets of
@@ -23,7 +25,7 @@ are each judged; an empty table gives an empty result; other columns are ignored
 
 from __future__ import annotations
 
-from math import ceil
+from math import ceil, log
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -107,17 +109,25 @@ def items_of(rows: DataFrame, items: DataFrame) -> DataFrame:
     return met.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def mine(judged: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 1.5) -> tuple[DataFrame, DataFrame]:
+def mine(judged: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 1.5, min_pages: int = 4, risk: float = 0.01) -> tuple[DataFrame, DataFrame]:
     """antecedent, confidence: the association rules antecedent => unwanted that are worth keeping; and token, item: what the antecedents' items stand for."""
     marks = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy(F.col("doc_id").alias("page_id"))
     marks = marks.agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
     basket = written(judged.where(F.size("tokens") > 0).join(marks, "page_id").select("row", "bad", "tokens"), "baskets")
-    items = alike(basket, max(1, ceil(min_support * basket.count())), min_lift <= 1)
+    total, unwanted = basket.agg(F.count(F.lit(1)), F.count_if("bad")).first()
+    min_support = min(1.0, max(min_support, min_pages / max(1, total)))
+    items = alike(basket, max(1, ceil(min_support * total)), min_lift <= 1)
     found = F.coalesce("items", F.array().cast("array<string>"))
     itemsets = basket.select("row", "bad").join(items_of(basket, items), "row", "left").select(F.when(F.col("bad"), F.array_append(found, F.lit(BAD))).otherwise(found).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(written(itemsets, "itemsets"))
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.get("consequent", F.lit(0)) == BAD) & (F.col("lift") >= min_lift))
-    return written(rules.select("antecedent", "confidence"), "rules"), items
+    share, c = unwanted / max(1, total), F.col("confidence")
+    if not 0 < share < 1:
+        return rules.select("antecedent", "confidence").limit(0), items
+    tests = model.freqItemsets.count()
+    gain = c * F.ln(c / share) + F.when(c < 1, (1 - c) * F.ln((1 - c) / (1 - share))).otherwise(0.0)
+    proven = rules.where(F.col("support") * total / c * gain >= log(max(1, tests) / risk))
+    return written(proven.select("antecedent", "confidence"), "rules"), items
 
 
 def matched(judged: DataFrame, rules: DataFrame, broadcast_rules: int = 100_000) -> DataFrame:
