@@ -9,6 +9,7 @@ from collections import Counter
 from math import log10
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cinderpath.llm import best_fit, bpe_lexicon, exact_dedup, license_scan, near_dedup, pii, quality, suffix_tree_lm, toxicity, url_filter
@@ -63,6 +64,12 @@ def test_exact(docs):
     assert by[3]["keep_id"] == 1 and by[1]["group_size"] == 5 and not by[None]["kept"] and by[5]["keep_id"] == 4 and by[6]["kept"] and by[7]["kept"]
 
 
+@pytest.mark.parametrize("hash_of", [lambda norm: F.substring(F.encode(norm, "UTF-8"), 1, 1), lambda norm: F.encode(F.lit("same"), "UTF-8")])
+def test_exact_tells_colliding_texts_apart(docs, hash_of):
+    want = {tuple(sorted(r.items(), key=lambda x: x[0])) for r in rows(exact_dedup.exact_dedup(docs))}
+    assert {tuple(sorted(r.items(), key=lambda x: x[0])) for r in rows(exact_dedup.exact_dedup(docs, hash_of))} == want
+
+
 def test_near(docs):
     sets = {}
     for i, t in TEXTS:
