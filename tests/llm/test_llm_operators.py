@@ -450,6 +450,6 @@ def test_language_model_against_the_whole_tree(spark, entries):
         for j, x in enumerate(w):
             s = next((tuple(w[j - d : j]) for d in range(min(j, 50), 0, -1) if tuple(w[j - d : j]) in kept), ())
             want[i] += log10(prob(s, x))
-    scores = suffix_tree_lm.suffix_tree_scores(spark.createDataFrame(texts, "doc_id long, text string"), min_context=5, min_joint=2, entries=entries)
+    scores = suffix_tree_lm.suffix_tree_scores(spark.createDataFrame(texts, "doc_id long, text string"), min_context=5, min_joint=2, min_divergence=0.05, entries=entries)
     found = {r["doc_id"]: r["score"] for r in rows(scores)}
     assert found == pytest.approx(want)
