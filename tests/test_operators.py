@@ -87,8 +87,8 @@ def test_every_athlete_and_supplier_is_ranked(spark, tmp_path):
     db = duckdb.connect()
     db.sql(f"CREATE VIEW events AS SELECT * FROM '{LARGER}/events.parquet'")
     got = [tuple(r) for r in entry.queries()["history_sorted"](spark, LARGER).select("id", "athlete_id", "mark", "place").collect()]
-    # the SQL covers the athletes up to 20; the others have one row for each athlete, event and season, with places without gaps
-    assert sorted(r for r in got if r[1] <= 20) == sorted(db.sql(entry.oracle_sql()["history_sorted"]).select("id", "athlete_id", "mark", "place").fetchall())
+    # every athlete has one row for each event and season, with places without gaps
+    assert sorted(got) == sorted(db.sql(entry.oracle_sql()["history_sorted"]).select("id", "athlete_id", "mark", "place").fetchall())
     groups = perf_events(spark, LARGER).select("athlete_id", "event", "season").distinct().groupBy("athlete_id").count().collect()
     places = {}
     for _, athlete, _, place in got:
