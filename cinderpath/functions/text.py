@@ -56,6 +56,11 @@ def clean_event(name: Column) -> Column:
     return F.trim(F.regexp_replace(name, r"\s+[A-Z]School$", ""))
 
 
+def display_date(date: Column) -> Column:
+    """PRJ-13: an ISO date and time without its time."""
+    return F.substring_index(date, "T", 1)
+
+
 def date_from_text(text: Column) -> Column:
     """A date from ``December 27, 2025``, ``Dec 20-22, 2025`` (its first day), ``1/10/2025`` or ISO text; null if none."""
     text = F.regexp_replace(F.trim(text), r"(\d{1,2})-\d{1,2},", "$1,")

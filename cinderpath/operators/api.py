@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .history import matching
 
-#: First names that a broken column once put among the teams are configuration of the deployment; none by default.
-TEAM_BLACKLIST: tuple[str, ...] = ()
+#: First names that a broken column once put among the teams.
+TEAM_BLACKLIST = ("Sam", "Sarah", "Thomas", "John", "David", "Emma", "Madison")
 
 
 def season_like(perf: DataFrame, year: str | None = None, season: str | None = None) -> DataFrame:

@@ -15,6 +15,12 @@ def status_counts(perf: DataFrame) -> DataFrame:
     return perf.where(F.col("mark").isin(*STATUS_MARKS)).groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
 
 
+def record_counts(perf: DataFrame, *by: str) -> DataFrame:
+    """AGG-17: the number of records, and of those with splits; a missing or empty list of splits counts as none."""
+    splits = F.coalesce(F.from_json("splits", "array<string>"), F.array().cast("array<string>"))
+    return perf.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.size(splits) > 0, 1)).alias("with_splits"))
+
+
 def date_quality(perf: DataFrame, season: str, year: str, placeholder: str = "2026-01-01") -> DataFrame:
     """AGG-11: class, n: missing, placeholder, wrong season or valid."""
     day = F.col("day")

@@ -44,7 +44,7 @@ def sheet_match(slots: DataFrame, entries: DataFrame, events: tuple[str, ...] =
 
 
 def meet_sheet(slots: DataFrame, entries: DataFrame) -> DataFrame:
-    """GEN-2, SRT-7, WIN-10: the programme with its entries in order, relay roles labelled, in two columns."""
+    """GEN-2, SRT-7, WIN-10: the programme with its entries in order, relay roles labelled, in two columns; finals of the 55 are tentative."""
     met = sheet_match(slots, entries)
     relay = F.contains(F.lower("slot"), F.lit("relay"))
     rank = F.when(~relay, 0).when(F.col("role") == "x", 1).when(F.col("role") == "y", 2).when(F.col("role").isin("(x)", "(y)"), 3).otherwise(9)
@@ -53,4 +53,4 @@ def meet_sheet(slots: DataFrame, entries: DataFrame) -> DataFrame:
     n = slots.count()
     half = -(-n // 2)
     placed = slots.join(people, "ord", "left").withColumn("number", F.row_number().over(Window.orderBy("ord")))
-    return placed.select("ord", "slot", "number", F.when(F.col("number") <= half, 1).otherwise(2).alias("column"), F.transform(F.coalesce("people", F.array()), lambda p: p["label"]).alias("entries"))
+    return placed.select("ord", "slot", "number", F.when(F.col("number") <= half, 1).otherwise(2).alias("column"), F.transform(F.coalesce("people", F.array()), lambda p: p["label"]).alias("entries"), (F.contains("slot", F.lit("55")) & F.contains("slot", F.lit("Final"))).alias("tentative"))

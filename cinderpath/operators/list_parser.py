@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_event, first_match
+from ..sources.pages import absolute, links, page_lines
 
+#: The addresses of performance lists.
+LIST_LINK = r"(emitl|pvc)(girls|boys)(relays)?\d+.*\.htm"
 #: Terms that no name or school has, and the rows of performance lists.
 JUNK = "license|contractor|timing|results|page|hy-tek|meet manager|points|finals|prelims|rank|name|year|school|team|seed"
 INDIVIDUAL = r"^\s*(\d+)\s+([\d:.'-]+)\s+([FP])\s+(.+?)\s+(\d+|--)\s+(.+?)\s+(\d{1,2}/\d{1,2}/(\d{4}))"
@@ -93,7 +96,7 @@ def performance_list(files: DataFrame, schools: list[tuple[str, str]]) -> DataFr
     """PAR-20 to 22: rows of performance lists (file, text, season) of the given schools; a December indoor date counts for the next year."""
     rows = _lines(files, "season").where("line <> ''")
     header = F.col("line").rlike("Girls|Boys") & F.col("line").rlike("Dash|Run|Hurdles|Jump|Shot|Vault|Relay")
-    rows = rows.withColumn("_h", header).withColumn("event", _carried(F.when(header, F.nullif(F.trim(F.regexp_extract("line", r"^((?:Girls|Boys)\s+[^=]+)", 1)), F.lit(""))), "file")).where("event IS NOT NULL AND NOT _h")
+    rows = rows.withColumn("_h", header).withColumn("event", _carried(F.when(header, F.nullif(F.trim(F.regexp_extract("line", r"^((?:Girls|Boys)\s+[^=]+)", 1)), F.lit(""))), "file", "season")).where("event IS NOT NULL AND NOT _h")
     own, relay = F.col("line").rlike(INDIVIDUAL), F.col("line").rlike(RELAY)
     pick = lambda i, r: F.when(own, F.regexp_extract("line", INDIVIDUAL, i)).otherwise(F.regexp_extract("line", RELAY, r))
     rows = rows.where(own | relay).withColumn("team", first_match(F.trim(pick(6, 5)), schools, "contains")).where("team IS NOT NULL").withColumn("date", pick(7, 6))
@@ -102,3 +105,9 @@ def performance_list(files: DataFrame, schools: list[tuple[str, str]]) -> DataFr
         "file", "pos", "event", pick(1, 1).alias("rank"), pick(2, 2).alias("mark"), F.when(own, F.trim(F.regexp_extract("line", INDIVIDUAL, 4))).otherwise(F.concat("team", F.lit(" Relay"))).alias("name"),
         F.when(own, F.regexp_extract("line", INDIVIDUAL, 5)).otherwise("--").alias("grade"), "team", "date", "season", year.cast("string").alias("year"),
     )
+
+
+def latest_lists(indexes: DataFrame, stored: DataFrame, schools: list[tuple[str, str]]) -> DataFrame:
+    """SRC-12: the rows of all performance lists that index pages (url, html, season) link to, of those that are stored (url, html); file is a list's address."""
+    found = links(indexes, "html", "url", "season").where(F.col("href").rlike(LIST_LINK)).select("season", absolute(F.col("url"), F.col("href")).alias("file")).distinct()
+    return performance_list(page_lines(found.join(stored.select(F.col("url").alias("file"), "html"), "file"), "html", "file", "season"), schools)

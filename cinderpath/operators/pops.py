@@ -32,6 +32,11 @@ def pop_summary(pops: DataFrame) -> DataFrame:
     return pops.groupBy("athlete_id", "athlete_name").agg(F.count(F.lit(1)).alias("n"), listed.alias("pops"))
 
 
+def by_name(summary: DataFrame) -> DataFrame:
+    """SRT-8: the summary in the order of athletes' names in a dictionary."""
+    return summary.orderBy(F.collate("athlete_name", "UNICODE"), "athlete_id")
+
+
 def team_meets(perf: DataFrame, team: str) -> DataFrame:
     """AGG-15: the distinct meets and days of a team, newest first."""
     return perf.where(F.col("team") == team).select("meet_name", "day").distinct().orderBy(F.desc("day"), "meet_name")

@@ -51,6 +51,12 @@ def key_order() -> list[Column]:
     return [F.col("k.invalid"), F.col("k.directed"), F.col("mark"), F.col("id")]
 
 
+def result_table(perf: DataFrame, *group: str) -> DataFrame:
+    """SRT-4: each athlete's best row of a group with its ``place`` in the group's table: valid marks first, best first, then the earlier."""
+    best = best_per_group(perf, *group, "athlete_id")
+    return best.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("k.invalid", "k.directed", "date", "id")))
+
+
 def championship_points(perf: DataFrame) -> DataFrame:
     """The pool of a championship: best mark of each athlete, event, season and year, ranked and with tie-split points."""
     pool = best_per_group(perf, "event", "season", "year", "athlete_id")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import ALIASES, PART_NAMES, SCHOOLS, SHEET_HEAD, SLOTS, TEAM_MAP
+from ..operators import conference
+from .queries import ALIASES, PART_NAMES, SCHOOLS, SHEET_HEAD, SLOTS, TEAM_MAP, TEAMS
 
 PE = """WITH raw AS (
   SELECT event_id AS id, user_id AS athlete_id, 'Athlete ' || user_id AS athlete_name, event_type AS event, CAST(round(value * 100) AS BIGINT) AS c,
@@ -36,6 +37,12 @@ def _first(value: str, entries: list[tuple[str, str]], test: str) -> str:
     return "CASE " + " ".join(f"WHEN {test.format(v=f'lower({value})', k=key.lower())} THEN '{full}'" for key, full in entries) + " END"
 
 
+def _school(schools: tuple[tuple[str, str], ...]) -> str:
+    bar = {k: f" AND NOT contains(lower(team), '{word}')" for k, word in conference.UNLESS.items()}
+    first = [f"WHEN (contains(lower(team), '{k.lower()}') OR lower(team) = '{full.lower()}'){bar.get(k, '')} THEN '{full}'" for k, full in schools]
+    return f"CASE {' '.join(first)} {' '.join(f'WHEN contains(team, {chr(39)}{conference.ALSO[k]}{chr(39)}) THEN {chr(39)}{full}{chr(39)}' for k, full in schools if k in conference.ALSO)} END"
+
+
 def _facet(name: str) -> str:
     tests = {"year": "year = '2024'", "season": "season = 'Indoor'", "team": "team = 'Team 3'"}
     return f"SELECT DISTINCT '{name}' AS facet, {name} AS option FROM pe WHERE " + " AND ".join(t for c, t in tests.items() if c != name)
@@ -84,6 +91,12 @@ def oracle_sql() -> dict[str, str]:
         "date_in_season": f"SELECT o_orderkey, {SEASON.format('1997-11-01', '1998-03-31')} AS indoor, {SEASON.format('1998-03-01', '1998-06-30')} AS outdoor FROM orders",
         "team_prefix_map": f"SELECT n_nationkey, coalesce({_first('n_name', TEAM_MAP, chr(123) + 'v' + chr(125) + ' LIKE ' + chr(39) + chr(123) + 'k' + chr(125) + '%' + chr(39))}, n_name) AS team FROM nation",
         "conference_tag": f"{PO}, t AS (SELECT team, {_first('team', SCHOOLS, 'contains(' + chr(123) + 'v' + chr(125) + ', ' + chr(39) + chr(123) + 'k' + chr(125) + chr(39) + ')')} AS conference FROM po) SELECT team, conference, count(*) AS n FROM t WHERE conference IS NOT NULL GROUP BY 1, 2",
+        "conference_schools": f"""WITH t AS (SELECT c_custkey, {list(TEAMS)}[1 + c_custkey % {len(TEAMS)}] AS team, CASE WHEN c_nationkey % 2 = 0 THEN '2026' ELSE '2025' END AS year, CASE WHEN c_custkey % 2 = 0 THEN 'Indoor' ELSE 'Outdoor' END AS season FROM customer)
+            SELECT *, CASE WHEN year = '2026' AND season = 'Indoor' THEN {_school(conference.SCHOOLS_OF['2026', 'Indoor'])} ELSE {_school(conference.SCHOOLS)} END AS school FROM t""",
+        "display_date": f"{PE} SELECT id, strftime(date, '%Y-%m-%d') AS shown FROM pe",
+        "result_table": f"""{PE}, r AS (SELECT *, {BEST.format(keys='event, season, year, athlete_id')} AS n FROM pe)
+            SELECT event, season, year, athlete_id, mark, CAST(row_number() OVER (PARTITION BY event, season, year ORDER BY invalid, directed, date, id) AS INTEGER) AS place FROM r WHERE n = 1""",
+        "record_counts": f"{PE} SELECT athlete_id, count(*) AS n, count(*) FILTER (id % 2 = 0) AS with_splits FROM pe WHERE year = '2024' AND season = 'Indoor' GROUP BY 1",
         "event_normalise": f"SELECT p_partkey, coalesce((SELECT name FROM (VALUES {NAMES}) s(ord, name) WHERE contains(lower(p_name), lower(name)) ORDER BY length(name) DESC, ord LIMIT 1), p_name) AS event FROM part",
         "athlete_flags": f"""SELECT p_partkey, CASE WHEN p_name = '' THEN true WHEN regexp_matches(p_name, '[0-9]') AND regexp_matches(p_name, '[.:-]') AND NOT contains(p_name, 'U-32') THEN true WHEN contains(p_name, '   ') THEN true
             WHEN regexp_matches(p_name, '(?i){KEYWORDS}') THEN false WHEN regexp_matches(p_name, '(?i)\\b(EL|HS|MS|U VT)\\b') THEN false WHEN contains(p_name, ',') THEN true

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.marks import format_distance, format_improvement, format_time, parse_mark, with_marks
+from ..functions import text
 from ..functions.text import first_match, normalise_event
-from ..operators import api, audit, cleanse, entry_sheet, history, pops, report_parser, scoring
+from ..operators import api, audit, cleanse, conference, entry_sheet, history, pops, report_parser, scoring
 from ..sources import pages
 from ..sources.bindings import perf_events, perf_orders, table
 
@@ -22,6 +23,9 @@ SLOTS = ["Girls 4X800m Relay", "Boys 4X800m Relay", "Girls 55 M. Hurdles Prelim"
 SHEET_HEAD = ("4x8", "55H", "55", "1mi", "400", "LJ")
 
 
+TEAMS = ("Maine Central Institute", "Central Aroostook", "piscataquis Valley", "Piscataquis", "PCHS", "ORONO HIGH SCHOOL", "Sumner/Narragaugus", "Lee Academy", "Elsewhere")
+
+
 def _value(m: str = "m") -> F.Column:
     return F.round(F.col(f"{m}.value"), 2)
 
@@ -109,17 +113,29 @@ def team_prefix_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def conference_tag(spark: SparkSession, d: str) -> DataFrame:
-    """JOIN-7, PRJ-10."""
+    """JOIN-7."""
     return perf_orders(spark, d).withColumn("conference", first_match(F.col("team"), SCHOOLS, "contains")).where("conference IS NOT NULL").groupBy("team", "conference").agg(F.count(F.lit(1)).alias("n"))
 
 
+def conference_schools(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ-10, PRJ-11: customers as athletes of nine teams in two years and seasons."""
+    team, year = F.get(F.array(*map(F.lit, TEAMS)), (F.col("c_custkey") % len(TEAMS)).cast("int")), F.when(F.col("c_nationkey") % 2 == 0, "2026").otherwise("2025")
+    rows = table(spark, d, "customer").select("c_custkey", team.alias("team"), year.alias("year"), F.when(F.col("c_custkey") % 2 == 0, "Indoor").otherwise("Outdoor").alias("season"))
+    return rows.withColumn("school", conference.school_in(F.col("team"), F.col("year"), F.col("season")))
+
+
+def display_date(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ-13."""
+    return perf_events(spark, d).select("id", text.display_date(F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss")).alias("shown"))
+
+
 def event_normalise(spark: SparkSession, d: str) -> DataFrame:
     """PAR-1."""
     return table(spark, d, "part").select("p_partkey", normalise_event(F.col("p_name"), PART_NAMES).alias("event"))
 
 
 def athlete_flags(spark: SparkSession, d: str) -> DataFrame:
-    """FIL-7, PRJ-9, PRJ-12, PRJ-13."""
+    """FIL-7, PRJ-9, PRJ-12."""
     rows = table(spark, d, "part").withColumn("event", F.concat_ws(" ", F.when(F.col("p_size") % 2 == 0, "Girls").otherwise("Boys"), F.when(F.col("p_size") % 3 == 0, "4x200 Meter Relay").otherwise("High Jump")))
     return rows.select("p_partkey", cleanse.likely_athlete(F.col("p_name")).alias("likely"), cleanse.is_relay(F.col("event")).alias("relay"), cleanse.event_gender(F.col("event")).alias("gender"))
 
@@ -182,6 +198,11 @@ def _pool(spark: SparkSession, d: str) -> DataFrame:
     return with_marks(scoring.best_per_group(perf_events(spark, d), "event", "season", "year", "athlete_id").drop("m", "k").withColumn("is_relay", F.lit(False)))
 
 
+def result_table(spark: SparkSession, d: str) -> DataFrame:
+    """SRT-4, AGG-5."""
+    return scoring.result_table(perf_events(spark, d), "event", "season", "year").select("event", "season", "year", "athlete_id", "mark", "place")
+
+
 def greedy_scores(spark: SparkSession, d: str) -> DataFrame:
     """SEQ-1, 2."""
     return scoring.greedy_scores(_pool(spark, d)).select("year", "season", "event", "id", "athlete_name", F.col("rank").cast("long").alias("rank"), F.round("points", 6).alias("points"))
@@ -200,7 +221,7 @@ def pr_pops(spark: SparkSession, d: str) -> DataFrame:
 
 def pop_summary(spark: SparkSession, d: str) -> DataFrame:
     """AGG-12, SRT-8."""
-    return pops.pop_summary(pops.pr_pops(perf_events(spark, d))).select("athlete_id", "athlete_name", "n", F.array_join(F.transform("pops", lambda p: F.concat_ws(" ", p["day"].cast("string"), p["event"], p["mark"])), "; ").alias("pops"))
+    return pops.by_name(pops.pop_summary(pops.pr_pops(perf_events(spark, d)))).select("athlete_id", "athlete_name", "n", F.array_join(F.transform("pops", lambda p: F.concat_ws(" ", p["day"].cast("string"), p["event"], p["mark"])), "; ").alias("pops"))
 
 
 def team_meets(spark: SparkSession, d: str) -> DataFrame:
@@ -276,6 +297,12 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
     return audit.status_counts(perf_events(spark, d))
 
 
+def record_counts(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-17: an athlete's records under two filters."""
+    rows = perf_events(spark, d).withColumn("splits", F.when(F.col("id") % 2 == 0, F.to_json(F.array("event", "season"))))
+    return audit.record_counts(rows.where(history.matching({"year": "2024", "season": "Indoor"})), "athlete_id")
+
+
 def date_quality(spark: SparkSession, d: str) -> DataFrame:
     """AGG-11."""
     return audit.date_quality(perf_orders(spark, d), "Indoor", "1998", "1997-06-01")
@@ -358,7 +385,7 @@ ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     date_in_season, team_prefix_map, conference_tag, event_normalise, athlete_flags, dedup_first, last_values, athlete_ids, synced_anti, best_per_group, comp_rank, tie_points,
     championship, team_scores, greedy_scores, missing_events, pr_pops, pop_summary, team_meets, latest_meet, profile_stats, profile_series, unpivot_sheet, sheet_match, meet_sheet,
     text_lines, block_segment, carry_forward, status_counts, date_quality, digit_audit, html_links, html_paragraphs, year_from_url, splits_json, export, roster, filter_options,
-    union_pages, union_distinct, report_round_trip,
+    union_pages, union_distinct, report_round_trip, conference_schools, display_date, result_table, record_counts,
 )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cinderpath.functions.marks import with_marks
-from cinderpath.operators import cleanse, history, scoring
+from cinderpath.operators import api, audit, cleanse, conference, history, pops, scoring
 from cinderpath.sources.bindings import perf_events
 
 SF = "/root/testdata/sf0.001"
@@ -71,7 +71,7 @@ def test_loading_twice_is_loading_once(spark):
     assert cleanse.first_arrivals(rows, once, ["k"], ["o"]).count() == 0
 
 
-@pytest.mark.parametrize("name", ["milestones", "facets", "pr_pops", "team_scores", "sheet_match", "report_round_trip"])
+@pytest.mark.parametrize("name", ["milestones", "facets", "pr_pops", "team_scores", "sheet_match", "report_round_trip", "conference_schools", "display_date", "result_table", "record_counts", "pop_summary"])
 def test_against_sql(spark, name):
     db = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations"):
@@ -83,6 +83,29 @@ def test_against_sql(spark, name):
     assert sorted(map(repr, map(tuple, got.select(columns).collect()))) == sorted(map(repr, want.select(*columns).fetchall()))
 
 
+def test_conference_lists(spark):
+    cases = [
+        ("Maine Central Institute", "2025", "Indoor", None), ("Central Aroostook", "2025", "Indoor", "Central High School"), ("ORONO HIGH SCHOOL", "2026", "Indoor", "Orono High School"),
+        ("Houlton", "2025", "Outdoor", "Houlton High School"), ("Houlton", "2026", "Indoor", None), ("Piscataquis", "2026", "Indoor", "Piscataquis Community High School"),
+        ("piscataquis", "2026", "Indoor", None), ("piscataquis", "2026", "Outdoor", "Piscataquis Community High School"), ("pchs", "2026", "Indoor", "Piscataquis Community High School"),
+        (None, "2026", "Indoor", None), ("Calais", None, None, "Calais High School"),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, team string, year string, season string, want string")
+    got = rows.select("i", "want", conference.school_in(F.col("team"), F.col("year"), F.col("season")).alias("got")).collect()
+    assert [(r.i, r.got) for r in got if r.got != r.want] == []
+    assert spark.range(1).select(conference.school(F.lit("x"), ())).first()[0] is None
+
+
+def test_lists_and_counts_of_the_pages(spark):
+    summary = spark.createDataFrame([(1, "Zed"), (2, "\u00c9mile"), (3, "adam"), (4, "Fay")], "athlete_id long, athlete_name string")
+    assert [r.athlete_id for r in pops.by_name(summary).collect()] == [3, 2, 4, 1]
+    perf = spark.createDataFrame([("a", None), ("a", '["30.1"]'), ("a", "no list"), ("b", "[]")], "team string, splits string")
+    assert sorted(map(tuple, audit.record_counts(perf, "team").collect())) == [("a", 3, 1), ("b", 1, 0)]
+    assert [r.team for r in api.teams(spark.createDataFrame([("Emma",), ("Orono",), ("abc",), ("ABC",)], "team string")).collect()] == ["ABC", "Orono"]
+    table = {(r.athlete_id, r.mark): r.place for r in scoring.result_table(spark.createDataFrame([(1, 1, "e", "DNF", 1), (2, 2, "e", "7.2", 1), (3, 3, "e", "7.1", 2), (4, 3, "e", "7.3", 1), (5, 4, "e", "7.2", 2)], "id long, athlete_id long, event string, mark string, date int"), "event").collect()}
+    assert table == {(3, "7.1"): 1, (2, "7.2"): 2, (4, "7.2"): 3, (1, "DNF"): 4}
+
+
 def test_every_athlete_and_supplier_is_ranked(spark, tmp_path):
     db = duckdb.connect()
     db.sql(f"CREATE VIEW events AS SELECT * FROM '{LARGER}/events.parquet'")

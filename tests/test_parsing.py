@@ -49,6 +49,14 @@ def test_delimited_and_lists(spark):
     assert [(r["name"], r.mark, r.year) for r in lists.orderBy("pos").collect()] == [("Ann Example", "7.79", "2026"), ("North Academy Relay", "1:37.84", "2025")]
 
 
+def test_lists_of_an_index(spark):
+    rows = "Girls 55 Meter Dash ===\n1 7.79 F Ann Example 12 North Academy 12/20/2025\n"
+    index = spark.createDataFrame([("https://h.example/in/", '<a href="/x/emitlgirls12.htm">g</a><a href="pvcboysrelays3.htm">b</a><a href="/x/emitlgirls12.htm">g</a><a href="news.htm">n</a>', "Indoor")], "url string, html string, season string")
+    stored = spark.createDataFrame([("https://h.example/x/emitlgirls12.htm", f"<html><pre>{rows}</pre></html>"), ("https://h.example/in/news.htm", f"<pre>{rows}</pre>")], "url string, html string")
+    found = list_parser.latest_lists(index, stored, [("north", "North Academy")]).collect()
+    assert [(r.file, r["name"], r.mark, r.season) for r in found] == [("https://h.example/x/emitlgirls12.htm", "Ann Example", "7.79", "Indoor")]
+
+
 def test_sheet(spark):
     csv = ["Girls,4x8,55H,55,1mi,400,LJ", "Ann Roe,x,,y,,?,x", "Bea Poe,(x),,,x,,", "Total,2,0,1,1,1,1", ",,,,,,", "Boys,4x8,55H,55,1mi,400,LJ", "Al Example,y,x,,,,(y)"]
     lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(csv)], "sheet int, pos int, line string")
@@ -56,6 +64,8 @@ def test_sheet(spark):
     assert sorted((r.gender, r.name, r.event, r.role) for r in entries.collect())[:3] == [("boys", "Al Example", "4X800m Relay", "y"), ("boys", "Al Example", "55 M. Hurdles", "x"), ("boys", "Al Example", "Long Jump", "(y)")]
     slots = spark.createDataFrame([(0, "Girls 4X800m Relay")], "ord int, slot string")
     assert entry_sheet.meet_sheet(slots, entries).first().entries == ["Ann Roe (A)", "Bea Poe (Alt)"]
+    finals = spark.createDataFrame([(1, "Girls 55 M. Dash Final"), (2, "Girls 55 M. Dash Prelim")], "ord long, slot string")
+    assert [r.tentative for r in entry_sheet.meet_sheet(finals, entries).orderBy("ord").collect()] == [True, False]
 
 
 def test_pages(spark):
