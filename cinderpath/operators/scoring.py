@@ -72,11 +72,7 @@ def team_scores(scored: DataFrame, *by: str) -> DataFrame:
 def _select(actions: pd.DataFrame, limit: int) -> pd.Series:
     used: dict[str, int] = defaultdict(int)
     taken = []
-    for relay, name in zip(actions["is_relay"], actions["athlete_name"], strict=True):
-        names = [name or ""]
-        if relay:
-            members = [n.strip() for n in (name or "").split(",")]
-            names = [n for n in members if n and "school" not in n.lower() and "relay" not in n.lower()]
+    for names in actions["names"]:
         fits = all(used[n] < limit for n in names)
         if fits:
             for n in names:
@@ -85,20 +81,39 @@ def _select(actions: pd.DataFrame, limit: int) -> pd.Series:
     return pd.Series(taken, actions.index, dtype=bool)
 
 
+def _entered() -> Column:
+    """The athletes whom an entry counts for: of a relay its named members, else the athlete; a missing name is an empty one."""
+    members = F.transform(F.split(F.coalesce("athlete_name", F.lit("")), ","), lambda n: F.regexp_replace(n, r"^\s+|\s+$", ""))
+    named = F.filter(members, lambda n: (n != "") & ~F.lower(n).contains("school") & ~F.lower(n).contains("relay"))
+    return F.when(F.col("is_relay"), named).otherwise(F.array(F.coalesce("athlete_name", F.lit(""))))
+
+
 def greedy_selection(pool: DataFrame, limit: int = LIMIT) -> DataFrame:
     """SEQ-1: the entries that fit under a limit of events per athlete, taken by potential points, rank, input order.
 
-    The choice is sequential by nature within one championship (year, season), so each is one group: a championship's pool holds
-    one row per athlete and event. Needs is_relay; relay rows list their members by name.
+    An athlete who is in no relay of the championship (year, season) gets the first ``limit`` entries in that order, found by a window over
+    each athlete apart. A relay without named members always fits. Only relays with members and the entries of these members depend on
+    each other; those are chosen one by one, one group for each championship. Needs is_relay (null: no relay); relay rows list their
+    members by name.
     """
     ranked = with_rank(pool.where("m.valid"), ["event", "season", "year"], key_order())
-    actions = ranked.select("year", "season", "id", "event", "team", "athlete_id", "athlete_name", "mark", "is_relay", place_points(F.col("rank")).alias("potential"), F.col("rank").cast("long").alias("rank"))
+    actions = ranked.select(
+        "year", "season", "id", "event", "team", "athlete_id", "athlete_name", "mark", F.coalesce("is_relay", F.lit(False)).alias("is_relay"),
+        place_points(F.col("rank")).alias("potential"), F.col("rank").cast("long").alias("rank"),
+    )
+    each = actions.withColumn("names", _entered()).select("*", F.posexplode_outer("names").alias("_slot", "_name"))
+    # relays without names have no group of their own: each is apart by its id
+    athlete = Window.partitionBy("year", "season", "_name", F.when(F.col("_name").isNull(), F.col("id")))
+    turn = F.row_number().over(athlete.orderBy(F.desc("potential"), "rank", "is_relay", F.asc_nulls_last("event"), F.asc_nulls_last("id")))
+    told = each.withColumn("_coupled", F.max("is_relay").over(athlete)).withColumn("_turn", turn)
+    apart = told.where(F.col("_name").isNull() | (~F.col("_coupled") & (F.col("_turn") <= limit))).select(actions.columns)
+    linked = told.where(F.col("_coupled") & (F.col("_slot") == 0)).select(*actions.columns, "names")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["potential", "rank", "is_relay", "event", "id"], ascending=[False, True, True, True, True], kind="stable")
-        return group[_select(group, limit)]
+        return group[_select(group, limit)].drop(columns="names")
 
-    return actions.groupBy("year", "season").applyInPandas(run, actions.schema)
+    return apart.unionByName(linked.groupBy("year", "season").applyInPandas(run, actions.schema))
 
 
 def greedy_scores(pool: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -113,6 +113,10 @@ def oracle_sql() -> dict[str, str]:
             p AS (SELECT *, list_sum(list_transform([10, 8, 6, 4, 2, 1], lambda p, i: CASE WHEN i >= rank AND i < rank + tied THEN p ELSE 0 END)) / tied AS points FROM r) SELECT l_suppkey, l_orderkey, l_linenumber, round(points, 6)::DOUBLE AS points FROM p WHERE points > 0""",
         "championship": f"{POOL} SELECT event, season, year, athlete_id, mark, rank, round(points, 6)::DOUBLE AS points FROM scored",
         "team_scores": f"{POOL} SELECT season, year, team, round(sum(points), 6)::DOUBLE AS total, count(*) AS n FROM scored WHERE points > 0 GROUP BY 1, 2, 3",
+        "greedy_scores": f"""{POOL}, turns AS (SELECT *, row_number() OVER (PARTITION BY year, season, athlete_name ORDER BY coalesce([10, 8, 6, 4, 2, 1][rank], 0) DESC, rank, event, id) AS turn FROM placed),
+            again AS (SELECT * EXCLUDE (rank, tied, place), row_number() OVER (PARTITION BY event, season, year ORDER BY directed, mark, id) AS place FROM turns WHERE turn <= 3),
+            final AS (SELECT *, min(place) OVER (PARTITION BY event, season, year, mark) AS rank, count(*) OVER (PARTITION BY event, season, year, mark) AS tied FROM again)
+            SELECT year, season, event, id, athlete_name, rank, round(list_sum(list_transform([10, 8, 6, 4, 2, 1], lambda p, i: CASE WHEN i >= rank AND i < rank + tied THEN p ELSE 0 END)) / tied, 6)::DOUBLE AS points FROM final""",
         "missing_events": f"{PE}, g AS (SELECT DISTINCT year, season FROM pe), f AS (SELECT DISTINCT year, season, event FROM pe WHERE event <> 'view' OR season = 'Indoor') "
         + " UNION ALL ".join(f"SELECT year, season, '{name}' AS missing FROM g WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.year = g.year AND f.season = g.season AND ({' OR '.join(f'contains(f.event, {chr(39)}{a}{chr(39)})' for a in names)}))" for name, names in ALIASES.items()),
         "pr_pops": f"{POPS} SELECT id, athlete_id, event, day, mark, prev.m AS prev_mark, old.m AS old_pr FROM pops",

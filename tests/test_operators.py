@@ -47,6 +47,29 @@ def test_greedy_never_exceeds_its_limit_and_relays_need_room(spark):
     assert 10 in chosen and len(chosen & {0, 1, 2, 3, 4}) == 3 and 9 not in chosen
 
 
+def test_greedy_equals_one_by_one(spark):
+    names = ["Al", "Bo", "Cy", "Di", "Ed", "Flo", "Gus", "", None]
+    rows = [(i, f"e{i % 7}", names[i * 5 % 9], f"{8 + i * 37 % 101 / 10}", False, str(2024 + i % 2)) for i in range(150)]
+    rows += [(200 + i, f"r{i % 3}", who, f"{90 + i}.0", True, str(2024 + i % 2)) for i, who in enumerate(["Al, Bo", " Cy ,Di, Al", "B Relay", "North School", None, "Al, Al", "Ed,Bo,", "Di"])]
+    rows.append((300, None, "Al", "7.1", None, "2024"))
+    pool = spark.createDataFrame(rows, "id long, event string, athlete_name string, mark string, is_relay boolean, year string").selectExpr("*", "'A' AS team", "id AS athlete_id", "'Indoor' AS season")
+    pool = with_marks(pool).cache()
+    ranked = scoring.with_rank(pool.where("m.valid"), ["event", "season", "year"], scoring.key_order()).collect()
+    points = lambda r: scoring.POINTS[r.rank - 1] if r.rank <= 6 else 0
+    used, want = {}, set()
+    for r in sorted(ranked, key=lambda r: (-points(r), r.rank, bool(r.is_relay), r.event is None, r.event or "", r.id)):
+        who = [r.athlete_name or ""]
+        if r.is_relay:
+            who = [n for n in (x.strip() for x in who[0].split(",")) if n and "school" not in n.lower() and "relay" not in n.lower()]
+        if all(used.get((r.year, n), 0) < 3 for n in who):
+            want.add(r.id)
+            for n in who:
+                used[r.year, n] = used.get((r.year, n), 0) + 1
+    found = [r.id for r in scoring.greedy_selection(pool).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert scoring.greedy_selection(pool.where("false")).count() == 0
+
+
 def test_points_conserved(spark):
     scored = scoring.championship_points(perf_events(spark, SF))
     for row in scored.groupBy("event", "season", "year").agg(F.sum("points").alias("s"), F.count("*").alias("n")).collect():
