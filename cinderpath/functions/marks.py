@@ -12,26 +12,38 @@ from pyspark.sql import functions as F
 STATUS = ("DNF", "DNS", "DQ", "NH", "ND", "SCR", "FOUL", "X")
 
 
+def without(text: Column, characters: str) -> Column:
+    return F.translate(text, characters, "")
+
+
 def number_prefix(text: Column) -> Column:
-    """The number that a text begins with, as lenient parsers read it; null if none."""
-    return F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double")
+    """The number that a text begins with, as lenient parsers read it; null if none. Plain numbers are cast, only others are searched."""
+    plain = F.when(without(text, "0123456789.") == "", text.try_cast("double"))
+    return F.coalesce(plain, F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double"))
 
 
 def parse_mark(mark: Column) -> Column:
-    """MRK-1: struct(value, is_time, valid). Distances in inches, times in seconds; whatever has no value is an invalid time of 0."""
+    """MRK-1: struct(value, is_time, valid). Distances in inches, times in seconds; whatever has no value is an invalid time of 0.
+
+    Plain texts (7.40, 1:02.87, 5-08.00) are split and cast; patterns are for the others.
+    """
     text = F.upper(F.trim(F.coalesce(mark, F.lit(""))))
-    status = (text == "") | text.rlike("^(" + "|".join(STATUS) + ")")
-    distance = text.rlike("['\"-]") & text.rlike(r"\d")
+    status = text == ""
+    for code in STATUS:
+        status = status | text.startswith(code)
+    distance = (without(text, "'\"-") != text) & (without(text, "0123456789") != text)
     part = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
     feet = F.coalesce(part(r"^(\d+)['-]"), part(r"(\d+)'")).try_cast("double")
     inches = F.coalesce(part(r"['\-\s](\d+(?:\.\d+)?)"), part(r"(\d+(?:\.\d+)?)\"")).try_cast("double")
-    length = F.coalesce(feet * 12, F.lit(0.0)) + F.coalesce(inches, F.lit(0.0))
+    before, after = F.substring_index(text, "-", 1), F.substring_index(text, "-", -1)
+    two = (F.length(without(text, "0123456789.")) == 1) & (before != "") & (without(before, "0123456789") == "") & ~after.startswith(".")
+    plain = F.when(two & text.contains("-"), before.try_cast("double") * 12 + after.try_cast("double"))
+    length = F.coalesce(plain, F.coalesce(feet * 12, F.lit(0.0)) + F.coalesce(inches, F.lit(0.0)))
     clock = F.reverse(F.split(text, ":"))
     unit = lambda i, factor: F.when(F.size(clock) > i, number_prefix(F.get(clock, F.lit(i))) * factor).otherwise(F.lit(0.0))
-    seconds = unit(0, 1) + unit(1, 60) + unit(2, 3600)
-    whole = lambda value, is_time, valid: F.struct(value.alias("value"), F.lit(is_time).alias("is_time"), F.lit(valid).alias("valid"))
-    nothing = whole(F.lit(0.0), True, False)
-    return F.when(status, nothing).when(distance, whole(length, False, True)).when(seconds.isNotNull() & (seconds != 0), whole(seconds, True, True)).otherwise(nothing)
+    seconds = F.when(text.contains(":"), unit(0, 1) + unit(1, 60) + unit(2, 3600)).otherwise(number_prefix(text))
+    value = F.when(status, 0.0).when(distance, length).otherwise(F.coalesce(seconds, F.lit(0.0)))
+    return F.struct(value.alias("value"), (status | ~distance).alias("is_time"), (~status & (distance | (value != 0))).alias("valid"))
 
 
 def mark_key(m: Column) -> Column:
