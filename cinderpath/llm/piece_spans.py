@@ -272,12 +272,12 @@ class Model:
         return np.array(out, "<u4").tobytes(), np.array(widths, "<u4").tobytes(), b"".join(map(self.surfaces.__getitem__, out))
 
     def without_prefix(self, surface: bytes, ids: Iterable[int]) -> bytes:
-        """A surface without the mark that encoding puts before a text (all leading marks where it allows single ones only); its bytes as UTF-8."""
+        """A surface without the mark that encoding puts before a text (of each piece, until one says more, where it allows single ones only); its bytes as UTF-8."""
         lead = 0
         for i in ids if self.prefix or self.single_spaces else ():
-            marks = len(self.surfaces[i]) - len(self.surfaces[i].lstrip(b" ")) if self.kinds[i] == NORMAL else 0
-            lead += marks if self.single_spaces else min(marks, 1)
-            if self.kinds[i] != CONTROL and (not self.single_spaces or marks < len(self.surfaces[i])):
+            mark = self.kinds[i] == NORMAL and self.surfaces[i].startswith(b" ")
+            lead += mark
+            if self.kinds[i] != CONTROL and (not self.single_spaces or self.surfaces[i][mark:]):
                 break
         return surface[lead:].decode("utf-8", "replace").encode()
 
