@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_event, first_match
-from ..sources.pages import absolute, links, page_lines
+from ..sources.page_tree import page_text
+from ..sources.pages import absolute, links
 
 #: The addresses of performance lists.
 LIST_LINK = r"(emitl|pvc)(girls|boys)(relays)?\d+.*\.htm"
@@ -110,4 +111,4 @@ def performance_list(files: DataFrame, schools: list[tuple[str, str]]) -> DataFr
 def latest_lists(indexes: DataFrame, stored: DataFrame, schools: list[tuple[str, str]]) -> DataFrame:
     """SRC-12: the rows of all performance lists that index pages (url, html, season) link to, of those that are stored (url, html); file is a list's address."""
     found = links(indexes, "html", "url", "season").where(F.col("href").rlike(LIST_LINK)).select("season", absolute(F.col("url"), F.col("href")).alias("file")).distinct()
-    return performance_list(page_lines(found.join(stored.select(F.col("url").alias("file"), "html"), "file"), "html", "file", "season"), schools)
+    return performance_list(page_text(found.join(stored.select(F.col("url").alias("file"), "html"), "file"), "html", "file", "season"), schools)

@@ -13,6 +13,7 @@ from ..functions.text import first_match, normalise_event
 from ..operators import api, audit, cleanse, conference, entry_sheet, history, pops, report_parser, scoring
 from ..sources import pages
 from ..sources.bindings import perf_events, perf_orders, table
+from . import page_queries
 
 TEAM_MAP = [("nation_12", "Twelve Union"), ("NATION_1", "Group One"), ("NATION_2", "Group Two"), ("NATION_20", "Never reached")]
 SCHOOLS = [("_12", "Twelve School"), ("_1", "One School"), ("N_2", "Two School")]
@@ -320,11 +321,6 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
     return pages.links(table(spark, d, "pages"), "html", "page_id")
 
 
-def html_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-7, 8: text of the innermost blocks of pages."""
-    return pages.page_lines(table(spark, d, "pages"), "html", "page_id")
-
-
 def year_from_url(spark: SparkSession, d: str) -> DataFrame:
     """SRC-6."""
     return table(spark, d, "pages").select("page_id", pages.year_from_url(F.concat(F.lit("x/"), F.col("page_id").cast("string"), F.lit("/20"), F.col("url"))).alias("a"), pages.year_from_url(F.col("url"), F.col("html")).alias("b"))
@@ -384,10 +380,10 @@ ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     milestones, mark_parse, mark_format, mark_improvement, api_athletes, api_teams, api_athlete_performances, api_performances, season_like, season_parts, facets, history_sorted,
     date_in_season, team_prefix_map, conference_tag, event_normalise, athlete_flags, dedup_first, last_values, athlete_ids, synced_anti, best_per_group, comp_rank, tie_points,
     championship, team_scores, greedy_scores, missing_events, pr_pops, pop_summary, team_meets, latest_meet, profile_stats, profile_series, unpivot_sheet, sheet_match, meet_sheet,
-    text_lines, block_segment, carry_forward, status_counts, date_quality, digit_audit, html_links, html_paragraphs, year_from_url, splits_json, export, roster, filter_options,
+    text_lines, block_segment, carry_forward, status_counts, date_quality, digit_audit, html_links, year_from_url, splits_json, export, roster, filter_options,
     union_pages, union_distinct, report_round_trip, conference_schools, display_date, result_table, record_counts,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: f for f in (*ALL, *page_queries.QUERIES)}

@@ -25,16 +25,22 @@ def links(pages: DataFrame, html: str = "html", *keep: str) -> DataFrame:
     return pages.select(*keep, F.explode(found).alias("href")).distinct()
 
 
-def result_links(pages: DataFrame, base: str, *keep: str) -> DataFrame:
-    """SRC-2: the result pages among a page's links, absolute."""
-    found = links(pages, "html", base, *keep).where(F.col("href").rlike(r"\.html?$") & F.col("href").rlike(RESULT_LINK))
-    return found.withColumn("href", absolute(F.col(base), F.col("href"))).distinct()
-
-
 def absolute(base: Column, href: Column) -> Column:
-    root = F.regexp_extract(base, r"^(\w+://[^/]+)", 1)
-    folder = F.regexp_replace(base, r"[^/]*$", "")
-    return F.when(href.rlike(r"^\w+://"), href).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(folder, href))
+    """An address as a page at ``base`` means it: other schemes as they are, the rest resolved with its dots."""
+    page = F.regexp_replace(base, r"[?#].*$", "")
+    root = F.regexp_extract(page, r"^(\w+://[^/]*)", 1)
+    folder = F.when(page.rlike(r"^\w+://[^/]*$"), F.concat(page, F.lit("/"))).otherwise(F.regexp_replace(page, r"[^/]*$", ""))
+    own = href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    joined = (
+        F.when(href == "", base).when(own, href).when(href.startswith("//"), F.concat(F.regexp_extract(page, r"^(\w+:)", 1), href)).when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("?"), F.concat(page, href)).when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href)).otherwise(F.concat(folder, href))
+    )
+    path = F.regexp_extract(joined, r"^\w+://[^/]*/([^?#]*)", 1)
+    steps = F.split(path, "/")
+    walked = F.aggregate(steps, F.slice(steps, 1, 0), lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))))
+    folded = F.concat(F.array_join(walked, "/"), F.when(path.rlike(r"(?:^|/)\.\.?$") & (F.size(walked) > 0), "/").otherwise(""))
+    dotted = ~own & joined.rlike(r"^\w+://[^/]*/(?:[^?#]*/)?\.\.?(?:[/?#]|$)")
+    return F.when(dotted, F.concat(F.regexp_extract(joined, r"^(\w+://[^/]*/)", 1), folded, F.regexp_extract(joined, r"([?#].*)$", 1))).otherwise(joined)
 
 
 def year_from_url(url: Column, text: Column | None = None) -> Column:
@@ -43,21 +49,6 @@ def year_from_url(url: Column, text: Column | None = None) -> Column:
     return F.coalesce(year(url, r"/(20\d{2})"), *([year(text, r"(20\d{2})")] if text is not None else []), F.lit("unknown"))
 
 
-def crawl(spark: SparkSession, start: str, link_table: DataFrame, depth: int = 10) -> DataFrame:
-    """SRC-4: url, depth: every archived page that can be reached, once; link_table: page, link, is_frame. A recursive union with a bound on its depth."""
-    link_table.createOrReplaceTempView("_links")
-    rows = spark.sql(
-        """WITH RECURSIVE reached(url, depth) AS (
-             SELECT CAST(:start AS STRING), 0
-             UNION ALL
-             SELECT l.link, r.depth + 1 FROM reached r JOIN _links l ON l.page = r.url
-             WHERE r.depth < :depth AND (l.is_frame OR r.depth > 0 OR l.link RLIKE 'wp-content|results|scores')
-           ) SELECT url, depth FROM reached""",
-        args={"start": start, "depth": depth},
-    )
-    return rows.groupBy("url").agg(F.min("depth").alias("depth"))
-
-
 def new_files(candidates: DataFrame, manifest: DataFrame, synced: DataFrame) -> DataFrame:
     """SRC-3, 5: candidate addresses that neither the manifest nor the loaded meets have; query strings cut, .htm as the usual ending."""
     url = F.regexp_replace("href", r"\?.*$", "")
@@ -65,18 +56,6 @@ def new_files(candidates: DataFrame, manifest: DataFrame, synced: DataFrame) ->
     return named.join(manifest.select("url"), "url", "left_anti").join(synced.select("stem"), "stem", "left_anti").withColumn("file", F.concat("stem", F.lit(".htm")))
 
 
-def page_lines(pages: DataFrame, html: str = "html", *keep: str) -> DataFrame:
-    """SRC-7, 8: kept columns, text: the first <pre> of each page, else the text of its innermost blocks, one a line."""
-    pre = F.nullif(F.regexp_extract(html, r"(?is)<pre[^>]*>(.*?)</pre>", 1), F.lit(""))
-    blocks = F.expr(rf"regexp_extract_all({html}, '(?is)<(?:p|div|li|td|h[1-6])\\b[^>]*>([^<]*(?:<(?!/?(?:p|div|li|td|h[1-6])\\b)[^>]*>[^<]*)*)', 1)")
-    plain = F.transform(blocks, lambda b: F.trim(F.regexp_replace(F.regexp_replace(b, r"(?i)<br[^>]*>", "\n"), "<[^>]*>", "")))
-    joined = F.array_join(F.filter(plain, lambda b: b != ""), "\n")
-    text = F.coalesce(F.regexp_replace(pre, "<[^>]*>", ""), joined)
-    for code, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), (chr(160), " ")):
-        text = F.replace(text, F.lit(code), F.lit(char))
-    return pages.select(*keep, text.alias("text"))
-
-
 def link_dates(pages: DataFrame, html: str = "html", key: str = "page") -> DataFrame:
     """SRC-10, SNK-6, DDP-2: filename, date_text: the date last seen in a table at or above a link's row; later links overwrite."""
     from pyspark.sql import Window

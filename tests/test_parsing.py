@@ -75,8 +75,6 @@ def test_pages(spark):
     bio = '<meta name="favTitle" content="TF - Al Example"><div class="card"><div class="card-header"><h5>2026 Indoor North</h5></div><div class="card-block"><table><tr><td><h5>55 Meter</h5></td></tr><tr result-id="1"><td>1</td><td>-</td><td>6.79 PR</td><td>Dec 20</td><td>Meet A</td></tr></table></div></div>'
     row = pages.bio_results(spark.createDataFrame([("f", bio)], "file string, html string")).first()
     assert (row.athlete_name, row.season, row.event, row.mark, row.is_pr, row.is_sb, row.meet_name) == ("Al Example", "2026 Indoor", "55 Meter", "6.79", True, False, "Meet A")
-    links = spark.createDataFrame([("a", "b", True), ("b", "c", False), ("c", "a", False)], "page string, link string, is_frame boolean")
-    assert {r.url for r in pages.crawl(spark, "a", links).collect()} == {"a", "b", "c"}
 
 
 def test_incremental_load(spark, tmp_path):
