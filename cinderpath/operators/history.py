@@ -52,17 +52,28 @@ def history(df: DataFrame, by: str = "date", descending: bool = True, prs_only:
 
 
 def profile(perf: DataFrame) -> DataFrame:
-    """AGG-7: per athlete and event over valid marks - best_mark, best, upper_median, sigma (population), n."""
-    valid = with_marks(perf).where("m.valid")
-    values = F.array_sort(F.collect_list("m.value"))
-    return valid.groupBy("athlete_id", "event").agg(
-        F.min_by("mark", F.struct("k.directed", "date", "id")).alias("best_mark"), F.min_by("m.value", F.struct("k.directed", "date", "id")).alias("best"),
-        F.get(values, F.floor(F.count(F.lit(1)) / 2).cast("int")).alias("upper_median"), F.stddev_pop("m.value").alias("sigma"), F.count(F.lit(1)).alias("n"),
+    """AGG-7: per athlete and event over valid marks - best_mark, best, upper_median, sigma (population), n.
+
+    Rows are counted by value first, without lists: a value's rows become one before the shuffle, and all the rest works on the different
+    values. The median is the least value at which the running count passes half, the deviation is over values with their counts.
+    """
+    rows = with_marks(perf).select("athlete_id", "event", "mark", "date", "id", "m.valid", "m.value", "k.directed")
+    # validity is asked after the aggregation: a filter before it would make Spark read each mark twice, in more code than it compiles
+    values = rows.groupBy("athlete_id", "event", "valid", "directed", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("date", "id", "mark")).alias("first"), F.max("valid").alias("_valid"))
+    values = values.where("_valid").drop("valid", "_valid")
+    whole = Window.partitionBy("athlete_id", "event")
+    total, passed = F.sum("n").over(whole), F.sum("n").over(whole.orderBy("value").rangeBetween(Window.unboundedPreceding, 0))
+    told = values.withColumns({"total": total, "passed": passed, "mean": F.sum(F.col("value") * F.col("n")).over(whole) / total})
+    best = F.min(F.struct("directed", F.col("first.date").alias("date"), F.col("first.id").alias("id"), F.col("first.mark").alias("mark"), "value")).alias("b")
+    found = told.groupBy("athlete_id", "event").agg(
+        best, F.min(F.when(F.col("passed") > F.floor(F.col("total") / 2), F.col("value"))).alias("upper_median"),
+        F.sqrt(F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), F.lit(2))) / F.max("total")).alias("sigma"), F.max("total").alias("n"),
     )
+    return found.select("athlete_id", "event", F.col("b.mark").alias("best_mark"), F.col("b.value").alias("best"), "upper_median", "sigma", "n")
 
 
 def series(perf: DataFrame) -> DataFrame:
-    """AGG-8: per athlete, event and year the dated values in order."""
-    valid = with_marks(perf).where("m.valid")
-    points = F.sort_array(F.collect_list(F.struct("date", "id", F.col("m.value").alias("value"))))
-    return valid.groupBy("athlete_id", "event", "year").agg(points.alias("points"))
+    """AGG-8: per athlete, event and year the dated values in order. A line of a chart is a list in the end: an athlete's marks of one event and year."""
+    rows = with_marks(perf).select("athlete_id", "event", "year", "date", "id", "m.value", "m.valid")
+    points = F.sort_array(F.collect_list(F.when(F.col("valid"), F.struct("date", "id", "value"))))
+    return rows.groupBy("athlete_id", "event", "year").agg(points.alias("points")).where(F.size("points") > 0)

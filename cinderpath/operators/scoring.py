@@ -1,8 +1,9 @@
-"""Championship scoring: best per group, ranks, tie-split points, selection under entry limits, team totals (AGG-5, 9, WIN-5 to 7, SEQ-1, 2)."""
+"""Championship scoring: best per group, ranks, tie-split points, selection under entry limits, team totals (AGG-5, 9, WIN-5 to 7, SRT-4, 5, SEQ-1, 2)."""
 
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,23 +11,41 @@ from pyspark.sql import functions as F
 
 from ..functions.marks import with_marks
 from ..functions.text import first_match
+from ..tables import stored
+from .components import components
+from .ranking import indexed, looked_up
 
 #: Points for places 1 to 6.
 POINTS = (10, 8, 6, 4, 2, 1)
 LIMIT = 3
+CHAMPIONSHIP = ["event", "season", "year"]
 
 
 def best_per_group(perf: DataFrame, *keys: str) -> DataFrame:
-    """AGG-5, AGG-6: the row with the best mark of each group, earliest on ties; a partial aggregation, no sort of groups."""
+    """AGG-5, AGG-6: the row with the best mark of each group, earliest on ties.
+
+    Each task keeps one row of a group before the shuffle, so a hot group is no hot task. The row is carried whole, so both steps sort
+    by the group's keys instead of hashing.
+    """
     rows = with_marks(perf) if "k" not in perf.columns else perf
     best = rows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct("k.invalid", "k.directed", "date", "id")).alias("row"))
     return best.select(*keys, "row.*")
 
 
-def with_rank(rows: DataFrame, group: list[str], order: list[Column], mark: str = "mark") -> DataFrame:
-    """WIN-5: adds ``rank``, in which rows of equal mark *text* share the first place that it has in the group's order."""
-    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    return placed.withColumn("rank", F.min("_place").over(Window.partitionBy(*group, mark))).drop("_place")
+def mark_ranks(rows: DataFrame, group: list[str], order: list[str], mark: str = "mark") -> DataFrame:
+    """WIN-5: group…, mark, ``rank`` and ``tied`` of each different mark of a group: one more than the rows before it, and the rows that have it.
+
+    Rows are counted by mark before the shuffle, so a task gets the different marks of a group - hundredths of a second within an
+    event's range, thousands, whatever the number of rows. ``order``: columns that a mark determines; marks of equal order come by their text.
+    """
+    counted = rows.groupBy(*group, *order, mark).agg(F.count(F.lit(1)).alias("tied"))
+    before = F.sum("tied").over(Window.partitionBy(*group).orderBy(*order, mark).rowsBetween(Window.unboundedPreceding, -1))
+    return counted.select(*group, mark, (F.coalesce(before, F.lit(0).cast("long")) + 1).alias("rank"), "tied")
+
+
+def with_rank(rows: DataFrame, group: list[str], order: list[str], mark: str = "mark") -> DataFrame:
+    """WIN-5: adds ``rank``, in which rows of equal mark *text* share the first place that it has in the group's order, and ``tied``."""
+    return looked_up(rows, mark_ranks(rows, group, order, mark), [*group, mark])
 
 
 def place_points(rank: Column) -> Column:
@@ -41,32 +60,43 @@ def tie_points(rank: Column, tied: Column) -> Column:
     return F.when(rank > len(POINTS), F.lit(0.0)).otherwise(share)
 
 
-def with_tie_points(rows: DataFrame, group: list[str], order: list[Column], mark: str = "mark") -> DataFrame:
+def with_tie_points(rows: DataFrame, group: list[str], order: list[str], mark: str = "mark") -> DataFrame:
     """Adds rank, tied and points to rows of valid marks."""
-    ranked = with_rank(rows, group, order, mark)
-    return ranked.withColumn("tied", F.count(F.lit(1)).over(Window.partitionBy(*group, mark))).withColumn("points", tie_points(F.col("rank"), F.col("tied")))
+    return with_rank(rows, group, order, mark).withColumn("points", tie_points(F.col("rank"), F.col("tied")))
 
 
-def key_order() -> list[Column]:
-    return [F.col("k.invalid"), F.col("k.directed"), F.col("mark"), F.col("id")]
+def scorers(rows: DataFrame, group: list[str], order: list[str], mark: str = "mark") -> DataFrame:
+    """``with_tie_points``, only the rows that score: the few marks of the first six places meet the rows."""
+    ranks = mark_ranks(rows, group, order, mark).where(F.col("rank") <= len(POINTS))
+    return looked_up(rows, ranks, [*group, mark], "inner").withColumn("points", tie_points(F.col("rank"), F.col("tied")))
 
 
 def result_table(perf: DataFrame, *group: str) -> DataFrame:
     """SRT-4: each athlete's best row of a group with its ``place`` in the group's table: valid marks first, best first, then the earlier."""
-    best = best_per_group(perf, *group, "athlete_id")
-    return best.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("k.invalid", "k.directed", "date", "id")))
+    best = best_per_group(perf, *group, "athlete_id").withColumns({"_invalid": F.col("k.invalid"), "_directed": F.col("k.directed")})
+    placed = indexed(best, list(group), ["_invalid", "_directed", "date", "id"], "place", "result-table")
+    return placed.withColumn("place", (F.col("place") + 1).cast("int")).drop("_invalid", "_directed")
+
+
+def _pool(perf: DataFrame, where: str = "m.valid") -> DataFrame:
+    return best_per_group(perf, "event", "season", "year", "athlete_id").where(where).withColumn("directed", F.col("k.directed"))
 
 
 def championship_points(perf: DataFrame) -> DataFrame:
     """The pool of a championship: best mark of each athlete, event, season and year, ranked and with tie-split points."""
-    pool = best_per_group(perf, "event", "season", "year", "athlete_id")
-    return with_tie_points(pool.where("m.valid"), ["event", "season", "year"], key_order())
+    return with_tie_points(_pool(perf), CHAMPIONSHIP, ["directed"])
+
+
+def championship_scorers(perf: DataFrame) -> DataFrame:
+    """``championship_points``, only the rows with points."""
+    return scorers(_pool(perf), CHAMPIONSHIP, ["directed"])
 
 
 def team_scores(scored: DataFrame, *by: str) -> DataFrame:
-    """AGG-9: total per team with its breakdown, largest first."""
+    """AGG-9, SRT-5: total per team with its breakdown, in the order of the standings: best total first in each of ``by``, then by name."""
     parts = F.sort_array(F.collect_list(F.struct("points", "event", "athlete_id")), False)
-    return scored.where("points > 0").groupBy(*by, "team").agg(F.sum("points").alias("total"), F.count(F.lit(1)).alias("n"), parts.alias("breakdown"))
+    totals = scored.where("points > 0").groupBy(*by, "team").agg(F.sum("points").alias("total"), F.count(F.lit(1)).alias("n"), parts.alias("breakdown"))
+    return totals.orderBy(*by, F.desc("total"), F.asc_nulls_last("team"))
 
 
 def _select(actions: pd.DataFrame, limit: int) -> pd.Series:
@@ -92,34 +122,53 @@ def greedy_selection(pool: DataFrame, limit: int = LIMIT) -> DataFrame:
     """SEQ-1: the entries that fit under a limit of events per athlete, taken by potential points, rank, input order.
 
     An athlete who is in no relay of the championship (year, season) gets the first ``limit`` entries in that order, found by a window over
-    each athlete apart. A relay without named members always fits. Only relays with members and the entries of these members depend on
-    each other; those are chosen one by one, one group for each championship. Needs is_relay (null: no relay); relay rows list their
-    members by name.
+    each athlete. A relay without named members always fits. Relays with members, and the entries of these members, depend on each other
+    only within a component of athletes whom relays join; each component is chosen by itself, entry by entry, in a group of its own.
+    The ranking is made once and written. Needs is_relay (null: no relay); relay rows list their members by name.
     """
-    ranked = with_rank(pool.where("m.valid"), ["event", "season", "year"], key_order())
+    valid = pool.where("m.valid").withColumn("directed", F.col("k.directed"))
+    ranked = with_rank(valid, CHAMPIONSHIP, ["directed"])
     actions = ranked.select(
-        "year", "season", "id", "event", "team", "athlete_id", "athlete_name", "mark", F.coalesce("is_relay", F.lit(False)).alias("is_relay"),
-        place_points(F.col("rank")).alias("potential"), F.col("rank").cast("long").alias("rank"),
+        "year", "season", "id", "event", "team", "athlete_id", "athlete_name", "mark", "directed", F.coalesce(F.col("is_relay"), F.lit(False)).alias("is_relay"),
+        place_points(F.col("rank")).alias("potential"), "rank",
     )
-    each = actions.withColumn("names", _entered()).select("*", F.posexplode_outer("names").alias("_slot", "_name"))
-    # relays without names have no group of their own: each is apart by its id
-    athlete = Window.partitionBy("year", "season", "_name", F.when(F.col("_name").isNull(), F.col("id")))
-    turn = F.row_number().over(athlete.orderBy(F.desc("potential"), "rank", "is_relay", F.asc_nulls_last("event"), F.asc_nulls_last("id")))
-    told = each.withColumn("_coupled", F.max("is_relay").over(athlete)).withColumn("_turn", turn)
-    apart = told.where(F.col("_name").isNull() | (~F.col("_coupled") & (F.col("_turn") <= limit))).select(actions.columns)
-    linked = told.where(F.col("_coupled") & (F.col("_slot") == 0)).select(*actions.columns, "names")
+    named = stored(actions.withColumn("names", _entered()), "entries")
+    members = named.where("is_relay").select("year", "season", "id", "names", F.explode("names").alias("name"))
+    if members.isEmpty():
+        return _own_turns(named, limit).select(actions.columns)
+    person = lambda name: F.struct("year", "season", name.alias("name"))
+    joined = components(members.select(person(F.get("names", F.lit(0))).alias("a"), person(F.col("name")).alias("b")))
+    joined = joined.select("node.year", "node.season", "node.name", F.col("component.name").alias("component"))
+    # a relay has the component of its first member, an athlete the one of the name
+    told = looked_up(named.withColumn("name", F.get("names", F.lit(0))), joined, ["year", "season", "name"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["potential", "rank", "is_relay", "event", "id"], ascending=[False, True, True, True, True], kind="stable")
-        return group[_select(group, limit)].drop(columns="names")
+        return group[_select(group, limit)].drop(columns=["names", "component"])
+
+    coupled = told.where("component IS NOT NULL").select(*actions.columns, "names", "component").groupBy("year", "season", "component").applyInPandas(run, actions.schema)
+    apart = told.where("component IS NULL")
+    return _own_turns(apart, limit).select(actions.columns).unionByName(coupled)
 
-    return apart.unionByName(linked.groupBy("year", "season").applyInPandas(run, actions.schema))
+
+def _own_turns(entries: DataFrame, limit: int) -> DataFrame:
+    """The first entries of each athlete, and all relays without names, which come in no athlete's turn."""
+    name = F.get("names", F.lit(0))
+    athlete = Window.partitionBy("year", "season", name, F.when(name.isNull(), F.col("id")))
+    turn = F.row_number().over(athlete.orderBy(F.desc("potential"), "rank", F.asc_nulls_last("event"), F.asc_nulls_last("id")))
+    return entries.withColumn("_turn", turn).where(F.col("_turn") <= limit)
 
 
 def greedy_scores(pool: DataFrame, limit: int = LIMIT) -> DataFrame:
     """SEQ-2: the selected entries ranked again and scored with ties split."""
-    chosen = with_marks(greedy_selection(pool, limit).drop("rank", "potential"))
-    return with_tie_points(chosen, ["event", "season", "year"], key_order()).drop("m", "k")
+    return with_tie_points(greedy_selection(pool, limit).drop("rank", "potential"), CHAMPIONSHIP, ["directed"])
+
+
+def scored_event(event: Column, aliases: dict[str, list[str]], excluded: tuple[str, ...] = ("pentathlon",)) -> Column:
+    """FIL-10: whether an event counts: an alias of a scored one is contained in it, and no excluded word is."""
+    low = F.lower(event)
+    none_of = reduce(lambda a, word: a & ~F.contains(low, F.lit(word.lower())), excluded, F.lit(True))
+    return F.coalesce(first_match(event, [(a, name) for name, names in aliases.items() for a in names], "contains").isNotNull() & none_of, F.lit(False))
 
 
 def missing_events(found: DataFrame, aliases: dict[str, list[str]], *by: str) -> DataFrame:

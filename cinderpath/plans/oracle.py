@@ -72,6 +72,23 @@ SEASON = "o_orderdate::DATE BETWEEN DATE '{}' AND DATE '{}'"
 KEYWORDS = "High|School|Academy|Acad|Institute|MCI|GSA|MDI|EMITL|PVC|Relay|Track|Field|Team|Club|Middle|University|College"
 
 
+#: the pool with relays, its entries taken one by one: each championship keeps the names that it has used, with repeats
+RELAYS = f"""{POOL.replace("WITH ", "WITH RECURSIVE ", 1)}, who AS (
+  SELECT * EXCLUDE (athlete_name), event IN ('view', 'signup') AS is_relay, CASE WHEN event NOT IN ('view', 'signup') THEN athlete_name WHEN athlete_id % 8 = 0 THEN team || ' Relay'
+    ELSE 'Athlete ' || athlete_id || ', Athlete ' || (athlete_id + 12) || ', Athlete ' || (athlete_id + 24) || ', Athlete ' || (athlete_id + CASE WHEN athlete_id % 5 = 0 THEN 1 ELSE 36 END) END AS athlete_name FROM placed
+), turns AS (
+  SELECT *, CASE WHEN NOT is_relay THEN [athlete_name] WHEN contains(athlete_name, 'Relay') THEN [] ELSE string_split(athlete_name, ', ') END AS names,
+    row_number() OVER (PARTITION BY year, season ORDER BY coalesce([10, 8, 6, 4, 2, 1][rank], 0) DESC, rank, is_relay, event, id) AS turn FROM who
+), taken AS (
+  SELECT year, season, 0::BIGINT AS turn, []::VARCHAR[] AS used, false AS fits FROM (SELECT DISTINCT year, season FROM turns)
+  UNION ALL
+  SELECT year, season, turn, CASE WHEN fits THEN list_concat(used, names) ELSE used END, fits FROM (
+    SELECT t.year, t.season, t.turn, used, names, coalesce(list_bool_and(list_transform(names, lambda n: len(list_filter(used, lambda u: u = n)) < 3)), true) AS fits
+    FROM taken k JOIN turns t ON t.year = k.year AND t.season = k.season AND t.turn = k.turn + 1)
+), again AS (SELECT t.* EXCLUDE (rank, tied, place), row_number() OVER (PARTITION BY event, t.season, t.year ORDER BY directed, mark, id) AS place FROM turns t JOIN taken k ON k.year = t.year AND k.season = t.season AND k.turn = t.turn WHERE k.fits),
+final AS (SELECT *, min(place) OVER (PARTITION BY event, season, year, mark) AS rank, count(*) OVER (PARTITION BY event, season, year, mark) AS tied FROM again)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "milestones": f"""{PE} SELECT id, athlete_id, event, season, year, mark,
@@ -113,7 +130,11 @@ def oracle_sql() -> dict[str, str]:
         "tie_points": """WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_suppkey ORDER BY CAST(l_quantity AS INTEGER) DESC) AS rank, count(*) OVER (PARTITION BY l_suppkey, CAST(l_quantity AS INTEGER)) AS tied FROM lineitem),
             p AS (SELECT *, list_sum(list_transform([10, 8, 6, 4, 2, 1], lambda p, i: CASE WHEN i >= rank AND i < rank + tied THEN p ELSE 0 END)) / tied AS points FROM r) SELECT l_suppkey, l_orderkey, l_linenumber, round(points, 6)::DOUBLE AS points FROM p WHERE points > 0""",
         "championship": f"{POOL} SELECT event, season, year, athlete_id, mark, rank, round(points, 6)::DOUBLE AS points FROM scored",
-        "team_scores": f"{POOL} SELECT season, year, team, round(sum(points), 6)::DOUBLE AS total, count(*) AS n FROM scored WHERE points > 0 GROUP BY 1, 2, 3",
+        "team_scores": f"""{POOL} SELECT season, year, team, round(sum(points), 6)::DOUBLE AS total, count(*) AS n,
+            list(event ORDER BY points DESC, event DESC, athlete_id DESC) AS events FROM scored WHERE points > 0 GROUP BY 1, 2, 3""",
+        "relay_scores": f"""{RELAYS}
+            SELECT year, season, event, id, athlete_name, rank, round(list_sum(list_transform([10, 8, 6, 4, 2, 1], lambda p, i: CASE WHEN i >= rank AND i < rank + tied THEN p ELSE 0 END)) / tied, 6)::DOUBLE AS points FROM final""",
+        "scored_events": f"{PE}, e AS (SELECT id, CASE WHEN id % 7 = 0 THEN 'Indoor Pentathlon ' || event ELSE event END AS event FROM pe) SELECT id, event FROM e WHERE regexp_matches(lower(event), 'click|tap|purchase') AND NOT contains(lower(event), 'pentathlon')",
         "greedy_scores": f"""{POOL}, turns AS (SELECT *, row_number() OVER (PARTITION BY year, season, athlete_name ORDER BY coalesce([10, 8, 6, 4, 2, 1][rank], 0) DESC, rank, event, id) AS turn FROM placed),
             again AS (SELECT * EXCLUDE (rank, tied, place), row_number() OVER (PARTITION BY event, season, year ORDER BY directed, mark, id) AS place FROM turns WHERE turn <= 3),
             final AS (SELECT *, min(place) OVER (PARTITION BY event, season, year, mark) AS rank, count(*) OVER (PARTITION BY event, season, year, mark) AS tied FROM again)

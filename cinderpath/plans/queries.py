@@ -170,33 +170,46 @@ def best_per_group(spark: SparkSession, d: str) -> DataFrame:
     return scoring.best_per_group(perf_events(spark, d), "event", "season", "year", "athlete_id").select("event", "season", "year", "athlete_id", "id", "mark")
 
 
+def _quantities(spark: SparkSession, d: str) -> DataFrame:
+    mark = F.col("l_quantity").cast("int")
+    return table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", mark.alias("mark"), (-mark).alias("directed"))
+
+
 def comp_rank(spark: SparkSession, d: str) -> DataFrame:
     """WIN-5, 6."""
-    rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("mark"))
-    ranked = scoring.with_rank(rows, ["l_suppkey"], [F.desc("mark"), F.col("l_orderkey"), F.col("l_linenumber")])
-    return ranked.select("l_suppkey", "l_orderkey", "l_linenumber", F.col("rank").cast("long").alias("rank"), scoring.place_points(F.col("rank")).alias("potential"))
+    ranked = scoring.with_rank(_quantities(spark, d), ["l_suppkey"], ["directed"])
+    return ranked.select("l_suppkey", "l_orderkey", "l_linenumber", "rank", scoring.place_points(F.col("rank")).alias("potential"))
 
 
 def tie_points(spark: SparkSession, d: str) -> DataFrame:
     """WIN-7."""
-    rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("mark"))
-    scored = scoring.with_tie_points(rows, ["l_suppkey"], [F.desc("mark"), F.col("l_orderkey"), F.col("l_linenumber")])
-    return scored.where("points > 0").select("l_suppkey", "l_orderkey", "l_linenumber", F.round("points", 6).alias("points"))
+    scored = scoring.scorers(_quantities(spark, d), ["l_suppkey"], ["directed"])
+    return scored.select("l_suppkey", "l_orderkey", "l_linenumber", F.round("points", 6).alias("points"))
 
 
 def championship(spark: SparkSession, d: str) -> DataFrame:
     """AGG-5, WIN-6, 7: ranks and points of a championship pool."""
     scored = scoring.championship_points(perf_events(spark, d))
-    return scored.select("event", "season", "year", "athlete_id", "mark", F.col("rank").cast("long").alias("rank"), F.round("points", 6).alias("points"))
+    return scored.select("event", "season", "year", "athlete_id", "mark", "rank", F.round("points", 6).alias("points"))
 
 
 def team_scores(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-9, SRT-5."""
-    return scoring.team_scores(scoring.championship_points(perf_events(spark, d)), "season", "year").select("season", "year", "team", F.round("total", 6).alias("total"), "n")
+    """AGG-9, SRT-5: the standings in order."""
+    totals = scoring.team_scores(scoring.championship_scorers(perf_events(spark, d)), "season", "year")
+    return totals.select("season", "year", "team", F.round("total", 6).alias("total"), "n", F.transform("breakdown", lambda p: p["event"]).alias("events"))
 
 
 def _pool(spark: SparkSession, d: str) -> DataFrame:
-    return with_marks(scoring.best_per_group(perf_events(spark, d), "event", "season", "year", "athlete_id").drop("m", "k").withColumn("is_relay", F.lit(False)))
+    return scoring.best_per_group(perf_events(spark, d), "event", "season", "year", "athlete_id").withColumn("is_relay", F.lit(False))
+
+
+def _relay_pool(spark: SparkSession, d: str) -> DataFrame:
+    """The pool with relays: in two events an entry is one of four athletes, mostly of the athlete's team; one in eight has no names."""
+    u = F.col("athlete_id")
+    member = lambda k: F.concat(F.lit("Athlete "), (u + k).cast("string"))
+    names = F.when(u % 8 == 0, F.concat("team", F.lit(" Relay"))).otherwise(F.concat_ws(", ", member(0), member(12), member(24), F.when(u % 5 == 0, member(1)).otherwise(member(36))))
+    relay = F.col("event").isin("view", "signup")
+    return _pool(spark, d).withColumn("is_relay", relay).withColumn("athlete_name", F.when(relay, names).otherwise(F.col("athlete_name")))
 
 
 def result_table(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +219,19 @@ def result_table(spark: SparkSession, d: str) -> DataFrame:
 
 def greedy_scores(spark: SparkSession, d: str) -> DataFrame:
     """SEQ-1, 2."""
-    return scoring.greedy_scores(_pool(spark, d)).select("year", "season", "event", "id", "athlete_name", F.col("rank").cast("long").alias("rank"), F.round("points", 6).alias("points"))
+    return scoring.greedy_scores(_pool(spark, d)).select("year", "season", "event", "id", "athlete_name", "rank", F.round("points", 6).alias("points"))
+
+
+def relay_scores(spark: SparkSession, d: str) -> DataFrame:
+    """SEQ-1, 2 with relays."""
+    return scoring.greedy_scores(_relay_pool(spark, d)).select("year", "season", "event", "id", "athlete_name", "rank", F.round("points", 6).alias("points"))
+
+
+def scored_events(spark: SparkSession, d: str) -> DataFrame:
+    """FIL-10: performances of scored events without pentathlons."""
+    event = F.when(F.col("id") % 7 == 0, F.concat(F.lit("Indoor Pentathlon "), "event")).otherwise(F.col("event"))
+    rows = perf_events(spark, d).withColumn("event", event)
+    return rows.where(scoring.scored_event(F.col("event"), {"Clicks": ["click", "tap"], "Sales": ["Purchase"]})).select("id", "event")
 
 
 def missing_events(spark: SparkSession, d: str) -> DataFrame:
@@ -379,7 +404,7 @@ def report_round_trip(spark: SparkSession, d: str) -> DataFrame:
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     milestones, mark_parse, mark_format, mark_improvement, api_athletes, api_teams, api_athlete_performances, api_performances, season_like, season_parts, facets, history_sorted,
     date_in_season, team_prefix_map, conference_tag, event_normalise, athlete_flags, dedup_first, last_values, athlete_ids, synced_anti, best_per_group, comp_rank, tie_points,
-    championship, team_scores, greedy_scores, missing_events, pr_pops, pop_summary, team_meets, latest_meet, profile_stats, profile_series, unpivot_sheet, sheet_match, meet_sheet,
+    championship, team_scores, greedy_scores, relay_scores, scored_events, missing_events, pr_pops, pop_summary, team_meets, latest_meet, profile_stats, profile_series, unpivot_sheet, sheet_match, meet_sheet,
     text_lines, block_segment, carry_forward, status_counts, date_quality, digit_audit, html_links, year_from_url, splits_json, export, roster, filter_options,
     union_pages, union_distinct, report_round_trip, conference_schools, display_date, result_table, record_counts,
 )

@@ -35,7 +35,7 @@ def test_series_of_jumps(spark):
 )
 def test_tie_points(spark, marks, ranks, points):
     df = with_marks(spark.createDataFrame([(i, "e", m) for i, m in enumerate(marks)], "id long, event string, mark string"))
-    rows = scoring.with_tie_points(df, ["event"], scoring.key_order()).orderBy("id").collect()
+    rows = scoring.with_tie_points(df.withColumn("directed", F.col("k.directed")), ["event"], ["directed"]).orderBy("id").collect()
     assert [r["rank"] for r in rows] == ranks and [r.points for r in rows] == pytest.approx(points)
 
 
@@ -54,7 +54,7 @@ def test_greedy_equals_one_by_one(spark):
     rows.append((300, None, "Al", "7.1", None, "2024"))
     pool = spark.createDataFrame(rows, "id long, event string, athlete_name string, mark string, is_relay boolean, year string").selectExpr("*", "'A' AS team", "id AS athlete_id", "'Indoor' AS season")
     pool = with_marks(pool).cache()
-    ranked = scoring.with_rank(pool.where("m.valid"), ["event", "season", "year"], scoring.key_order()).collect()
+    ranked = scoring.with_rank(pool.where("m.valid").withColumn("directed", F.col("k.directed")), ["event", "season", "year"], ["directed"]).collect()
     points = lambda r: scoring.POINTS[r.rank - 1] if r.rank <= 6 else 0
     used, want = {}, set()
     for r in sorted(ranked, key=lambda r: (-points(r), r.rank, bool(r.is_relay), r.event is None, r.event or "", r.id)):
@@ -70,6 +70,46 @@ def test_greedy_equals_one_by_one(spark):
     assert scoring.greedy_selection(pool.where("false")).count() == 0
 
 
+def test_components(spark):
+    """Against a search: a long way, a star, a ring, rings joined by one edge, loops."""
+    from cinderpath.operators.components import components
+
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(300 + i, 300 + (i + 1) % 5) for i in range(5)] + [(208, 304), (500, 500), (501, 502), (502, 501)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for start in sorted(near):
+        todo = [] if start in want else [start]
+        while todo:
+            node = todo.pop()
+            if node not in want:
+                want[node] = start
+                todo += near[node]
+    found = components(spark.createDataFrame(edges, "a long, b long").repartition(3))
+    assert {r.node: r.component for r in found.collect()} == want and found.count() == len(want)
+
+
+def test_places_over_partitions(spark):
+    """Numbers and running values of groups that lie in many partitions, null and hot groups among them."""
+    from pyspark.sql import Window
+
+    from cinderpath.operators import ranking
+
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 > 0 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE concat('g', id % 10) END AS g", "id * 7919 % 1009 AS v", "id")
+    found = ranking.indexed(rows.repartition(5), ["g"], ["v", "id"])
+    want = rows.withColumn("index", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")) - 1)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.select(found.columns).collect()))
+    named = found.where("g IS NOT NULL").cache()
+    for back in (False, True):
+        order = F.desc("index") if back else F.asc("index")
+        over = Window.partitionBy("g").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        got = ranking.running(named, "g", "index", {"s": ("sum", "v"), "x": ("bit_xor", "v")}, block=16, backwards=back)
+        assert sorted(map(str, got.collect())) == sorted(map(str, named.withColumns({"s": F.sum("v").over(over), "x": F.bit_xor("v").over(over)}).collect()))
+    assert ranking.indexed(rows, [], ["id"]).where("index <> id").isEmpty() and ranking.indexed(rows.limit(0), ["g"], ["v"]).isEmpty()
+
+
 def test_points_conserved(spark):
     scored = scoring.championship_points(perf_events(spark, SF))
     for row in scored.groupBy("event", "season", "year").agg(F.sum("points").alias("s"), F.count("*").alias("n")).collect():
@@ -94,7 +134,7 @@ def test_loading_twice_is_loading_once(spark):
     assert cleanse.first_arrivals(rows, once, ["k"], ["o"]).count() == 0
 
 
-@pytest.mark.parametrize("name", ["milestones", "facets", "pr_pops", "team_scores", "sheet_match", "report_round_trip", "conference_schools", "display_date", "result_table", "record_counts", "pop_summary"])
+@pytest.mark.parametrize("name", ["milestones", "facets", "pr_pops", "team_scores", "sheet_match", "report_round_trip", "conference_schools", "display_date", "result_table", "record_counts", "pop_summary", "profile_stats", "comp_rank", "tie_points", "relay_scores", "scored_events"])
 def test_against_sql(spark, name):
     db = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations"):
