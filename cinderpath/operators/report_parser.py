@@ -1,22 +1,21 @@
 """Fixed-width result reports to rows (PAR-1 to 17, WIN-8, 9).
 
 Lines are numbered per file and all steps are column expressions and windows within a file or an event block; files are small and
-many, so the work spreads over files. One Arrow function picks the result token of a row by its distance from the header's column.
+many, so the work spreads over files.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions.text import LINE_END, normalise_event
 
 #: Result codes that stand for a mark, and patterns of the reports.
 CODES = ("DQ", "FOUL", "NH", "NM", "DNS", "DNF", "SCR")
+LIKELY = ("DQ", "DNS", "NH", "FOUL", "DNF")
 SPLIT = r"\(((?:\d+:)?\d+\.\d+)\)"
 SPLIT_LINE = r"(?:\d+:)?\d+\.\d+\s+\((?:\d+:)?\d+\.\d+\)"
 RESULT = "struct<athlete:string,school:string,result:string,type:string,athletes:array<string>,splits:array<string>,warnings:array<string>>"
@@ -91,17 +90,29 @@ def with_anchors(lines: DataFrame) -> DataFrame:
     return lines.where((F.trim("line") != "") & ~F.contains("line", F.lit("---"))).drop("_at", "_head", "_rank")
 
 
-@F.pandas_udf(StringType())
-def result_token(line: pd.Series, anchor: pd.Series, right: pd.Series) -> pd.Series:
-    """PAR-10: the token of the row that begins nearest to the header's column, if it looks like a result; else the last token."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def pick(text: str, column: int, end: int) -> str | None:
-        tokens = [(m.start(), m[0]) for m in re.finditer(r"\S+", text[:end])]
-        likely = [(abs(at - column), i, t) for i, (at, t) in enumerate(tokens) if re.search(r"\d", t) or t.upper() in ("DQ", "DNS", "NH", "FOUL", "DNF")]
-        nearest = min(likely, default=None)
-        return nearest[2] if nearest and column >= 0 and nearest[0] < 20 else tokens[-1][1] if tokens else None
 
-    return pd.Series([pick(*row) for row in zip(line, anchor, right, strict=True)])
+def result_token(line: Column, anchor: Column, right: Column) -> Column:
+    """PAR-10: of the tokens before ``right`` the one that begins nearest to the header's column, if it looks like a result; else the last one.
+
+    The line is cut behind each token; the lengths of the pieces up to a token add up to its end.
+    """
+
+    def placed(pieces: Column) -> Column:
+        end = lambda i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda n, p: n + F.length(p))
+        return F.transform(pieces, lambda p, i: _let(F.regexp_replace(p, r"(?U)^\s+", ""), lambda t: F.struct((end(i) - F.length(t)).alias("at"), i.alias("i"), t.alias("token"))))
+
+    def chosen(tokens: Column) -> Column:
+        likely = F.filter(tokens, lambda t: t["token"].rlike(r"(?U)\d") | F.upper(t["token"]).isin(*LIKELY))
+        nearest = F.array_min(F.transform(likely, lambda t: F.struct(F.abs(t["at"] - anchor).alias("far"), t["i"].alias("i"), t["token"].alias("token"))))
+        last = F.get(tokens, F.size(tokens) - 1)["token"]
+        return _let(nearest, lambda n: F.when((anchor >= 0) & (n["far"] < 20), n["token"]).otherwise(last))
+
+    pieces = F.regexp_extract_all(F.substring(line, F.lit(1), right), F.lit(r"(?U)\s*\S+"), 0)
+    return _let(pieces, lambda p: _let(placed(p), chosen))
 
 
 def clean_result(raw: Column) -> tuple[Column, Column]:
@@ -131,7 +142,7 @@ def result_rows(lines: DataFrame) -> DataFrame:
     long_enough = F.when(F.col("is_relay"), F.length(line) > school_col).otherwise((F.length(line) >= school_col) & (F.length(line) >= F.col("anchor") - 5) & (area != "") & ~F.lower(area).isin("finals", "preliminaries", "prelims") & ~line.rlike(r"^\s*\d+\)\s+[A-Za-z]"))
     row = long_enough & F.col("splits").isNull() & F.col("runners").isNull()
     last = F.nullif(F.regexp_extract(F.rtrim(F.substring(line, F.lit(1), F.col("right"))), r"(\S+)$", 1), F.lit(""))
-    lines = lines.withColumn("_row", row).withColumn("_raw", F.when(F.col("is_relay"), last).otherwise(result_token("line", "anchor", "right")))
+    lines = lines.withColumn("_row", row).withColumn("_raw", F.when(F.col("is_relay"), last).when(F.col("_row"), result_token(line, F.col("anchor"), F.col("right"))))
     value = F.when(F.upper("_raw").startswith("X") & (F.length("_raw") > 1), F.substring("_raw", 2, 1000)).otherwise(F.col("_raw"))
     lines = lines.withColumn("_value", F.when(F.col("_row"), value))
     ok = F.col("_value").rlike(r"\d") | F.upper("_value").isin(*CODES)

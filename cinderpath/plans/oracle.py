@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import conference
-from . import page_queries
+from . import page_queries, report_queries
 from .queries import ALIASES, PART_NAMES, SCHOOLS, SHEET_HEAD, SLOTS, TEAM_MAP, TEAMS
 
 PE = """WITH raw AS (
@@ -167,7 +167,4 @@ def oracle_sql() -> dict[str, str]:
         "filter_options": f"{PO} " + " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS facet, {c} AS option FROM po" for c in ("year", "season", "event", "meet_name")),
         "union_pages": f"{PE} SELECT id, season FROM pe",
         "union_distinct": f"{PE} SELECT DISTINCT team, event FROM pe",
-        "report_round_trip": f"""{PE}, l AS (SELECT *, CASE WHEN athlete_id % 2 = 0 THEN 'Girls' ELSE 'Boys' END AS gender FROM pe WHERE event <> 'error')
-            SELECT CAST(day AS VARCHAR) AS file, gender, CASE WHEN is_time THEN '400 Meter Dash' ELSE 'Long Jump' END AS event, 'Runner ' || translate(CAST(athlete_id AS VARCHAR), '0123456789', 'abcdefghij') AS athlete,
-                   'School Team ' || translate(CAST(athlete_id % 12 AS VARCHAR), '0123456789', 'abcdefghij') AS school, mark AS result, 'Finals' AS type FROM l""",
-    } | page_queries.SQL
+    } | page_queries.SQL | report_queries.sql(PE)

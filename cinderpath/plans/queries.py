@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.marks import format_distance, format_improvement, format_time, parse_mark, with_marks
 from ..functions import text
 from ..functions.text import first_match, normalise_event
-from ..operators import api, audit, cleanse, conference, entry_sheet, history, pops, report_parser, scoring
+from ..operators import api, audit, cleanse, conference, entry_sheet, history, pops, scoring
 from ..sources import pages
 from ..sources.bindings import perf_events, perf_orders, table
-from . import page_queries
+from . import page_queries, report_queries
 
 TEAM_MAP = [("nation_12", "Twelve Union"), ("NATION_1", "Group One"), ("NATION_2", "Group Two"), ("NATION_20", "Never reached")]
 SCHOOLS = [("_12", "Twelve School"), ("_1", "One School"), ("N_2", "Two School")]
@@ -386,29 +386,14 @@ def union_distinct(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("season = 'Indoor'").select("team", "event").union(rows.where("season = 'Outdoor'").select("team", "event")).distinct()
 
 
-def report_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """PAR-2 to 17, GEN-1: events printed as fixed-width reports, one a day, and parsed again."""
-    rows = perf_events(spark, d).where("event <> 'error'").withColumn("g", F.when(F.col("athlete_id") % 2 == 0, "Girls").otherwise("Boys"))
-    event = F.when(F.col("event").isin("click", "view"), F.concat(F.initcap("event"), F.lit(" 400 Meter Dash"))).otherwise(F.concat(F.initcap("event"), F.lit(" Long Jump")))
-    letters = F.translate(F.col("athlete_id").cast("string"), "0123456789", "abcdefghij")
-    line = F.format_string("%3d %-24s %2d %-20s %10s%5d", F.lit(1), F.concat(F.lit("Runner "), letters), F.lit(11), F.concat(F.lit("School "), F.translate(F.col("team"), "0123456789", "abcdefghij")), F.col("mark"), F.lit(3))
-    rule = "=" * 70
-    top = F.format_string("    %-24s %-2s %-20s %10s%7s", F.lit("Name"), F.lit("Yr"), F.lit("School"), F.lit("Finals"), F.lit("Points"))
-    blocks = rows.groupBy("day", "g", event.alias("title")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))), lambda s: s["line"]), "\n").alias("rows"))
-    block = F.concat_ws("\n", F.concat_ws(" ", "g", "title"), F.lit(rule), F.lit("top"), F.lit(rule), "rows")
-    block = F.replace(block, F.lit("\ntop\n"), F.concat(F.lit("\n"), top, F.lit("\n")))
-    files = blocks.groupBy("day").agg(F.array_join(F.array_sort(F.collect_list(block)), "\n\n").alias("body")).select(F.col("day").cast("string").alias("file"), F.concat(F.lit("Example Field House\nMeet "), F.date_format("day", "M/d/yyyy"), F.lit("\n\n"), "body").alias("text"))
-    return report_parser.results(files).select("file", "gender", "event", "athlete", "school", "result", F.col("type"))
-
-
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     milestones, mark_parse, mark_format, mark_improvement, api_athletes, api_teams, api_athlete_performances, api_performances, season_like, season_parts, facets, history_sorted,
     date_in_season, team_prefix_map, conference_tag, event_normalise, athlete_flags, dedup_first, last_values, athlete_ids, synced_anti, best_per_group, comp_rank, tie_points,
     championship, team_scores, greedy_scores, relay_scores, scored_events, missing_events, pr_pops, pop_summary, team_meets, latest_meet, profile_stats, profile_series, unpivot_sheet, sheet_match, meet_sheet,
     text_lines, block_segment, carry_forward, status_counts, date_quality, digit_audit, html_links, year_from_url, splits_json, export, roster, filter_options,
-    union_pages, union_distinct, report_round_trip, conference_schools, display_date, result_table, record_counts,
+    union_pages, union_distinct, conference_schools, display_date, result_table, record_counts,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*ALL, *page_queries.QUERIES)}
+    return {f.__name__: f for f in (*ALL, *page_queries.QUERIES, *report_queries.QUERIES)}
