@@ -56,6 +56,17 @@ def likely_athlete(name: Column) -> Column:
     )
 
 
+def date_in_name(name: Column) -> Column:
+    """JOIN-4: the date in a file's name, as ISO text: ``7feb2025`` or ``2-7-2025`` (month first); null if none."""
+    low = F.lower(name)
+    worded, plain = r"(\d{1,2})([a-z]{3})(\d{4})", r"(\d{1,2})[-_](\d{1,2})[-_](\d{4})"
+    part = lambda p, i: F.regexp_extract(low, p, i)
+    months = F.array(*map(F.lit, ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")))
+    month = F.array_position(months, part(worded, 2))
+    iso = lambda y, m, d: F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
+    return F.when(low.rlike(worded), F.when(month > 0, iso(part(worded, 3), month.cast("string"), part(worded, 1)))).when(low.rlike(plain), iso(part(plain, 3), part(plain, 1), part(plain, 2)))
+
+
 def resolve_date(web: Column, content: Column, file_name: Column, fix: Column, season: Column, year: Column) -> Column:
     """JOIN-4: the first of web map, content and file name that lies in the season; a manual fix goes before all; texts in, ISO text or Unknown out."""
     days = [date_from_text(c) for c in (web, content, file_name)]

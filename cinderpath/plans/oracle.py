@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import conference
-from . import page_queries, report_queries
+from . import loading_queries, page_queries, report_queries
 from .queries import ALIASES, PART_NAMES, SCHOOLS, SHEET_HEAD, SLOTS, TEAM_MAP, TEAMS
 
 PE = """WITH raw AS (
@@ -167,4 +167,4 @@ def oracle_sql() -> dict[str, str]:
         "filter_options": f"{PO} " + " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS facet, {c} AS option FROM po" for c in ("year", "season", "event", "meet_name")),
         "union_pages": f"{PE} SELECT id, season FROM pe",
         "union_distinct": f"{PE} SELECT DISTINCT team, event FROM pe",
-    } | page_queries.SQL | report_queries.sql(PE)
+    } | page_queries.SQL | report_queries.sql(PE) | loading_queries.sql(PE)

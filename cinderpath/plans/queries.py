@@ -13,7 +13,7 @@ from ..functions.text import first_match, normalise_event
 from ..operators import api, audit, cleanse, conference, entry_sheet, history, pops, scoring
 from ..sources import pages
 from ..sources.bindings import perf_events, perf_orders, table
-from . import page_queries, report_queries
+from . import loading_queries, page_queries, report_queries
 
 TEAM_MAP = [("nation_12", "Twelve Union"), ("NATION_1", "Group One"), ("NATION_2", "Group Two"), ("NATION_20", "Never reached")]
 SCHOOLS = [("_12", "Twelve School"), ("_1", "One School"), ("N_2", "Two School")]
@@ -396,4 +396,4 @@ ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*ALL, *page_queries.QUERIES, *report_queries.QUERIES)}
+    return {f.__name__: f for f in (*ALL, *page_queries.QUERIES, *report_queries.QUERIES, *loading_queries.QUERIES)}

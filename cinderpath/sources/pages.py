@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,19 +110,29 @@ class _Bio(HTMLParser):
             self.cells = None
 
 
+class BioRows:
+    """The table function behind ``bio_results``: a page's result rows."""
+
+    def eval(self, html: str | None) -> Iterator[tuple]:
+        bio = _Bio()
+        bio.feed(html or "")
+        for ord_, row in enumerate(bio.rows):
+            yield bio.name or bio.title, ord_, *row
+
+
+BIO_ROWS = "athlete_name string, ord long, season_text string, event string, place string, dash string, mark_text string, date string, meet_name string"
+
+
+def register_bio_rows(spark: SparkSession, name: str = "bio_rows") -> None:
+    """Makes the rows of an athlete's page a table function of SQL: ``SELECT p.file, r.* FROM pages p, LATERAL bio_rows(p.html) r``."""
+    spark.udtf.register(name, F.udtf(BioRows, returnType=BIO_ROWS))
+
+
 def bio_results(pages: DataFrame) -> DataFrame:
-    """SRC-9, PAR-23: athlete_name, season, event, mark, place, date, meet_name, is_pr, is_sb of athletes' pages (file, html)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for file, html in zip(batch["file"], batch["html"], strict=True):
-                bio = _Bio()
-                bio.feed(html or "")
-                rows += [(file, bio.name or bio.title, i, *r) for i, r in enumerate(bio.rows)]
-            yield pd.DataFrame(rows, columns=["file", "athlete_name", "ord", "season_text", "event", "place", "dash", "mark_text", "date", "meet_name"])
-
-    raw = pages.select("file", "html").mapInPandas(run, "file string, athlete_name string, ord long, season_text string, event string, place string, dash string, mark_text string, date string, meet_name string")
+    """SRC-9, PAR-23: athlete_name, season, event, mark, place, date, meet_name, is_pr, is_sb of athletes' pages (file, html): a lateral join with ``bio_rows``."""
+    spark = pages.sparkSession
+    register_bio_rows(spark)
+    raw = spark.sql("SELECT p.file, r.* FROM {pages} p, LATERAL bio_rows(p.html) r", pages=pages.select("file", "html"))
     season = F.coalesce(F.nullif(F.regexp_extract("season_text", r"^(\d{4}\s+(?:Indoor|Outdoor|XC))", 1), F.lit("")), F.col("season_text"))
     mark = F.trim(F.regexp_replace("mark_text", r"\b(?:PR|SR)\b", ""))
     return raw.where("athlete_name <> ''").select("file", "ord", "athlete_name", season.alias("season"), "event", mark.alias("mark"), "place", "date", "meet_name", F.contains("mark_text", F.lit("PR")).alias("is_pr"), F.contains("mark_text", F.lit("SR")).alias("is_sb"))

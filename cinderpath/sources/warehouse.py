@@ -16,7 +16,12 @@ PERFORMANCES = "id long, athlete_id long, event string, mark string, place strin
 
 def read_meets(spark: SparkSession, path: str) -> DataFrame:
     """SRC-14: stem, meet_name, date, events; also of the older form, a bare list of events."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)[.][^.]+$", 1).alias("stem"), "value")
+    return parsed_meets(spark.read.text(path, wholetext=True))
+
+
+def parsed_meets(raw: DataFrame) -> DataFrame:
+    """SRC-14 of files (value), also of a stream of them."""
+    raw = raw.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)[.][^.]+$", 1).alias("stem"), "value")
     doc = F.when(F.ltrim("value").startswith("["), F.struct(F.lit(None).cast("string").alias("meet_name"), F.lit(None).cast("string").alias("date"), F.from_json("value", EVENTS).alias("events"))).otherwise(F.from_json("value", MEET))
     return raw.select("stem", doc.alias("d")).select("stem", F.coalesce("d.meet_name", "stem").alias("meet_name"), F.coalesce("d.date", F.lit("Unknown")).alias("date"), "d.events")
 

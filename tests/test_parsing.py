@@ -1,9 +1,6 @@
-import json
-
 from cinderpath.operators import audit, entry_sheet, list_parser, report_parser
 from cinderpath.operators.cleanse import flatten_meets
-from cinderpath.sources import pages, warehouse
-from cinderpath.streaming.incremental import load_new_meets
+from cinderpath.sources import pages
 
 RULE = "=" * 71
 REPORT = "\n".join(
@@ -75,26 +72,3 @@ def test_pages(spark):
     bio = '<meta name="favTitle" content="TF - Al Example"><div class="card"><div class="card-header"><h5>2026 Indoor North</h5></div><div class="card-block"><table><tr><td><h5>55 Meter</h5></td></tr><tr result-id="1"><td>1</td><td>-</td><td>6.79 PR</td><td>Dec 20</td><td>Meet A</td></tr></table></div></div>'
     row = pages.bio_results(spark.createDataFrame([("f", bio)], "file string, html string")).first()
     assert (row.athlete_name, row.season, row.event, row.mark, row.is_pr, row.is_sb, row.meet_name) == ("Al Example", "2026 Indoor", "55 Meter", "6.79", True, False, "Meet A")
-
-
-def test_incremental_load(spark, tmp_path):
-    inbox, target = tmp_path / "in", tmp_path / "out"
-    inbox.mkdir()
-
-    def put(name, mark):
-        doc = {"meet_name": name, "date": "2025-02-08", "events": [{"event": "55 Meter Dash", "gender": "Boys", "is_relay": False, "results": [{"athlete": "Al Example", "school": "North", "result": mark, "type": "Finals"}]}]}
-        (inbox / f"{name}.json").write_text(json.dumps(doc, indent=4))
-
-    def load():
-        load_new_meets(spark, str(inbox), str(target), str(tmp_path / "cp")).awaitTermination()
-        return spark.read.parquet(str(target)).count()
-
-    put("m1", "6.79")
-    assert load() == 1
-    put("m2", "6.79")  # the same performance from another meet file
-    put("m3", "6.70")
-    assert load() == 2 and load() == 2
-    (tmp_path / "old").mkdir()
-    (tmp_path / "old" / "x.json").write_text(json.dumps([{"event": "Long Jump", "gender": "Boys", "results": []}]))
-    assert warehouse.read_meets(spark, str(tmp_path / "old")).first().meet_name == "x"
-    assert warehouse.read_or_empty(spark, str(tmp_path / "none"), "a int").count() == 0
