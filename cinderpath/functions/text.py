@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The line ends that the parsers split at.
@@ -31,6 +31,16 @@ def lines(df: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     return df.select(*keep, F.posexplode(F.split(text, LINE_END)).alias("pos", "line"))
 
 
+def carried(value: Column, keys: list[str], order: str) -> Column:
+    """WIN-8: the last value that isn't null, up to the row."""
+    return F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def block_number(header: Column, keys: list[str], order: str) -> Column:
+    """WIN-9: the number of headers up to the row; rows above the first one have 0. A null or false is no header."""
+    return F.count(F.when(header, 1)).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+
+
 def first_match(value: Column, entries: list[tuple[str, str]], how: str = "prefix") -> Column:
     """JOIN-6/7: the value of the first entry whose key is a case-insensitive prefix of, or contained in, ``value``; null if none.
 

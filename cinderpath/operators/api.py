@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .history import matching
@@ -46,12 +48,20 @@ def roster(perf: DataFrame, team: str | None = None) -> DataFrame:
 
 
 def filter_options(perf: DataFrame, *columns: str) -> DataFrame:
-    """AGG-16: facet, option: the distinct values of each column, one pass."""
+    """AGG-16, SRT-3: facet, option, place: the distinct values of each column, one pass, in the order of a menu: years from the latest, others by their characters."""
     pairs = [F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("option")) for c in columns]
-    return perf.select(F.explode(F.array(*pairs)).alias("o")).select("o.*").where("option IS NOT NULL").distinct()
+    found = perf.select(F.explode(F.array(*pairs)).alias("o")).select("o.*").where("option IS NOT NULL").distinct()
+    year = F.when(F.col("facet") == "year", F.col("option").try_cast("int"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("facet").orderBy(year.desc_nulls_last(), "option"))).orderBy("facet", "place")
 
 
 def export(perf: DataFrame, dim: DataFrame) -> DataFrame:
     """SNK-4: performances with names and splits decoded; an empty list where there are none or the text is no list."""
     splits = F.coalesce(F.from_json("splits", "array<string>"), F.array().cast("array<string>"))
     return perf.join(dim, "athlete_id").withColumn("splits", splits)
+
+
+def combined(*parts: DataFrame, distinct: bool = False) -> DataFrame:
+    """SET-1, SET-2: the rows of several tables by the names of their columns, each as often as it comes or once."""
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.distinct() if distinct else rows

@@ -40,3 +40,9 @@ def warnings_report(meets: DataFrame, n: int = 20) -> DataFrame:
     """SNK-5, LIM-2: the first n warnings by file."""
     found = meets.select("file", F.posexplode("events").alias("event_ord", "e")).select("file", "event_ord", "e.event", F.posexplode("e.results").alias("result_ord", "r"))
     return found.select("file", "event_ord", "result_ord", "event", F.explode("r.warnings").alias("warning")).orderBy("file", "event_ord", "result_ord", "warning").limit(n)
+
+
+def first_results(meets: DataFrame, n: int = 3) -> DataFrame:
+    """LIM-2: the first n results of each event, as a preview of a parsed meet; cut in the row."""
+    events = meets.select("file", F.posexplode("events").alias("event_ord", "e"))
+    return events.select("file", "event_ord", "e.event", "e.gender", F.posexplode(F.slice("e.results", 1, n)).alias("result_ord", "r")).select("file", "event_ord", "event", "gender", "result_ord", "r.athlete", "r.school", "r.result")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_event, first_match
+from ..functions.text import carried, clean_event, first_match
 from ..sources.page_tree import page_text
 from ..sources.pages import absolute, links
 
@@ -21,11 +21,6 @@ def _lines(files: DataFrame, *keep: str) -> DataFrame:
     return files.select("file", *keep, F.posexplode(F.split(F.replace("text", F.lit(chr(160)), F.lit(" ")), "\n")).alias("pos", "line")).withColumn("line", F.trim(F.regexp_replace("line", "^\\s+|\\s+$", "")))
 
 
-def _carried(value: Column, *keys: str) -> Column:
-    """WIN-8: the last value that isn't null, up to the row."""
-    return F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-
-
 def _parts(line: str = "line") -> Column:
     return F.array_remove(F.transform(F.split(line, r"\s{2,}|\t"), lambda p: F.trim(p)), "")
 
@@ -68,7 +63,7 @@ def delimited(files: DataFrame) -> DataFrame:
     header = (F.length("line") < 80) & F.col("line").rlike("Girls|Boys|Women|Men") & F.col("line").rlike(head)
     rows = rows.withColumn("_h", header)
     for name, i in (("gender", 1), ("event", 2)):
-        rows = rows.withColumn(name, _carried(F.when(F.col("_h"), F.trim(F.regexp_extract("line", head, i))), "file"))
+        rows = rows.withColumn(name, carried(F.when(F.col("_h"), F.trim(F.regexp_extract("line", head, i))), ["file"], "pos"))
     rows = rows.where("event IS NOT NULL AND NOT _h").withColumn("p", _parts()).where(F.size("p") >= 3)
     rows = rows.withColumn("rank", F.regexp_replace(F.get("p", F.lit(0)), r"^\.+|\.+$", "")).where(F.col("rank").rlike(r"^\d+$")).join(layouts(files), "file")
     relay = F.contains("event", F.lit("Relay")) | F.contains("line", F.lit("Relay"))
@@ -97,7 +92,7 @@ def performance_list(files: DataFrame, schools: list[tuple[str, str]]) -> DataFr
     """PAR-20 to 22: rows of performance lists (file, text, season) of the given schools; a December indoor date counts for the next year."""
     rows = _lines(files, "season").where("line <> ''")
     header = F.col("line").rlike("Girls|Boys") & F.col("line").rlike("Dash|Run|Hurdles|Jump|Shot|Vault|Relay")
-    rows = rows.withColumn("_h", header).withColumn("event", _carried(F.when(header, F.nullif(F.trim(F.regexp_extract("line", r"^((?:Girls|Boys)\s+[^=]+)", 1)), F.lit(""))), "file", "season")).where("event IS NOT NULL AND NOT _h")
+    rows = rows.withColumn("_h", header).withColumn("event", carried(F.when(header, F.nullif(F.trim(F.regexp_extract("line", r"^((?:Girls|Boys)\s+[^=]+)", 1)), F.lit(""))), ["file", "season"], "pos")).where("event IS NOT NULL AND NOT _h")
     own, relay = F.col("line").rlike(INDIVIDUAL), F.col("line").rlike(RELAY)
     pick = lambda i, r: F.when(own, F.regexp_extract("line", INDIVIDUAL, i)).otherwise(F.regexp_extract("line", RELAY, r))
     rows = rows.where(own | relay).withColumn("team", first_match(F.trim(pick(6, 5)), schools, "contains")).where("team IS NOT NULL").withColumn("date", pick(7, 6))

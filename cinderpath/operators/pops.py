@@ -9,23 +9,41 @@ from ..functions.marks import format_improvement, with_marks
 from .scoring import best_per_group
 
 
-def pr_pops(perf: DataFrame) -> DataFrame:
-    """The best row of each athlete, event and day that beats all earlier days, with ``prev_best_day`` and ``old_pr``.
-
-    ``prev_best_day`` is the best of earlier days, ``old_pr`` the best of all earlier performances, the same day's included.
-    """
+def _seen(perf: DataFrame) -> DataFrame:
+    """Every row with the best of its athlete and event on earlier days (``prev_best_day``) and before the row (``old_pr``)."""
     keys = Window.partitionBy("athlete_id", "event")
     rows = with_marks(perf).withColumn("_day", F.datediff("day", F.lit("1970-01-01")))
     packed = F.struct("k.invalid", "k.directed", "date", "id", "m", "mark")
-    seen = rows.withColumns(
+    return rows.withColumns(
         {"prev_best_day": F.min(packed).over(keys.orderBy("_day").rangeBetween(Window.unboundedPreceding, -1)), "old_pr": F.min(packed).over(keys.orderBy("date", "id").rowsBetween(Window.unboundedPreceding, -1))}
     )
-    best = best_per_group(seen, "athlete_id", "event", "day")
+
+
+def _improved(best: DataFrame) -> DataFrame:
     better = F.struct("k.invalid", "k.directed") < F.struct("prev_best_day.invalid", "prev_best_day.directed")
     improvement = F.when(F.col("old_pr.m.valid"), format_improvement(F.col("m"), F.col("old_pr.m"))).otherwise("")
     return best.where(F.col("prev_best_day").isNotNull() & better).withColumn("improvement", improvement)
 
 
+def pr_pops(perf: DataFrame) -> DataFrame:
+    """The best row of each athlete, event and day that beats all earlier days, with ``prev_best_day`` and ``old_pr``.
+
+    ``prev_best_day`` is the best of earlier days, ``old_pr`` the best of all earlier performances, the same day's included.
+    """
+    return _improved(best_per_group(_seen(perf), "athlete_id", "event", "day"))
+
+
+def meet_pops(perf: DataFrame, meets: DataFrame) -> DataFrame:
+    """FIL-12: ``pr_pops`` of the rows of chosen meets (team, meet_name, day) only, against whatever was done anywhere before."""
+    chosen = _seen(perf).join(meets.select("team", "meet_name", "day").distinct(), ["team", "meet_name", "day"], "left_semi")
+    return _improved(best_per_group(chosen, "athlete_id", "event", "team", "meet_name", "day"))
+
+
+def latest_meets(perf: DataFrame) -> DataFrame:
+    """LIM-3: team, meet_name, day: the latest meet of each team."""
+    return perf.where("date IS NOT NULL").groupBy("team").agg(F.max_by("meet_name", F.struct("date", "id")).alias("meet_name"), F.max("day").alias("day"))
+
+
 def pop_summary(pops: DataFrame) -> DataFrame:
     """AGG-12: per athlete the improvements in order, and their number."""
     listed = F.sort_array(F.collect_list(F.struct("day", "event", "mark", "improvement")))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import LINE_END, normalise_event
+from ..functions.text import LINE_END, block_number, normalise_event
 
 #: Result codes that stand for a mark, and patterns of the reports.
 CODES = ("DQ", "FOUL", "NH", "NM", "DNS", "DNF", "SCR")
@@ -63,7 +63,7 @@ def event_blocks(files: DataFrame) -> DataFrame:
     pattern = F.when(F.col("line").rlike(numbered), 1).when(F.col("line").rlike(plain) & F.contains(F.coalesce("_next", F.lit("")), F.lit("=====")), 2)
     lines = lines.withColumn("_header", pattern)
     part = lambda i: F.trim(F.when(F.col("_header") == 1, F.regexp_extract("line", numbered, i)).when(F.col("_header") == 2, F.regexp_extract("line", plain, i)))
-    lines = lines.withColumn("_gender", part(1)).withColumn("_name", part(2)).withColumn("block", F.count("_header").over(order)).where("block > 0")
+    lines = lines.withColumn("_gender", part(1)).withColumn("_name", part(2)).withColumn("block", block_number(F.col("_header").isNotNull(), ["file"], "pos")).where("block > 0")
     head = Window.partitionBy("file", "block")
     event = normalise_event(F.col("_raw"))
     lines = lines.withColumn("gender", F.max("_gender").over(head)).withColumn("_raw", F.max("_name").over(head)).withColumn("event", event)

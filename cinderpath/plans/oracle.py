@@ -164,7 +164,17 @@ def oracle_sql() -> dict[str, str]:
         "splits_json": """SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, '["' || json_extract_string(props, '$.k') || '"]' AS splits FROM events""",
         "export": f"{PE} SELECT id, athlete_name, CAST(CASE WHEN id % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_splits FROM pe",
         "roster": f"{PO} SELECT athlete_id, arg_min(athlete_name, id) AS athlete_name FROM po WHERE team = 'NATION_12' GROUP BY 1",
-        "filter_options": f"{PO} " + " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS facet, {c} AS option FROM po" for c in ("year", "season", "event", "meet_name")),
+        "filter_options": f"{PO}, o AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS facet, {c} AS option FROM po" for c in ("year", "season", "event", "meet_name"))
+        + ") SELECT facet, option, CAST(row_number() OVER (PARTITION BY facet ORDER BY CASE WHEN facet = 'year' THEN -CAST(option AS INTEGER) END, option) AS INTEGER) AS place FROM o",
+        "meet_pops": f"""{POPS.rsplit(", pops AS", 1)[0]}, latest AS (SELECT team, arg_max(meet_name, date) AS meet_name, max(day) AS day FROM pe GROUP BY 1),
+            here AS (SELECT seen.*, row_number() OVER (PARTITION BY athlete_id, event, team, meet_name, day ORDER BY invalid, directed, date, id) AS best FROM seen JOIN latest USING (team, meet_name, day))
+            SELECT team, meet_name, athlete_id, event, mark, prev.m AS prev_mark, old.m AS old_pr FROM here WHERE best = 1 AND prev IS NOT NULL AND (invalid < prev.a OR (invalid = prev.a AND directed < prev.b))""",
+        "meet_sheet": f"""{MATCH}, people AS (
+              SELECT m.ord, string_agg(m.name || CASE WHEN NOT contains(lower(m.slot), 'relay') THEN '' WHEN m.role = 'x' THEN ' (A)' WHEN m.role = 'y' THEN ' (B)' ELSE ' (Alt)' END, '; '
+                ORDER BY CASE WHEN NOT contains(lower(m.slot), 'relay') THEN 0 WHEN m.role = 'x' THEN 1 WHEN m.role = 'y' THEN 2 WHEN m.role IN ('(x)', '(y)') THEN 3 ELSE 9 END, n_nationkey) AS entries
+              FROM met m JOIN nation ON n_name = m.name GROUP BY 1)
+            SELECT s.ord, s.slot, CAST(s.ord + 1 AS INTEGER) AS number, CASE WHEN s.ord < {-(-len(SLOTS) // 2)} THEN 1 ELSE 2 END AS "column", coalesce(entries, '') AS entries, contains(s.slot, '55') AND contains(s.slot, 'Final') AS tentative
+            FROM (VALUES {SLOT_ROWS}) s(ord, slot, gender, base) LEFT JOIN people p ON p.ord = s.ord""",
         "union_pages": f"{PE} SELECT id, season FROM pe",
         "union_distinct": f"{PE} SELECT DISTINCT team, event FROM pe",
     } | page_queries.SQL | report_queries.sql(PE) | loading_queries.sql(PE)

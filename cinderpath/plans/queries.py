@@ -257,7 +257,13 @@ def team_meets(spark: SparkSession, d: str) -> DataFrame:
 
 def latest_meet(spark: SparkSession, d: str) -> DataFrame:
     """LIM-3: the latest meet of each team."""
-    return perf_events(spark, d).groupBy("team").agg(F.max_by("meet_name", "date").alias("meet_name"), F.max("day").alias("day"))
+    return pops.latest_meets(perf_events(spark, d))
+
+
+def meet_pops(spark: SparkSession, d: str) -> DataFrame:
+    """FIL-12, LIM-3: improvements at the latest meet of each team."""
+    rows = perf_events(spark, d)
+    return pops.meet_pops(rows, pops.latest_meets(rows)).select("team", "meet_name", "athlete_id", "event", "mark", F.col("prev_best_day.mark").alias("prev_mark"), F.col("old_pr.mark").alias("old_pr"))
 
 
 def profile_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -301,21 +307,21 @@ def meet_sheet(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.char_length("line").cast("long").alias("n"))
+    """PAR-4: the lines of texts."""
+    return text.lines(table(spark, d, "documents"), "text", "doc_id").select("doc_id", F.col("pos").cast("long").alias("pos"), F.char_length("line").cast("long").alias("n"))
 
 
 def block_segment(spark: SparkSession, d: str) -> DataFrame:
     """PAR-6, WIN-9: a line is a header if the next one is longer."""
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", F.char_length("line").alias("n"))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    marked = lines.withColumn("header", F.coalesce(F.lead("n").over(order) > F.col("n"), F.lit(False)))
-    return marked.withColumn("block", F.count_if("header").over(order)).groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").cast("long").alias("chars"))
+    lines = text.lines(table(spark, d, "documents"), "text", "doc_id").select("doc_id", "pos", F.char_length("line").alias("n"))
+    header = F.lead("n").over(Window.partitionBy("doc_id").orderBy("pos")) > F.col("n")
+    blocks = lines.withColumn("header", header).withColumn("block", text.block_number(F.col("header"), ["doc_id"], "pos"))
+    return blocks.groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").cast("long").alias("chars"))
 
 
 def carry_forward(spark: SparkSession, d: str) -> DataFrame:
     """WIN-8: the last user turn at or before each turn."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("asked"))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.carried(F.when(F.col("role") == "user", F.col("turn")), ["conv_id"], "turn").alias("asked"))
 
 
 def status_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -377,19 +383,19 @@ def filter_options(spark: SparkSession, d: str) -> DataFrame:
 def union_pages(spark: SparkSession, d: str) -> DataFrame:
     """SET-1."""
     rows = perf_events(spark, d)
-    return rows.where("season = 'Indoor'").select("id", "season").unionByName(rows.where("season = 'Outdoor'").select("season", "id"))
+    return api.combined(rows.where("season = 'Indoor'").select("id", "season"), rows.where("season = 'Outdoor'").select("season", "id"))
 
 
 def union_distinct(spark: SparkSession, d: str) -> DataFrame:
     """SET-2."""
     rows = perf_events(spark, d)
-    return rows.where("season = 'Indoor'").select("team", "event").union(rows.where("season = 'Outdoor'").select("team", "event")).distinct()
+    return api.combined(rows.where("season = 'Indoor'").select("team", "event"), rows.where("season = 'Outdoor'").select("team", "event"), distinct=True)
 
 
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     milestones, mark_parse, mark_format, mark_improvement, api_athletes, api_teams, api_athlete_performances, api_performances, season_like, season_parts, facets, history_sorted,
     date_in_season, team_prefix_map, conference_tag, event_normalise, athlete_flags, dedup_first, last_values, athlete_ids, synced_anti, best_per_group, comp_rank, tie_points,
-    championship, team_scores, greedy_scores, relay_scores, scored_events, missing_events, pr_pops, pop_summary, team_meets, latest_meet, profile_stats, profile_series, unpivot_sheet, sheet_match, meet_sheet,
+    championship, team_scores, greedy_scores, relay_scores, scored_events, missing_events, pr_pops, pop_summary, team_meets, latest_meet, meet_pops, profile_stats, profile_series, unpivot_sheet, sheet_match, meet_sheet,
     text_lines, block_segment, carry_forward, status_counts, date_quality, digit_audit, html_links, year_from_url, splits_json, export, roster, filter_options,
     union_pages, union_distinct, conference_schools, display_date, result_table, record_counts,
 )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleanse, report_parser
+from ..operators import audit, cleanse, report_parser
 from ..sources.bindings import perf_events
 
 LETTERS = "abcdefghij"
@@ -70,7 +70,17 @@ def report_flat(spark: SparkSession, d: str) -> DataFrame:
     return cleanse.flatten_meets(found, ("stem",)).select("stem", "event", "is_relay", "athlete_name", "team", "mark", "date", "splits")
 
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (report_round_trip, report_meets, report_flat)
+def report_preview(spark: SparkSession, d: str) -> DataFrame:
+    """LIM-2: the first three results of each event of each report."""
+    return audit.first_results(report_parser.meets(reports(spark, d))).select("file", "event_ord", "event", "gender", "result_ord", "athlete", "school", "result")
+
+
+def report_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-5, LIM-2: the first twenty warnings about reports."""
+    return audit.warnings_report(report_parser.meets(reports(spark, d)))
+
+
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (report_round_trip, report_meets, report_flat, report_preview, report_warnings)
 
 
 def sql(pe: str) -> dict[str, str]:
@@ -85,7 +95,12 @@ def sql(pe: str) -> dict[str, str]:
     NOT invalid AND id % 13 <> 0 AND id % 11 <> 0 AND event IN ('purchase', 'signup') AND id % 17 = 0 AS stray, NOT is_relay AND event <> 'error' AND id % 19 = 0 AS digits
   FROM (SELECT * EXCLUDE (splits), false AS is_relay FROM pe)
 ), told AS (SELECT * EXCLUDE (is_relay), event = 'error' AS is_relay, concat_ws('; ', CASE WHEN stray THEN 'Original result: J' || mark END, CASE WHEN digits THEN 'Athlete name contains numbers: ' || athlete END) AS warnings FROM printed)"""
+    # blocks stand in the order of their printed text, and so by gender and title, numbered ones (jumps) first
+    ranked = f"""{base}, blocked AS (SELECT *, CASE WHEN event IN ('purchase', 'signup') THEN 'Event 12  ' ELSE '' END || gender || ' ' || CASE event WHEN 'error' THEN '4x200 Meter Relay' WHEN 'click' THEN 'Click 400 Meter Dash' WHEN 'view' THEN 'View 400 Meter Dash'
+  ELSE upper(event[1:1]) || event[2:] || ' Long Jump' END AS title FROM told), placed AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY file ORDER BY title) - 1 AS INTEGER) AS event_ord, CAST(row_number() OVER (PARTITION BY file, title ORDER BY id) - 1 AS INTEGER) AS result_ord FROM blocked)"""
     return {
+        "report_preview": f"{ranked} SELECT file, event_ord, shown AS event, gender, result_ord, athlete, school, mark AS result FROM placed WHERE result_ord < 3",
+        "report_warnings": f"{ranked} SELECT file, event_ord, result_ord, shown AS event, unnest(string_split(warnings, '; ')) AS warning FROM placed WHERE warnings <> '' ORDER BY file, event_ord, result_ord, warning LIMIT 20",
         "report_round_trip": f"{base} SELECT file, gender, shown AS event, is_relay, athlete, school, mark AS result, type, athletes, splits, warnings FROM told",
         "report_meets": f"""{base} SELECT file, 'Example Field House, Town' AS meet_name, file AS date, count(DISTINCT gender || event) AS events, count(*) AS results FROM told GROUP BY file""",
         "report_flat": f"""{base} SELECT file AS stem, gender || ' ' || shown AS event, is_relay, CASE WHEN is_relay THEN replace(athletes, '; ', ', ') ELSE athlete END AS athlete_name, school AS team, mark,
