@@ -1,31 +1,37 @@
 """Personal data by weak supervision: labelers vote on candidate spans, expectation-maximisation estimates how reliable each is, and
 the posteriors train a final span classifier.
 
-1. One pass over whole texts finds candidates: matches of the strict formats (always kept: ``base``) and looser look-alikes, such as
-   a mail address with "(at)", a phone number without "+", an address of six groups. Five labelers vote on each: format, shape,
-   gazetteer, context words, boundary. A candidate carries its votes as a short key; the keys are few (4 kinds, 3^5 votes and three
-   sizes: below 3,000, whatever the corpus).
-2. The keys are counted over all documents. For each kind, expectation-maximisation on these counts estimates the labelers'
-   reliabilities and each key's posterior.
-3. A logistic classifier over the votes and the size is fitted on the posteriors, weighted by count. It decides on the look-alikes;
-   the accepted keys are a short literal of the last, native step.
+1. One pass over whole texts finds candidates: matches of the strict formats (always kept: ``base``), matches that fail their format's
+   test, and looser look-alikes beside these, such as a mail address with "(at)", a phone number without "+", an address of eight groups. Five labelers
+   vote on each: format, shape, gazetteer, context words, boundary. A candidate carries its votes and what the classifier sees besides -
+   size, separators, what stands before and after it, the distance of a context word - as a short key. A key has 4 kinds, 3^5 votes, 3
+   sizes, 5 separators, 3 neighbours on each side and 3 distances: the keys are bounded, whatever the corpus.
+2. The keys are counted over all documents. For each kind, expectation-maximisation on these counts estimates the other labelers'
+   reliabilities and the posteriors of look-alikes. The format anchors it: what passes is personal, what fails its test (checksum,
+   octets, number of digits) isn't, and neither posterior moves.
+3. A logistic classifier over the votes without the format's and the rest of the key is fitted on the posteriors, both classes of equal
+   weight. It decides on look-alikes; a failed match is never accepted, nor is a card without its checksum. The accepted keys are few.
+4. Accepted look-alikes are added in the row, in one sweep from left to right.
 
 The strict formats are matched leftmost and non-overlapping per kind; a match that fails its test is dropped without another try.
 Every search is linear in the length of the text. Offsets are code points, ends exclusive.
 
 Defined cases: a null or empty text has no spans; null ids are returned as they are; repeated rows are each scanned; an empty table
-gives an empty result; look-alikes that overlap a base span or an earlier accepted look-alike are left out; other columns are ignored.
+gives an empty result; look-alikes that overlap a base span or an earlier accepted look-alike are left out; failed matches outside 7 to 24
+characters aren't counted, as they could only be negatives; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, id_and_text, written
@@ -57,6 +63,8 @@ CUES = {
     2: ("card", "visa", "credit", "payment", "karte", "carte", "tarjeta"),
     3: ("phone", "tel", "call", "mobile", "fax", "cell", "telefon"),
 }
+#: What comes before a candidate counts as near in so many characters.
+NEAR = 12
 ANTI_CUES = ("version", "isbn", "order", "invoice", "section", "serial", "build", "chapter")
 _DIGITS = re.compile(r"[0-9]")
 _ALNUM = re.compile(r"[^\W_]")
@@ -97,7 +105,7 @@ def strict(text: str) -> Iterator[tuple[int, int, int, bool]]:
 
 
 def vote(text: str, kind: int, start: int, end: int, base: bool, failed: bool) -> str:
-    """The labelers' votes on a candidate - 1, 0 or - each - and its size: 0 short, 1 middle, 2 long."""
+    """The labelers' votes on a candidate - 1, 0 or - each - and what else the classifier sees: size, separators, neighbours, how near a context word is."""
     span = text[start:end]
     digits = re.sub(r"[^0-9]", "", span)
     ending = re.split(r"[ .)\]}]", span)[-1].lower()
@@ -116,7 +124,18 @@ def vote(text: str, kind: int, start: int, end: int, base: bool, failed: bool) -
     context = 1 if any(c in before for c in CUES[kind]) else 0 if any(c in before for c in ANTI_CUES) else None
     free = not (start and _ALNUM.match(text[start - 1])) and not (end < len(text) and _ALNUM.match(text[end]))
     votes = (1 if base else 0 if failed else None, int(shape), None if known is None else int(known), context, int(free))
-    return "".join("-" if v is None else str(v) for v in votes) + str(min(2, len(span) // 16))
+    separators = {c for c in span if c in " .-"}
+    kind_of = lambda c: "e" if not c or c.isspace() else "w" if _ALNUM.match(c) else "p"
+    near = 0 if context is None else 2 if any(c in before[-NEAR:] for c in (*CUES[kind], *ANTI_CUES)) else 1
+    rest = (min(2, len(span) // 16), "0" if not separators else "m" if len(separators) > 1 else {" ": "s", ".": "d", "-": "h"}[min(separators)], kind_of(text[start - 1 : start]), kind_of(text[end : end + 1]), near)
+    return "".join("-" if v is None else str(v) for v in votes) + "".join(map(str, rest))
+
+
+def _outside(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a span overlaps none of ``spans``."""
+    ordered = sorted(spans)
+    starts, reach = [a for a, _ in ordered], [*accumulate((b for _, b in ordered), max)]
+    return lambda a, b: not (i := bisect_left(starts, b)) or reach[i - 1] <= a
 
 
 def candidates(text: str) -> list[tuple[int, int, int, bool, str]]:
@@ -125,11 +144,13 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, str]]:
         return []
     matched = list(strict(text))
     base = [(k, a, b, True, f"{k}{vote(text, k, a, b, True, False)}") for k, a, b, passed in matched if passed]
-    # a failed match is a candidate as a look-alike if it has about the size of its kind
     loose = {(k, a, b): True for k, a, b, passed in matched if not passed and 7 <= b - a <= 24}
+    free = _outside([(a, b) for _, a, b, _, _ in base])
     for kind, pattern in LOOSE.items():
         for m in pattern.finditer(text):
-            loose.setdefault((kind, *m.span()), False)
+            # a card without its checksum fails, however it is written
+            if free(*m.span()):
+                loose.setdefault((kind, *m.span()), kind == 2 and not luhn(re.sub("[^0-9]", "", m[0])))
     return base + [(k, a, b, False, f"{k}{vote(text, k, a, b, False, failed)}") for (k, a, b), failed in loose.items()]
 
 
@@ -145,63 +166,85 @@ def candidate_spans(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, f"doc_id long, spans array<{SPAN}>")
 
 
-def posteriors(counts: dict[str, int], steps: int = 40, prior: float = 0.7, accuracy: float = 0.8) -> dict[str, float]:
-    """P(personal) of each key of votes, by expectation-maximisation over the keys' counts; counts of one kind only."""
-    columns = range(len(LABELERS))
-    good = [{"1": accuracy * 0.6, "0": (1 - accuracy) * 0.6, "-": 0.4} for _ in columns]
-    bad = [{"1": (1 - accuracy) * 0.6, "0": accuracy * 0.6, "-": 0.4} for _ in columns]
-    p: dict[str, float] = {}
+def posteriors(counts: dict[str, int], steps: int = 60, prior: float = 0.5, accuracy: float = 0.8, trust: int = 20) -> dict[str, float]:
+    """P(personal) of each key of votes, by expectation-maximisation over the keys' counts; counts of one kind only.
+
+    Keys that the format decides are fixed at 1 and 0 and teach the other labelers' reliabilities: how often each votes yes, where it
+    votes, on what is personal and on what isn't, begun as ``trust`` votes of ``accuracy``; a yes never speaks against. Abstaining says
+    nothing. ``prior`` is of look-alikes, and stays: what there is of them isn't what they should be.
+    """
+    fixed = {k: float(k[1]) for k in counts if k[1] != "-"}
+    labelers = range(1, len(LABELERS))
+    good, bad = dict.fromkeys(labelers, accuracy), dict.fromkeys(labelers, 1 - accuracy)
+    p = dict(fixed)
     for _ in range(steps):
-        for key in counts:
-            odds = prior / (1 - prior) * math.prod(good[i][key[1 + i]] / bad[i][key[1 + i]] for i in columns)
+        for key in counts.keys() - fixed.keys():
+            odds = prior / (1 - prior)
+            for i in labelers:
+                if (v := key[1 + i]) != "-":
+                    odds *= good[i] / bad[i] if v == "1" else (1 - good[i]) / (1 - bad[i])
             p[key] = odds / (1 + odds)
-        yes, no = sum(n * p[k] for k, n in counts.items()), sum(n * (1 - p[k]) for k, n in counts.items())
-        prior = (yes + 1) / (yes + no + 2)
-        for i in columns:
-            for value in "10-":
-                good[i][value] = (sum(n * p[k] for k, n in counts.items() if k[1 + i] == value) + 1) / (yes + 3)
-                bad[i][value] = (sum(n * (1 - p[k]) for k, n in counts.items() if k[1 + i] == value) + 1) / (no + 3)
+        for i in labelers:
+            votes = [(n * p[k], n * (1 - p[k]), k[1 + i] == "1") for k, n in counts.items() if k[1 + i] != "-"]
+            good[i] = (sum(y for y, _, one in votes if one) + trust * accuracy) / (sum(y for y, _, _ in votes) + trust)
+            bad[i] = min(good[i], (sum(x for _, x, one in votes if one) + trust * (1 - accuracy)) / (sum(x for _, x, _ in votes) + trust))
     return p
 
 
 def classifier(counts: dict[str, int], target: dict[str, float], steps: int = 300, rate: float = 0.5, penalty: float = 1e-3) -> dict[str, float]:
-    """P(personal) of each key by a logistic model over (position, value) features, fitted on the posteriors weighted by count."""
-    total, weights = sum(counts.values()), defaultdict(float)
-    features = {k: [*enumerate(k), "bias"] for k in counts}
+    """P(personal) of each key by a logistic model over what stands at each place of the key but the format's vote, fitted on the posteriors; both classes weigh the same."""
+    weights: dict = defaultdict(float)
+    features = {k: [*((i, v) for i, v in enumerate(k) if i != 1), "bias"] for k in counts}
     predict = lambda k: 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights[f] for f in features[k])))))
+    yes, no = sum(n * target[k] for k, n in counts.items()) or 1.0, sum(n * (1 - target[k]) for k, n in counts.items()) or 1.0
     for _ in range(steps):
         slope: dict = defaultdict(float)
         for k, n in counts.items():
+            q = predict(k)
             for f in features[k]:
-                slope[f] += n / total * (target[k] - predict(k))
-        for f, s in slope.items():
-            weights[f] += rate * (s - penalty * weights[f])
+                slope[f] += n * (target[k] / yes * (1 - q) - (1 - target[k]) / no * q) / 2
+        for f, x in slope.items():
+            weights[f] += rate * (x - penalty * weights[f])
     return {k: predict(k) for k in counts}
 
 
-def accepted_keys(found: DataFrame, threshold: float = 0.8) -> list[str]:
-    """The keys of look-alikes that the classifier accepts; learned from all candidates of all documents."""
-    counts = {r["key"]: r["n"] for r in found.select(F.explode("spans.key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}
+def accepted_of(counts: dict[str, int], threshold: float = 0.8) -> list[str]:
+    """The keys of look-alikes, none of them failed, that both the posterior and the classifier accept."""
     out = []
     for kind in range(len(KINDS)):
         if own := {k: n for k, n in counts.items() if k.startswith(str(kind))}:
-            out += [k for k, p in classifier(own, posteriors(own)).items() if p >= threshold and k[1] != "1"]
+            told = posteriors(own)
+            out += [k for k, p in classifier(own, told).items() if k[1] == "-" and min(p, told[k]) >= threshold]
     return sorted(out)
 
 
-def chosen(spans: str, keys: list[str]) -> Column:
-    """Base spans and, where they overlap nothing, accepted look-alikes; by kind, then start."""
-    base = F.filter(spans, lambda s: s["base"])
-    loose = F.array_sort(F.filter(spans, lambda s: ~s["base"] & s["key"].isin(keys)), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"])) if keys else None
-    crosses = lambda s, others: F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
-    both = base if loose is None else F.aggregate(loose, base, lambda kept, s: F.when(crosses(s, kept), kept).otherwise(F.array_append(kept, s)))
-    return F.sort_array(both)
+def accepted_keys(found: DataFrame, threshold: float = 0.8) -> list[str]:
+    """The keys of look-alikes that are accepted; learned from all candidates of all documents."""
+    return accepted_of({r["key"]: r["n"] for r in found.select(F.explode("spans.key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}, threshold)
+
+
+def chosen(spans: list[dict], keys: frozenset[str]) -> list[dict]:
+    """Base spans and, where they overlap nothing, accepted look-alikes, the longer of those that begin together; by kind, then start. One sweep over each."""
+    base = [s for s in spans if s["base"]]
+    kept, last, free = [], 0, _outside([(s["start"], s["end"]) for s in base])
+    for s in sorted((s for s in spans if not s["base"] and s["key"] in keys), key=lambda s: (s["start"], -s["end"], s["kind"])):
+        if s["start"] >= last and free(s["start"], s["end"]):
+            kept.append(s)
+            last = s["end"]
+    return sorted([*base, *kept], key=lambda s: (s["kind"], s["start"], s["end"]))
 
 
 def pii_spans(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, spans (array of kind number, start, end, base, key); one row per row of ``docs``."""
     found = written(candidate_spans(docs), "pii-candidates")
-    return found.select("doc_id", chosen("spans", accepted_keys(found, threshold)).alias("spans"))
+    keys = frozenset(accepted_keys(found, threshold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column("spans")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([chosen(x, keys) for x in spans.to_pylist()], spans.type)], ["doc_id", "spans"])
+
+    return found.mapInArrow(run, found.schema)
 
 
 def redact(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
