@@ -5,22 +5,26 @@ of the span it takes in either fragment (the gap-weighted subsequence kernel), n
 characters stretch a span and lower the weight, but don't lose the match.
 
 Fragments: a text is folded - lower case, usual digit and sign substitutes read as letters, other signs as one class, each byte of a
-letter outside ASCII as another - and cut into words; three or more single characters in a row also make a fragment together, and
-a fragment of more than ``WINDOW`` characters is looked at in overlapping windows, so whole texts are scored.
+letter outside ASCII as another - and cut into words; three or more single characters in a row also make a fragment together, and so
+do two words side by side of which no clean training text has either. A fragment with signs is also read without them, and one of more than
+``WINDOW`` characters is looked at in overlapping windows, so whole texts are scored.
 
-Training: labels are for texts, so each labelled text is a bag whose sentences hold its fragments. A clean text's fragments are all clean;
-of a toxic text a few witnesses are taken, first by their log odds among the texts, then by the machine itself (multi-instance
-learning). At most ``max_toxic`` + ``max_clean`` labelled texts are used, the first by a hash of their id: this bound is what lets
-the machine be fitted on the driver. Everything else covers all rows.
+Training: labels are for texts, so each labelled text is a bag of fragments. A clean text's fragments are all clean, weighted by the
+texts that have them; a toxic text's witnesses are its fragments that many toxic texts and hardly a clean one have (``LEAST_ODDS``), and the
+one besides that the machine itself finds most toxic (multi-instance learning). Witnesses with an inserted character are examples
+too. At most ``max_toxic`` + ``max_clean`` labelled texts are used, the first by a hash of their id: this bound is what lets the
+machine be fitted on the driver. Everything else covers all rows.
 
 Scoring: with landmarks l_j the decision is a sum of a_j * K(fragment, l_j), which is linear in the subsequences. Summing the landmarks
 beforehand gives one weight for each of the 29^3 subsequences; so a fragment costs its own subsequences and not one kernel for each
-landmark. Each worker scores a distinct fragment once. A text's score is a logistic function, fitted on the same labelled texts, of
-its two highest fragment decisions.
-
-Defined cases: null and empty texts score as a text whose fragments are all neutral; a row with a null id is held out from nothing
-and scored; without labels of both kinds the score of every text is the share of toxic labels; repeated rows are each scored; an
-empty table gives an empty result; other columns are never read.
+landmark. Fragments that clean training texts have as often as chance would have it are neutral, whatever they look like. Each worker
+scores a distinct fragment once. A text's score is a logistic function of its two highest fragment decisions, fitted on the same
+labelled texts; each toxic one also counts as a text with its highest fragment alone, plain and (half) with an inserted character, so
+that a single insult is enough.
+
+Defined cases: null and empty texts score as a text whose fragments are all neutral; a row with a null id counts as held out (the
+remainder of an empty text's checksum is 0), as no label is its own, and is scored; without labels of both kinds the score of every
+text is the share of toxic labels; repeated rows are each scored; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -39,6 +43,10 @@ from .common import documents, id_and_text
 
 DECAY, WINDOW, SYMBOLS = 0.6, 16, 29
 CACHE = 400_000
+#: Least log odds of a witness among the training texts, and most of a neutral fragment; texts that must have a witness.
+LEAST_ODDS, NEUTRAL_ODDS, LEAST_TEXTS = 3.5, 2.0, 3
+#: Two words are looked at together if they have so many characters; their decision counts if it beats each other's by the margin.
+JOINED, MARGIN = (4, 11), 0.15
 _SUBSTITUTES = dict(zip("0134578@$!", "oieastbasi", strict=True))
 _FOLD = bytearray(range(256))
 for _b in range(256):
@@ -103,21 +111,35 @@ def windows(word: bytes) -> list[bytes]:
     return [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
 
 
+def readings(word: bytes) -> list[bytes]:
+    """The windows of a folded fragment, and of what is left of it without signs."""
+    return windows(word) + (windows(bare) if (bare := word.replace(b"}", b"")) != word else [])
+
+
 @dataclass
 class Machine:
     weights: np.ndarray  # of each subsequence
     bias: float
     calibration: tuple[float, float, float]  # of the highest decision, the second highest, constant
     constant: float | None = None  # the score of every text, if nothing could be learned
+    neutral: frozenset[bytes] = frozenset()  # windows that say nothing
+    clean: frozenset[bytes] = frozenset()  # folded fragments of clean training texts
 
     def decisions(self, words: list[bytes]) -> np.ndarray:
-        parts = [windows(fold(w)) for w in words]
+        parts = [readings(fold(w)) for w in words]
         flat = [p for ps in parts for p in ps]
         out = np.full(len(flat), self.bias)
-        for places, codes, weight in encoded(flat):
-            out[places] += np.einsum("ij,ij->i", self.weights[codes], weight)
+        told = [i for i, p in enumerate(flat) if len(p) >= 3 and p not in self.neutral]
+        at = np.array(told, np.int64)
+        for places, codes, weight in encoded([flat[i] for i in told]):
+            out[at[places]] += np.einsum("ij,ij->i", self.weights[codes], weight)
         return np.maximum.reduceat(out, np.cumsum([0, *map(len, parts[:-1])])) if parts else out
 
+    def joined(self, words: list[bytes]) -> list[bytes]:
+        """Neighbours that may be one word in two parts."""
+        new = [fold(w) not in self.clean for w in words]
+        return [a + b for a, b, x, y in zip(words, words[1:], new, new[1:], strict=False) if x and y and JOINED[0] <= len(a) + len(b) <= JOINED[1]]
+
     def score(self, highest: np.ndarray, second: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(highest), self.constant)
@@ -141,12 +163,12 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 25) -> np.
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> np.ndarray:
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 0.02 * np.eye(len(w)), x.T @ (y - p) - 0.02 * w)
+        w += np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + 0.02 * np.eye(len(w)), x.T @ (weight * (y - p)) - 0.02 * w)
     return w
 
 
@@ -158,9 +180,15 @@ def _landmark_columns(words: list[bytes]) -> np.ndarray:
     return out
 
 
-def train(bags: list[tuple[bool, list[bytes]]], landmarks: int = 160, negatives: int = 8000, rounds: int = 3) -> Machine:
+def inserted(word: bytes, rng: np.random.Generator) -> bytes:
+    at = 1 + int(rng.integers(max(1, len(word) - 1)))
+    return word[:at] + bytes([97 + int(rng.integers(26))]) + word[at:]
+
+
+def train(bags: list[tuple[bool, list[bytes]]], landmarks: int = 320, negatives: int = 8000, hard: int = 3000, rounds: int = 4, variants: int = 4) -> Machine:
     """bags: (toxic, fragments) of each labelled text."""
-    bags = [(t, sorted({p for w in words for p in windows(fold(w)) if len(p) >= 3})) for t, words in bags]
+    folded = [(t, sorted({fold(w) for w in words})) for t, words in bags]
+    bags = [(t, sorted({p for w in words for p in windows(w) if len(p) >= 3})) for t, words in folded]
     n_toxic, n_clean = sum(t for t, _ in bags), sum(not t for t, _ in bags)
     blank = np.zeros(SYMBOLS**3, np.float32)
     if not n_toxic or not n_clean:
@@ -170,37 +198,56 @@ def train(bags: list[tuple[bool, list[bytes]]], landmarks: int = 160, negatives:
     rng = np.random.default_rng(7)
     others = sorted(clean, key=lambda w: (-clean[w], w))
     sample = others[: negatives // 2] + [others[i] for i in rng.permutation(len(others))[: negatives // 2]]
-    witnesses = Counter(w for t, ws in bags if t for w in sorted((w for w in ws if not clean[w]), key=lambda w: (-odds[w], w))[:2])
-    machine = Machine(blank, 0.0, (1.0, 0.0, 0.0))
+    told = Counter({w: n for w, n in toxic.items() if n >= min(LEAST_TEXTS, n_toxic) and odds[w] > min(LEAST_ODDS, max(odds.values()) - 0.1)})
+    witnesses, known = Counter(told), sorted(set(toxic) | set(clean))
+    machine, at = Machine(blank, 0.0, (1.0, 0.0, 0.0)), dict.fromkeys(known, 0.0)
     for _ in range(rounds):
-        positive, negative = sorted(witnesses), list(dict.fromkeys(w for w in sample if w not in witnesses))
+        examples = Counter(witnesses)
+        for w in sorted(witnesses):
+            if witnesses[w] >= LEAST_TEXTS and 4 <= len(w) < WINDOW:
+                for _ in range(variants):
+                    examples[inserted(w, rng)] += max(1, witnesses[w] // 2)
+        positive, negative = sorted(examples), list(dict.fromkeys(w for w in sample if w not in examples))
         if not positive or not negative:
             break
-        marks = sorted(positive, key=lambda w: (-witnesses[w], w))[: landmarks // 2] + [negative[i] for i in rng.permutation(len(negative))[: landmarks // 2]]
-        columns = _landmark_columns(marks)
+        marks = sorted(witnesses, key=lambda w: (-witnesses[w], w))[: landmarks // 2] + negative[: landmarks // 4] + [negative[i] for i in rng.permutation(len(negative))[: landmarks // 4]]
+        columns = _landmark_columns(list(dict.fromkeys(marks)))
         values, vectors = np.linalg.eigh((columns.T @ columns).astype(float))
         keep = values > 1e-4
         whiten = vectors[:, keep] / np.sqrt(values[keep])
         words = positive + negative
-        kernel = np.zeros((len(words), len(marks)))
+        kernel = np.zeros((len(words), columns.shape[1]))
         for places, codes, weight in encoded(words):
             for k in range(0, len(places), 64):
                 kernel[places[k : k + 64]] = np.einsum("ijm,ij->im", columns[codes[k : k + 64]], weight[k : k + 64])
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        cost = np.array([float(witnesses[w]) for w in positive] + [1.0] * len(negative))
-        cost[y > 0] *= len(negative) / cost[y > 0].sum()
-        w = _svm(kernel @ whiten, y, 0.05 * cost)
+        cost = np.array([float(examples[w]) for w in positive] + [float(min(clean[w], 30)) for w in negative])
+        cost[y > 0] *= cost[y < 0].sum() / cost[y > 0].sum()
+        w = _svm(kernel @ whiten, y, 0.2 * cost / cost.mean())
         machine = Machine((columns @ (whiten @ w[:-1])).astype(np.float32), float(w[-1]), (1.0, 0.0, 0.0))
-        known = sorted(set(toxic) | set(clean))
         at = dict(zip(known, machine.decisions(known).tolist(), strict=True))
         # the machine's own witnesses, and the clean fragments that it takes for toxic
-        witnesses = Counter(w for t, ws in bags if t for w in sorted((w for w in ws if clean[w] <= 0.01 * n_clean), key=lambda w: (-at[w] - 0.2 * odds[w], w))[:2] if at[w] > -0.5 or odds[w] > 0)
-        sample = list(dict.fromkeys(sorted(clean, key=lambda w: -at[w])[:1000] + sample))
-    known = sorted(set(toxic) | set(clean))
-    at = dict(zip(known, machine.decisions(known).tolist(), strict=True))
-    highest = [sorted((at[w] for w in ws), reverse=True)[:2] for _, ws in bags]
-    x = np.array([(h + [machine.bias, machine.bias])[:2] for h in highest])
-    machine.calibration = tuple(_logistic(x, np.array([float(t) for t, _ in bags])).tolist())
+        witnesses = Counter(told)
+        for t, ws in bags:
+            if t and (own := [w for w in ws if not clean[w] and w not in told and at[w] > 0.3]):
+                witnesses[max(own, key=lambda w: (at[w], w))] += 1
+        sample = list(dict.fromkeys(sorted(clean, key=lambda w: (-at[w], w))[:hard] + sample))[: negatives + hard]
+    # what a clean text says is judged as of a text that training hasn't seen: its own words alone make nothing neutral
+    machine.neutral = frozenset(w for w in clean if clean[w] > 1 and odds.get(w, -1.0) < NEUTRAL_ODDS)
+    fragments_of = sorted({w for _, ws in folded for w in ws})
+    unseen = dict(zip(fragments_of, machine.decisions(fragments_of).tolist(), strict=True))
+    machine.neutral |= {w for w in clean if odds.get(w, -1.0) < NEUTRAL_ODDS}
+    machine.clean = frozenset(w for t, ws in folded if not t for w in ws)
+    seen = dict(zip(fragments_of, machine.decisions(fragments_of).tolist(), strict=True))
+    tops = [sorted((((seen if t else unseen)[w], w) for w in ws), reverse=True)[:2] for t, ws in folded]
+    x = np.array([([v for v, _ in top] + [machine.bias] * 2)[:2] for top in tops])
+    y = np.array([float(t) for t, _ in folded])
+    usual = float(np.median(x[y == 0, 1]))
+    alone = [(v, top[0][1].replace(b"}", b"")) for (v, _), top, t in zip(x, tops, y, strict=True) if t and v > 0]
+    changed = machine.decisions([inserted(w, rng) for _, w in alone]) if alone else np.zeros(0)
+    extra = np.array([[v, usual] for v in (*[v for v, _ in alone], *changed)]).reshape(-1, 2)
+    weight = np.concatenate([np.ones(len(x) + len(alone)), np.full(len(alone), 0.5)])
+    machine.calibration = tuple(_logistic(np.vstack([x, extra]), np.concatenate([y, np.ones(len(extra))]), weight).tolist())
     return machine
 
 
@@ -237,16 +284,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clea
             highest, second = np.full(len(texts), model.bias), np.full(len(texts), model.bias)
             for k in range(0, len(texts), 256):
                 words = [fragments(t) for t in texts[k : k + 256]]
+                pairs = [model.joined(ws) for ws in words]
                 if len(known) > CACHE:
                     known.clear()
-                new = list({w for ws in words for w in ws if w not in known})
+                new = list({w for some in (words, pairs) for ws in some for w in ws if w not in known})
                 known.update(zip(new, model.decisions(new).tolist(), strict=True))
-                for i, ws in enumerate(words, k):
+                for i, (ws, two) in enumerate(zip(words, pairs, strict=True), k):
                     if ws:
                         found = list(map(known.__getitem__, ws))
-                        highest[i] = top = max(found)
+                        top = max(found)
                         found.remove(top)
-                        second[i] = max(found, default=model.bias)
+                        highest[i], second[i] = top, max(found, default=model.bias)
+                        joined = max(map(known.__getitem__, two), default=top)
+                        if joined > top + MARGIN:
+                            highest[i], second[i] = joined, top
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(highest, second))], ["doc_id", "score"])
 
     scored = id_and_text(docs).mapInArrow(run, "doc_id long, score double")
