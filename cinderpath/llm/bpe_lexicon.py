@@ -4,13 +4,15 @@ A word is what stands between safe cuts of the text: before a space that stands
 feed that does. No pre-token of the vocabulary's pattern crosses such a cut, so words can be encoded one by one. Texts with other
 white space are cut by the pattern itself.
 
-1. All words of all documents are counted (a shuffle of distinct words with their counts).
+1. The words of all texts that allow safe cuts are counted, but the first one of each line, which has no space before it (a shuffle of
+   distinct words with their counts). Words seen once are left out.
 2. Words with at least ``min_share`` of all occurrences - 1 / ``min_share`` words at most, whatever the corpus - are encoded by
    their merges and compiled into a minimal acyclic automaton: equal suffixes share their states. Each state knows how many words
    end below it, so walking a word gives its rank, and the rank its ids: the output. The compiled bytes, of proven size, are
-   broadcast, and each Python worker maps them into memory.
+   broadcast, and each Python worker maps them into memory; its index of steps (state and byte, target, words before) is an array in memory.
 3. Each text is encoded from its words: the automaton for frequent ones, exact merges by rank for unseen ones. A worker keeps
-   what it has encoded in a bounded cache.
+   what it has encoded in a bounded cache. Texts that allow no safe cuts - other white space than single spaces and line feeds, or the
+   bytes e2 80 of typographic quotes and dashes - don't meet the automaton: they are merged from the pattern's pieces.
 
 Defined cases: null and empty texts have no ids; null ids of documents are returned as they are; repeated rows are each encoded; an
 empty table gives an empty result (and an empty lexicon); the string of a special token in a text is that token, as in the library;

@@ -9,7 +9,8 @@
 4. ``judge`` computes each document's posterior probability of being good. This posterior replaces "all rules must pass".
 
 Words in 3-word windows found twice or more (``n_repeat_words``) are found by sorting (64-bit window hash, position) pairs in the row
-and comparing neighbours: n log n for the longest texts.
+and comparing neighbours: n log n for the longest texts. Equal hashes count as equal windows without a check: two different windows of a text
+of n words have one hash with a probability of about n^2 / 2^65, 10^-9 for a million words.
 
 Defined cases: a null text counts as empty; an empty text has no words and fails the base rule; a null id is returned as it is;
 rows that repeat are judged alike, each counted; an empty table gives an empty result; other columns are ignored.
