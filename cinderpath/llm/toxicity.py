@@ -185,7 +185,7 @@ def inserted(word: bytes, rng: np.random.Generator) -> bytes:
     return word[:at] + bytes([97 + int(rng.integers(26))]) + word[at:]
 
 
-def train(bags: list[tuple[bool, list[bytes]]], landmarks: int = 320, negatives: int = 8000, hard: int = 3000, rounds: int = 4, variants: int = 4) -> Machine:
+def train(bags: list[tuple[bool, list[bytes]]], landmarks: int = 320, negatives: int = 8000, hard: int = 3000, rounds: int = 3, variants: int = 2) -> Machine:
     """bags: (toxic, fragments) of each labelled text."""
     folded = [(t, sorted({fold(w) for w in words})) for t, words in bags]
     bags = [(t, sorted({p for w in words for p in windows(w) if len(p) >= 3})) for t, words in folded]
@@ -198,7 +198,9 @@ def train(bags: list[tuple[bool, list[bytes]]], landmarks: int = 320, negatives:
     rng = np.random.default_rng(7)
     others = sorted(clean, key=lambda w: (-clean[w], w))
     sample = others[: negatives // 2] + [others[i] for i in rng.permutation(len(others))[: negatives // 2]]
-    told = Counter({w: n for w, n in toxic.items() if n >= min(LEAST_TEXTS, n_toxic) and odds[w] > min(LEAST_ODDS, max(odds.values()) - 0.1)})
+    # in few texts no odds can be that high: then the best ones do
+    least_odds, least_texts = min(LEAST_ODDS, max(odds.values(), default=0.0) - 0.1), min(LEAST_TEXTS, n_toxic)
+    told = Counter({w: n for w, n in toxic.items() if n >= least_texts and odds[w] > least_odds})
     witnesses, known = Counter(told), sorted(set(toxic) | set(clean))
     machine, at = Machine(blank, 0.0, (1.0, 0.0, 0.0)), dict.fromkeys(known, 0.0)
     for _ in range(rounds):
