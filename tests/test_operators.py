@@ -134,7 +134,14 @@ def test_loading_twice_is_loading_once(spark):
     assert cleanse.first_arrivals(rows, once, ["k"], ["o"]).count() == 0
 
 
-@pytest.mark.parametrize("name", ["milestones", "facets", "pr_pops", "team_scores", "sheet_match", "report_round_trip", "conference_schools", "display_date", "result_table", "record_counts", "pop_summary", "profile_stats", "comp_rank", "tie_points", "relay_scores", "scored_events"])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "milestones", "facets", "pr_pops", "meet_pops", "team_scores", "sheet_match", "meet_sheet", "report_round_trip", "report_meets", "report_flat", "report_preview", "report_warnings", "conference_schools", "display_date",
+        "result_table", "record_counts", "pop_summary", "profile_stats", "profile_series", "comp_rank", "tie_points", "relay_scores", "scored_events", "filter_options", "crawl", "crawl_files", "meet_links", "html_paragraphs", "page_links", "load",
+        "manifest", "lookup_prefix", "lookup_contains", "lookup_equal", "performance_lists", "latest_lists", "delimited_pages", "page_layouts", "bio_results", "latest_meet", "block_segment", "carry_forward",
+    ],
+)
 def test_against_sql(spark, name):
     db = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations"):
