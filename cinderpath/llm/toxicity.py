@@ -94,8 +94,8 @@ def encoded(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
             by.setdefault(len(w), []).append(i)
     for n, places in by.items():
         at, weight = _TABLE.setdefault(n, _subsequences(n))
-        for k in range(0, len(places), 4096):
-            some = places[k : k + 4096]
+        for k in range(0, len(places), 1024):
+            some = places[k : k + 1024]
             chars = np.frombuffer(b"".join(words[i] for i in some), np.uint8).reshape(len(some), n).astype(np.int64) - 97
             codes = (chars[:, at[:, 0]] * SYMBOLS + chars[:, at[:, 1]]) * SYMBOLS + chars[:, at[:, 2]]
             order = np.argsort(codes, axis=1)
@@ -187,7 +187,10 @@ def inserted(word: bytes, rng: np.random.Generator) -> bytes:
 
 def train(bags: list[tuple[bool, list[bytes]]], landmarks: int = 320, negatives: int = 8000, hard: int = 3000, rounds: int = 3, variants: int = 2) -> Machine:
     """bags: (toxic, fragments) of each labelled text."""
-    folded = [(t, sorted({fold(w) for w in words})) for t, words in bags]
+    distinct, once = {w for _, words in bags for w in words}, {}
+    folds = {w: once.setdefault(f := fold(w), f) for w in distinct}
+    folded = [(t, sorted({folds[w] for w in words})) for t, words in bags]
+    del distinct, folds
     bags = [(t, sorted({p for w in words for p in windows(w) if len(p) >= 3})) for t, words in folded]
     n_toxic, n_clean = sum(t for t, _ in bags), sum(not t for t, _ in bags)
     blank = np.zeros(SYMBOLS**3, np.float32)
@@ -220,8 +223,8 @@ def train(bags: list[tuple[bool, list[bytes]]], landmarks: int = 320, negatives:
         words = positive + negative
         kernel = np.zeros((len(words), columns.shape[1]))
         for places, codes, weight in encoded(words):
-            for k in range(0, len(places), 64):
-                kernel[places[k : k + 64]] = np.einsum("ijm,ij->im", columns[codes[k : k + 64]], weight[k : k + 64])
+            for k in range(0, len(places), 16):
+                kernel[places[k : k + 16]] = np.einsum("ijm,ij->im", columns[codes[k : k + 16]], weight[k : k + 16])
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
         cost = np.array([float(examples[w]) for w in positive] + [float(min(clean[w], 30)) for w in negative])
         cost[y > 0] *= cost[y < 0].sum() / cost[y > 0].sum()
@@ -270,8 +273,9 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(words, pa.list_(pa.binary()))], ["toxic", "words"])
 
     rows = id_and_text(docs).join(sample, "doc_id").select("toxic", "text").mapInArrow(run, "toxic boolean, words array<binary>")
-    # in one order, whatever order the tasks end in
-    return sorted((r["toxic"], [bytes(w) for w in r["words"]]) for r in rows.collect())
+    # in one order, whatever order the tasks end in; each distinct fragment is held once
+    found, once = rows.toArrow(), {}
+    return sorted((t.as_py(), [once.setdefault(w, w) for w in ws.as_py()]) for t, ws in zip(found["toxic"], found["words"], strict=True))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 2500, threshold: float = 0.5) -> DataFrame:
