@@ -22,10 +22,11 @@ def number_prefix(text: Column) -> Column:
     return F.coalesce(plain, F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double"))
 
 
-def parse_mark(mark: Column) -> Column:
+def parse_mark(mark: Column, zero: bool = False) -> Column:
     """MRK-1: struct(value, is_time, valid). Distances in inches, times in seconds; whatever has no value is an invalid time of 0.
 
-    Plain texts (7.40, 1:02.87, 5-08.00) are split and cast; patterns are for the others.
+    Plain texts (7.40, 1:02.87, 5-08.00) are split and cast; patterns are for the others. ``zero``: whether a time that is written out as
+    nought (0.00) is a value, as in tables of measurements; in printed results it stands for none.
     """
     text = F.upper(F.trim(F.coalesce(mark, F.lit(""))))
     status = text == ""
@@ -43,7 +44,7 @@ def parse_mark(mark: Column) -> Column:
     unit = lambda i, factor: F.when(F.size(clock) > i, number_prefix(F.get(clock, F.lit(i))) * factor).otherwise(F.lit(0.0))
     seconds = F.when(text.contains(":"), unit(0, 1) + unit(1, 60) + unit(2, 3600)).otherwise(number_prefix(text))
     value = F.when(status, 0.0).when(distance, length).otherwise(F.coalesce(seconds, F.lit(0.0)))
-    return F.struct(value.alias("value"), (status | ~distance).alias("is_time"), (~status & (distance | (value != 0))).alias("valid"))
+    return F.struct(value.alias("value"), (status | ~distance).alias("is_time"), (~status & (distance | (seconds.isNotNull() if zero else value != 0))).alias("valid"))
 
 
 def mark_key(m: Column) -> Column:
@@ -52,9 +53,11 @@ def mark_key(m: Column) -> Column:
     return F.struct((~m["valid"]).alias("invalid"), directed.alias("directed"))
 
 
-def with_marks(df: DataFrame, mark: str = "mark") -> DataFrame:
-    """Adds ``m`` (parsed) and ``k`` (sort key)."""
-    return df.withColumn("m", parse_mark(F.col(mark))).withColumn("k", mark_key(F.col("m")))
+def with_marks(df: DataFrame, mark: str = "mark", zero: bool = False) -> DataFrame:
+    """Adds ``m`` (parsed) and ``k`` (sort key); rows that have both keep them."""
+    if {"m", "k"} <= set(df.columns):
+        return df
+    return df.withColumn("m", parse_mark(F.col(mark), zero)).withColumn("k", mark_key(F.col("m")))
 
 
 def format_time(seconds: Column) -> Column:

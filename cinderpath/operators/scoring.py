@@ -27,7 +27,7 @@ def best_per_group(perf: DataFrame, *keys: str) -> DataFrame:
     Each task keeps one row of a group before the shuffle, so a hot group is no hot task. The row is carried whole, so both steps sort
     by the group's keys instead of hashing.
     """
-    rows = with_marks(perf) if "k" not in perf.columns else perf
+    rows = with_marks(perf)
     best = rows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct("k.invalid", "k.directed", "date", "id")).alias("row"))
     return best.select(*keys, "row.*")
 

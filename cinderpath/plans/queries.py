@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.marks import format_distance, format_improvement, format_time, parse_mark, with_marks
+from ..functions.marks import format_distance, format_improvement, format_time
 from ..functions import text
 from ..functions.text import first_match, normalise_event
 from ..operators import api, audit, cleanse, conference, entry_sheet, history, pops, scoring
 from ..sources import pages
-from ..sources.bindings import perf_events, perf_orders, table
+from ..sources.bindings import marked_events, perf_events, perf_orders, table
 from . import loading_queries, page_queries, report_queries
 
 TEAM_MAP = [("nation_12", "Twelve Union"), ("NATION_1", "Group One"), ("NATION_2", "Group Two"), ("NATION_20", "Never reached")]
@@ -33,22 +33,22 @@ def _value(m: str = "m") -> F.Column:
 
 def milestones(spark: SparkSession, d: str) -> DataFrame:
     """WIN-1 to 3, MRK-1, 2, PRJ-7."""
-    return history.milestones(perf_events(spark, d)).select("id", "athlete_id", "event", "season", "year", "mark", "is_first", "is_pr", "is_sb")
+    return history.milestones(marked_events(spark, d)).select("id", "athlete_id", "event", "season", "year", "mark", "is_first", "is_pr", "is_sb")
 
 
 def mark_parse(spark: SparkSession, d: str) -> DataFrame:
-    return perf_events(spark, d).withColumn("m", parse_mark(F.col("mark"))).select("id", "mark", _value().alias("value"), "m.is_time", "m.valid")
+    return marked_events(spark, d).select("id", "mark", _value().alias("value"), "m.is_time", "m.valid")
 
 
 def mark_format(spark: SparkSession, d: str) -> DataFrame:
     """MRK-3."""
-    rows = with_marks(perf_events(spark, d)).where("m.valid")
+    rows = marked_events(spark, d).where("m.valid")
     return rows.select("id", F.when(F.col("m.is_time"), format_time(_value())).otherwise(format_distance(_value())).alias("shown"))
 
 
 def mark_improvement(spark: SparkSession, d: str) -> DataFrame:
     """MRK-4: from one valid mark to the next of an athlete and event."""
-    rows = with_marks(perf_events(spark, d)).where("m.valid").withColumn("old", F.lag("m").over(Window.partitionBy("athlete_id", "event").orderBy("date", "id"))).where("old IS NOT NULL")
+    rows = marked_events(spark, d).where("m.valid").withColumn("old", F.lag("m").over(Window.partitionBy("athlete_id", "event").orderBy("date", "id"))).where("old IS NOT NULL")
     return rows.where((F.col("m.is_time") & (F.col("m.value") < F.col("old.value"))) | (~F.col("m.is_time") & (F.col("m.value") > F.col("old.value")))).select("id", format_improvement(F.col("m"), F.col("old")).alias("improvement"))
 
 
@@ -96,7 +96,7 @@ def facets(spark: SparkSession, d: str) -> DataFrame:
 
 def history_sorted(spark: SparkSession, d: str) -> DataFrame:
     """SRT-2, FIL-9: an athlete's personal records, best first."""
-    rows = history.history(history.milestones(perf_events(spark, d)), "mark", True, True)
+    rows = history.history(history.milestones(marked_events(spark, d)), "mark", True, True)
     place = F.row_number().over(Window.partitionBy("athlete_id").orderBy("k.invalid", "k.directed", "id"))
     return rows.select("id", "athlete_id", "mark", place.alias("place"))
 
@@ -167,7 +167,7 @@ def synced_anti(spark: SparkSession, d: str) -> DataFrame:
 
 def best_per_group(spark: SparkSession, d: str) -> DataFrame:
     """AGG-5, AGG-6."""
-    return scoring.best_per_group(perf_events(spark, d), "event", "season", "year", "athlete_id").select("event", "season", "year", "athlete_id", "id", "mark")
+    return scoring.best_per_group(marked_events(spark, d), "event", "season", "year", "athlete_id").select("event", "season", "year", "athlete_id", "id", "mark")
 
 
 def _quantities(spark: SparkSession, d: str) -> DataFrame:
@@ -189,18 +189,18 @@ def tie_points(spark: SparkSession, d: str) -> DataFrame:
 
 def championship(spark: SparkSession, d: str) -> DataFrame:
     """AGG-5, WIN-6, 7: ranks and points of a championship pool."""
-    scored = scoring.championship_points(perf_events(spark, d))
+    scored = scoring.championship_points(marked_events(spark, d))
     return scored.select("event", "season", "year", "athlete_id", "mark", "rank", F.round("points", 6).alias("points"))
 
 
 def team_scores(spark: SparkSession, d: str) -> DataFrame:
     """AGG-9, SRT-5: the standings in order."""
-    totals = scoring.team_scores(scoring.championship_scorers(perf_events(spark, d)), "season", "year")
+    totals = scoring.team_scores(scoring.championship_scorers(marked_events(spark, d)), "season", "year")
     return totals.select("season", "year", "team", F.round("total", 6).alias("total"), "n", F.transform("breakdown", lambda p: p["event"]).alias("events"))
 
 
 def _pool(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.best_per_group(perf_events(spark, d), "event", "season", "year", "athlete_id").withColumn("is_relay", F.lit(False))
+    return scoring.best_per_group(marked_events(spark, d), "event", "season", "year", "athlete_id").withColumn("is_relay", F.lit(False))
 
 
 def _relay_pool(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +214,7 @@ def _relay_pool(spark: SparkSession, d: str) -> DataFrame:
 
 def result_table(spark: SparkSession, d: str) -> DataFrame:
     """SRT-4, AGG-5."""
-    return scoring.result_table(perf_events(spark, d), "event", "season", "year").select("event", "season", "year", "athlete_id", "mark", "place")
+    return scoring.result_table(marked_events(spark, d), "event", "season", "year").select("event", "season", "year", "athlete_id", "mark", "place")
 
 
 def greedy_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -241,13 +241,13 @@ def missing_events(spark: SparkSession, d: str) -> DataFrame:
 
 def pr_pops(spark: SparkSession, d: str) -> DataFrame:
     """WIN-4, JOIN-8, 9, AGG-6, FIL-12."""
-    rows = pops.pr_pops(perf_events(spark, d))
+    rows = pops.pr_pops(marked_events(spark, d))
     return rows.select("id", "athlete_id", "event", "day", "mark", F.col("prev_best_day.mark").alias("prev_mark"), F.col("old_pr.mark").alias("old_pr"))
 
 
 def pop_summary(spark: SparkSession, d: str) -> DataFrame:
     """AGG-12, SRT-8."""
-    return pops.by_name(pops.pop_summary(pops.pr_pops(perf_events(spark, d)))).select("athlete_id", "athlete_name", "n", F.array_join(F.transform("pops", lambda p: F.concat_ws(" ", p["day"].cast("string"), p["event"], p["mark"])), "; ").alias("pops"))
+    return pops.by_name(pops.pop_summary(pops.pr_pops(marked_events(spark, d)))).select("athlete_id", "athlete_name", "n", F.array_join(F.transform("pops", lambda p: F.concat_ws(" ", p["day"].cast("string"), p["event"], p["mark"])), "; ").alias("pops"))
 
 
 def team_meets(spark: SparkSession, d: str) -> DataFrame:
@@ -262,19 +262,19 @@ def latest_meet(spark: SparkSession, d: str) -> DataFrame:
 
 def meet_pops(spark: SparkSession, d: str) -> DataFrame:
     """FIL-12, LIM-3: improvements at the latest meet of each team."""
-    rows = perf_events(spark, d)
+    rows = marked_events(spark, d)
     return pops.meet_pops(rows, pops.latest_meets(rows)).select("team", "meet_name", "athlete_id", "event", "mark", F.col("prev_best_day.mark").alias("prev_mark"), F.col("old_pr.mark").alias("old_pr"))
 
 
 def profile_stats(spark: SparkSession, d: str) -> DataFrame:
     """AGG-7, FIL-11."""
-    return history.profile(perf_events(spark, d)).select("athlete_id", "event", "best_mark", F.round("upper_median", 2).alias("upper_median"), F.round("sigma", 4).alias("sigma"), "n")
+    return history.profile(marked_events(spark, d)).select("athlete_id", "event", "best_mark", F.round("upper_median", 2).alias("upper_median"), F.round("sigma", 4).alias("sigma"), "n")
 
 
 def profile_series(spark: SparkSession, d: str) -> DataFrame:
     """AGG-8."""
     shown = F.array_join(F.transform("points", lambda p: F.concat_ws("=", F.date_format(p["date"], "yyyy-MM-dd HH:mm"), F.round(p["value"] * 100).cast("long").cast("string"))), ",")
-    return history.series(perf_events(spark, d)).select("athlete_id", "event", "year", shown.alias("series"))
+    return history.series(marked_events(spark, d)).select("athlete_id", "event", "year", shown.alias("series"))
 
 
 def _sheet(spark: SparkSession, d: str) -> DataFrame:
