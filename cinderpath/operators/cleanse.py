@@ -75,10 +75,19 @@ def resolve_date(web: Column, content: Column, file_name: Column, fix: Column, s
 
 
 def flatten_meets(meets: DataFrame, keep: tuple[str, ...] = ("stem", "season", "year")) -> DataFrame:
-    """GEN-1, PRJ-1, 2, 5, 6, FIL-5: parsed meets as flat performances with their ordinals; two explodes, no shuffle."""
+    """GEN-1, PRJ-1, 2, 5, 6, FIL-5: parsed meets as flat performances with their ordinals; two explodes, no shuffle.
+
+    An event's fields become columns before its results become rows, so a row of a result doesn't hold all the results of its event.
+    """
     keep = tuple(c for c in keep if c in meets.columns)
-    events = meets.select(*keep, "meet_name", "date", F.posexplode("events").alias("event_ord", "e"))
-    rows = events.select(*keep, "meet_name", "date", "event_ord", "e.event", "e.gender", F.coalesce("e.is_relay", F.lit(False)).alias("is_relay"), F.posexplode("e.results").alias("result_ord", "r"))
+    numbered = F.transform("events", lambda e, i: F.struct(i.alias("event_ord"), *[e[c].alias(c) for c in ("event", "gender", "is_relay", "results")]))
+    events = meets.select(*keep, "meet_name", "date", F.inline(numbered))
+    return flatten_results(events.select(*keep, "meet_name", "date", "event_ord", "event", "gender", "is_relay", F.posexplode("results").alias("result_ord", "r")), keep)
+
+
+def flatten_results(results: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``flatten_meets`` of results that are rows already: meet_name, date, event_ord, event, gender, is_relay, result_ord, r."""
+    rows = results.withColumn("is_relay", F.coalesce("is_relay", F.lit(False)))
     name = F.when(F.col("is_relay") & (F.size(F.coalesce("r.athletes", F.array())) > 0), F.array_join("r.athletes", ", ")).when(F.col("is_relay"), F.concat("r.school", F.lit(" Relay"))).otherwise(F.col("r.athlete"))
     kind = F.lower(F.coalesce("r.type", F.lit("")))
     hour = F.when(F.contains(kind, F.lit("prelim")), "T09:00:00").when(F.contains(kind, F.lit("final")), "T15:00:00").otherwise("T12:00:00")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import LINE_END, block_number, normalise_event
+from .ranking import looked_up
 
 #: Result codes that stand for a mark, and patterns of the reports.
 CODES = ("DQ", "FOUL", "NH", "NM", "DNS", "DNF", "SCR")
@@ -23,7 +24,7 @@ RESULT = "struct<athlete:string,school:string,result:string,type:string,athletes
 
 def meet_name(files: DataFrame) -> DataFrame:
     """PAR-2: the first of the first 30 lines without date, rule or licence note and longer than five characters."""
-    lines = files.select("file", F.posexplode(F.split("text", LINE_END)).alias("pos", "line")).where("pos < 30")
+    lines = files.select("file", F.posexplode(F.split("text", LINE_END, 31)).alias("pos", "line")).where("pos < 30")
     dated = F.col("line").rlike(r"\d{1,2}/\d{1,2}/\d{2,4}|[A-Za-z]+\s+\d{1,2},?\s+\d{4}")
     clean = lines.where(~dated & ~F.contains("line", F.lit("===")) & ~F.contains("line", F.lit("Licensed to")) & (F.length(F.trim("line")) > 5))
     return clean.groupBy("file").agg(F.trim(F.min_by("line", "pos")).alias("meet_name"))
@@ -31,7 +32,7 @@ def meet_name(files: DataFrame) -> DataFrame:
 
 def meet_date(files: DataFrame) -> DataFrame:
     """PAR-3: of the dates in the first 30 lines outside record lines, one of a line about the meet first, then the earliest."""
-    lines = files.select("file", F.posexplode(F.split("text", LINE_END)).alias("pos", "line")).where("pos < 30")
+    lines = files.select("file", F.posexplode(F.split("text", LINE_END, 31)).alias("pos", "line")).where("pos < 30")
     low = F.lower("line")
     lines = lines.where(~low.rlike("record:|r  |ht:")).withColumn("priority", F.when(low.rlike("meet|results|wk"), 0).otherwise(1))
     slashed = F.transform(F.expr(r"regexp_extract_all(line, '(\\d{1,2}/\\d{1,2}/\\d{2,4})', 1)"), lambda d: _slashed(d))
@@ -181,10 +182,25 @@ def results(files: DataFrame) -> DataFrame:
     return found.withColumnRenamed("anchor_type", "type")
 
 
+def _heads(files: DataFrame) -> DataFrame:
+    return files.select("file").join(meet_name(files), "file", "left").join(meet_date(files), "file", "left")
+
+
+def _result() -> Column:
+    empty = lambda c: F.when(F.size(c) > 0, F.col(c))
+    return F.struct("athlete", "school", "result", "type", F.when(F.col("is_relay"), F.col("athletes")).alias("athletes"), empty("splits").alias("splits"), empty("warnings").alias("warnings")).cast(RESULT).alias("r")
+
+
+def dated_results(files: DataFrame) -> DataFrame:
+    """file, meet_name, date, event_ord, event, gender, is_relay, result_ord, r: the results of ``meets`` as rows, without a document that
+    holds all of a file. ``event_ord`` is in the order of the events, with gaps where blocks have no results."""
+    found = results(files).select("file", F.col("block").alias("event_ord"), "event", "gender", "is_relay", (F.col("result_ord") - 1).alias("result_ord"), _result())
+    return looked_up(found, _heads(files), ["file"])
+
+
 def meets(files: DataFrame) -> DataFrame:
     """file, meet_name, date, events: the parsed-meet document of each file (file, text)."""
-    empty = lambda c: F.when(F.size(c) > 0, F.col(c))
-    one = F.struct("result_ord", F.struct("athlete", "school", "result", "type", F.when(F.col("is_relay"), F.col("athletes")).alias("athletes"), empty("splits").alias("splits"), empty("warnings").alias("warnings")).cast(RESULT).alias("r"))
+    one = F.struct("result_ord", _result())
     events = results(files).groupBy("file", "block", "event", "gender", "is_relay").agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["r"]).alias("results"))
     listed = events.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "event", "gender", "is_relay", "results"))), lambda e: F.struct(e["event"].alias("event"), e["gender"].alias("gender"), e["is_relay"].alias("is_relay"), e["results"].alias("results"))).alias("events"))
-    return files.select("file").join(meet_name(files), "file", "left").join(meet_date(files), "file", "left").join(listed, "file", "left")
+    return _heads(files).join(listed, "file", "left")

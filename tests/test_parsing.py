@@ -1,5 +1,9 @@
+import re
+
+from pyspark.sql import functions as F
+
 from cinderpath.operators import audit, entry_sheet, list_parser, report_parser
-from cinderpath.operators.cleanse import flatten_meets
+from cinderpath.operators.cleanse import flatten_meets, flatten_results
 from cinderpath.sources import pages
 
 RULE = "=" * 71
@@ -72,3 +76,18 @@ def test_pages(spark):
     bio = '<meta name="favTitle" content="TF - Al Example"><div class="card"><div class="card-header"><h5>2026 Indoor North</h5></div><div class="card-block"><table><tr><td><h5>55 Meter</h5></td></tr><tr result-id="1"><td>1</td><td>-</td><td>6.79 PR</td><td>Dec 20</td><td>Meet A</td></tr></table></div></div>'
     row = pages.bio_results(spark.createDataFrame([("f", bio)], "file string, html string")).first()
     assert (row.athlete_name, row.season, row.event, row.mark, row.is_pr, row.is_sb, row.meet_name) == ("Al Example", "2026 Indoor", "55 Meter", "6.79", True, False, "Meet A")
+
+
+def test_rows_of_results_do_not_hold_their_event(spark):
+    """Results become rows without the list that they come from, and rows that skip the document are the document's."""
+    meets = spark.createDataFrame([("m", "Hall", "2025-01-10", [("55 Meter Dash", "Girls", None, [("Al", "North", "7.0", "Finals", None, ["1.0"], None)] * 3), ("Relay", "Boys", True, None)])], f"stem string, meet_name string, date string, events array<struct<event:string,gender:string,is_relay:boolean,results:array<{report_parser.RESULT}>>>")
+    flat = flatten_meets(meets)
+    plan = flat._jdf.queryExecution().executedPlan().toString()
+    kept = re.findall(r"Generate posexplode\([^)]*\), \[(.*?)\], false", plan)
+    assert kept and not [c for k in kept for c in k.split(", ") if c.split("#")[0] in ("e", "events", "results")], plan
+    assert [(r.event_ord, r.result_ord, r.event, r.is_relay, r.athlete_name, r.splits) for r in flat.orderBy("result_ord").collect()] == [(0, i, "Girls 55 Meter Dash", False, "Al", '["1.0"]') for i in range(3)]
+    files = spark.createDataFrame([("m1", REPORT), ("m2", REPORT.replace("2/8/2025", "2/9/2025")), ("empty", "")], "file string, text string")
+    columns = ["file", "event_ord", "result_ord", "event", "is_relay", "athlete_name", "team", "mark", "date", "splits"]
+    of_documents = flatten_meets(report_parser.meets(files), ("file",)).select(columns).withColumn("event_ord", F.col("event_ord") + 1)
+    of_rows = flatten_results(report_parser.dated_results(files), ("file",)).select(columns)
+    assert sorted(map(str, of_rows.collect())) == sorted(map(str, of_documents.collect())) and of_rows.count() == 10
