@@ -46,7 +46,7 @@ def reach(seeds: DataFrame, links: DataFrame, key: list[str], carry: dict[str, C
     told = [F.col(f"_told.{c}").alias(c) for c in names]
     found, number = seeds.groupBy(*key, "url").agg(least).select(*key, "url", *told), 0
     schema = seeds.select(*key, "url", *names).schema
-    links = stored(links, "links")
+    links = stored(links.distinct(), "links")  # pages that are linked often would multiply each way to them
     while True:
         found.write.parquet(f"{path}/round={number}")
         last = spark.read.schema(schema).parquet(f"{path}/round={number}")
@@ -78,14 +78,19 @@ def crawl(start: DataFrame, links: DataFrame) -> DataFrame:
 
 def archived(reached: DataFrame, links: DataFrame) -> DataFrame:
     """SRC-4: url, year: the files that the pages of a crawl link to, each filed under the least of the years that name it in the earliest round."""
-    rows = reached.join(links.where("NOT is_frame"), F.col("url") == F.col("page"))
+    rows = reached.join(links.where("NOT is_frame").select("page", "link").distinct(), F.col("url") == F.col("page"))
     named = F.lower("link").rlike(ARCHIVED) & (F.col("link").rlike(FILED) | (F.col("depth") > 0))
     return rows.where(named).groupBy(F.col("link").alias("url")).agg(F.min(F.struct("round", "year")).alias("f")).select("url", "f.year")
 
 
 def meet_links(indexes: DataFrame, links: DataFrame) -> DataFrame:
-    """SRC-2: index, link: the result pages that index pages (url) link to, themselves or in frames at any depth."""
-    seeds = indexes.select(F.col("url").alias("index"), "url").distinct()
-    reached = reach(seeds, links.where("is_frame"), ["index"], {})
-    found = reached.join(links.where("NOT is_frame"), F.col("url") == F.col("page")).where(F.col("link").rlike(r"\.html?$") & F.col("link").rlike(RESULT_LINK))
-    return found.select("index", "link").distinct()
+    """SRC-2: index, link: the result pages that index pages (url) link to, themselves or in frames at any depth.
+
+    Result pages are handed up from the pages that link to them over the frames that show these, so a round holds pairs of the result
+    only. Handed down, every index would be followed over all frames below it, which many pages share.
+    """
+    named = links.where("NOT is_frame").where(F.col("link").rlike(r"\.html?$") & F.col("link").rlike(RESULT_LINK))
+    seeds = named.select(F.col("link").alias("target"), F.col("page").alias("url")).distinct()
+    upwards = links.where("is_frame").select(F.col("link").alias("page"), F.col("page").alias("link"))
+    found = reach(seeds, upwards, ["target"], {})
+    return found.join(indexes.select("url").distinct(), "url", "left_semi").select(F.col("url").alias("index"), F.col("target").alias("link"))

@@ -95,3 +95,16 @@ def test_crawl_is_linear_in_links(spark):
                 queue.append(link)
     found = crawl.crawl(spark.createDataFrame([("p1", "2026")], "url string, year string"), links).collect()
     assert len(found) == len(far) and {r.url: r.round for r in found} == far and all(r.depth == r.round for r in found)
+
+
+def test_meet_links_hold_no_more_than_their_result(spark, monkeypatch):
+    """Forty indexes show a chain of frames that ends in a loop; links stand many times. Rounds hold pages with the results that they reach, not all pages below pages."""
+    frames = [(f"i{i}", "p0") for i in range(40)] * 3 + [(f"p{i}", f"p{i + 1}") for i in range(20)] + [("p20", "p18"), ("i0", "i0"), ("i1", "gone"), (None, "p0"), ("p3", None)]
+    results = [("p20", "/results/a.htm"), ("p20", "/results/a.htm"), ("i7", "/pvc/b.html"), ("i7", "/other.htm"), ("i8", None)]
+    links = spark.createDataFrame([(p, q, "", True) for p, q in frames] + [(p, q, "", False) for p, q in results], "page string, link string, text string, is_frame boolean")
+    indexes = spark.createDataFrame([(f"i{i}",) for i in range(40)] * 2 + [("p19",), ("lone",), (None,)], "url string")
+    held, reach = [], crawl.reach
+    monkeypatch.setattr(crawl, "reach", lambda *a: held.append(reach(*a)) or held[-1])
+    found = sorted((r["index"], r.link) for r in crawl.meet_links(indexes, links).collect())
+    assert found == sorted([(f"i{i}", "/results/a.htm") for i in range(40)] + [("p19", "/results/a.htm"), ("i7", "/pvc/b.html")])
+    assert held[0].count() <= 40 + 21 + 1 + 1
