@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ranking import looked_up
+from ..operators.ranking import indexed, looked_up
+from ..tables import narrow
 
 
 def looked_up_first(rows: DataFrame, value: str, entries: DataFrame, name: str, how: str = "equal") -> DataFrame:
@@ -18,8 +19,12 @@ def looked_up_first(rows: DataFrame, value: str, entries: DataFrame, name: str,
 
     entries: ord, key, full; of equal ord the lesser ``full``. ``how``: equal, prefix (an empty key fits everything) or contains. Only
     the different lengths of keys come to the driver, so one number for each length up to the longest key's.
+
+    Keys are numbered in the order of their entries. The least number of a value is kept by hash, so the many keys that fit it are never
+    sorted; the text of an entry is looked up once for each value.
     """
-    keys = entries.where("key IS NOT NULL").groupBy(F.lower("key").alias("_key")).agg(F.min(F.struct("ord", "full")).alias("_entry"))
+    keys = entries.where("key IS NOT NULL").groupBy(F.lower("key").alias("_key")).agg(F.min(F.struct("ord", "full")).alias("_entry")).select("_key", "_entry.ord", "_entry.full")
+    keys = indexed(keys, [], ["ord", "full"], "_n", "lookup-keys")
     values = rows.select(F.col(value).alias("_value")).where("_value IS NOT NULL").distinct()
     low = F.lower("_value")
     if how == "equal":
@@ -30,7 +35,8 @@ def looked_up_first(rows: DataFrame, value: str, entries: DataFrame, name: str,
         prefixes = F.transform(fitting, lambda n: F.substring(low, F.lit(1), n))
         parts = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, n))))
         met = values.select("_value", F.explode(prefixes if how == "prefix" else F.array_distinct(parts)).alias("_key"))
-    first = met.join(keys, "_key").groupBy("_value").agg(F.min("_entry").alias("_entry")).select(F.col("_value").alias(value), F.col("_entry.full").alias(name))
+    first = met.join(narrow(keys.select("_key", "_n")), "_key").groupBy("_value").agg(F.min("_n").alias("_n"))
+    first = first.join(keys.select("_n", "full"), "_n").select(F.col("_value").alias(value), F.col("full").alias(name))
     return looked_up(rows, first, [value])
 
 

@@ -101,3 +101,19 @@ def test_dates_in_names(spark):
     cases = [("results7feb2025", "2025-02-07"), ("x-2-7-2025", "2025-02-07"), ("x_12_30_2024", "2024-12-30"), ("7xyz2025", None), ("none", None), (None, None)]
     found = spark.createDataFrame(cases, "name string, want string").select(date_in_name(F.col("name")).alias("d"), "want").collect()
     assert [r.d for r in found] == [r.want for r in found]
+
+
+def test_many_fitting_keys_are_not_sorted(spark):
+    """Every prefix of a value is a key: the first entry is kept by hash, without a sort of all that fits. Equal ords, null ords and null texts as before."""
+    from cinderpath.functions.lookups import looked_up_first
+
+    texts = [f"{'abcdefgh' * 4}{i}" for i in range(20)] + ["", None, "zz"]
+    entries = [((n * 7) % 5 if n % 6 else None, t[:n].upper(), None if n == 12 else f"e{n % 3}") for t in texts[:3] for n in range(1, 35)] + [(9, None, "never"), (3, "Z", "z")]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = looked_up_first(rows, "t", spark.createDataFrame(entries, "ord int, key string, full string"), "found", "prefix")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[_value" in plan and "SortAggregate(key=[_value" not in plan, plan
+    low = lambda o, k, f: (o is not None, o or 0, f is not None, f or "")
+    for r in found.collect():
+        fit = [e for e in entries if e[1] is not None and r.t is not None and r.t.lower().startswith(e[1].lower())]
+        assert r.found == (min(fit, key=lambda e: low(*e))[2] if fit else None), r
