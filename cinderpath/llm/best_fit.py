@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import documents, id_and_text, written
 
 CACHE = 600_000
+#: Parts of words that are encoded as one text.
+JOINED = 256
 _MARKS = b".,;:!?"
 #: Letters of ASCII and Latin-1, as UTF-8.
 _LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
@@ -56,6 +58,10 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
+        suffix, vocabulary = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     @staticmethod
     def words(text: bytes) -> list[bytes]:
@@ -80,13 +86,24 @@ class WordEncoder:
         for w, got in zip(whole, self.encoded(whole), strict=True):
             known[w] = struct.pack(f"<{len(got.ids)}I", *got.ids)
         fresh = [*parts]
-        for part, got in zip(fresh, self.encoded(fresh), strict=True):
-            cores[part] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+        cores.update(zip(fresh, self.encoded_parts(fresh), strict=True))
         known.update((w, cores[core] + cores[marks] if marks else cores[core]) for w, core, marks in split)
 
     def encoded(self, texts: list[bytes]) -> list:
         return self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
 
+    def encoded_parts(self, parts: list[bytes]) -> Iterator[bytes]:
+        """The ids of parts that are one word each. Many are encoded as one text and cut behind the ids that end a word; where these are not one
+        for each part, as in a vocabulary that doesn't mark them, each part is encoded by itself."""
+        for at in range(0, len(parts), JOINED):
+            some = parts[at : at + JOINED]
+            ids = np.array(self.encoded([b" ".join(some)])[0].ids if self.ends.any() else [], "<u4")
+            cuts, raw = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
+            if len(cuts) == len(some) and cuts[-1] == len(raw):
+                yield from (raw[a:z] for a, z in zip((0, *cuts), cuts))
+            else:
+                yield from (struct.pack(f"<{len(got.ids)}I", *got.ids) for got in self.encoded(some))
+
     def encode_batch(self, texts: list[bytes]) -> Iterator[bytes]:
         known = self.known
         for at in range(0, len(texts), 256):
