@@ -39,3 +39,15 @@ def test_zero_is_a_choice(spark):
     rows = marks.select("i", parse_mark(F.col("mark")).alias("m"), parse_mark(F.col("mark"), zero=True).alias("z")).orderBy("i").collect()
     assert [r.m.valid for r in rows] == [False] * 6 + [True] and [r.z.valid for r in rows] == [True, True, False, False, False, False, True]
     assert [r.i for r in with_marks(with_marks(marks, zero=True)).where("m.valid").orderBy("i").collect()] == [0, 1, 6]
+
+
+def test_zero_is_the_best_before_a_latest_meet(spark, tmp_path):
+    """A view of 4.00 at the latest meet doesn't improve on 0.00, and a view of 0.00 improves on 3.00."""
+    rows = [(1, 1, 1, 5.0), (2, 2, 1, 0.0), (3, 3, 1, 4.0), (4, 1, 13, 3.0), (5, 3, 13, 0.0)]
+    spark.createDataFrame([(i, dt.datetime(2024, 1, day, 12, i), user, "view", value, "{}") for i, day, user, value in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got, want = entry.queries()["meet_pops"](spark, str(tmp_path)), db.sql(entry.oracle_sql()["meet_pops"])
+    columns = sorted(got.columns)
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(want.select(*columns).fetchall())
+    assert [(r.athlete_id, r.mark) for r in got.collect()] == [(13, "0.00")]
