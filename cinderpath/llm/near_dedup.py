@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, id_and_text, sized, written
+from .common import discard, documents, id_and_text, sized, unbroadcast, written
 
 HALVES, WIDTH, SHINGLE = 14, 3, 2
 CACHE = 1_000_000
@@ -187,7 +187,7 @@ def across_components(rows: DataFrame, sets: DataFrame, own: DataFrame, percent:
     x = full.where("component <> main").select("pivot", *[F.col(c).alias(c + "_x") for c in columns])
     y = full.select("pivot", *[F.col(c).alias(c + "_y") for c in columns])
     shared = "(aggregate(zip_with(bits_x, bits_y, (p, q) -> CAST(bit_count(p & q) AS BIGINT)), 0L, (s, v) -> s + v) + least(free_x, free_y))"
-    met = x.join(y, "pivot").where(f"component_x <> component_y AND least_x <= most_y AND least_y <= most_x AND {100 + percent} * {shared} >= {percent} * (n_x + n_y)")
+    met = unbroadcast(x).join(unbroadcast(y), "pivot").where(f"component_x <> component_y AND least_x <= most_y AND least_y <= most_x AND {100 + percent} * {shared} >= {percent} * (n_x + n_y)")
     return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
@@ -266,7 +266,7 @@ def near_groups(docs: DataFrame, percent: int = 80, halves: int = HALVES, width:
     )
     keys = classes.select(F.explode(keys_of(halves)).alias("key"), "id")
     shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    members = written(keys.join(shared, "key"), "buckets")
+    members = written(unbroadcast(keys).join(shared, "key"), "buckets")
     sets = written(shingle_sets(docs, members.select("id").distinct(), size), "shingle-sets")
     sizes = classes.select("id", "n")
     stars = members.where("id > hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
