@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.marks import with_marks
 from ..functions.text import first_match
-from ..tables import stored
-from .components import components
+from ..tables import narrow, stored
+from .components import NODES, components
 from .ranking import indexed, looked_up
 
 #: Points for places 1 to 6.
@@ -99,16 +100,33 @@ def team_scores(scored: DataFrame, *by: str) -> DataFrame:
     return totals.orderBy(*by, F.desc("total"), F.asc_nulls_last("team"))
 
 
-def _select(actions: pd.DataFrame, limit: int) -> pd.Series:
-    used: dict[str, int] = defaultdict(int)
-    taken = []
-    for names in actions["names"]:
-        fits = all(used[n] < limit for n in names)
-        if fits:
-            for n in names:
-                used[n] += 1
-        taken.append(fits)
-    return pd.Series(taken, actions.index, dtype=bool)
+#: Entries whose names are Python numbers at once.
+TURNS = 100_000
+ORDER = [("potential", "descending"), ("rank", "ascending"), ("is_relay", "ascending"), ("event", "ascending"), ("id", "ascending")]
+
+
+def _select(entries: pa.Table, limit: int) -> pa.Table:
+    """_row of the entries of a component that fit, taken one by one. Names are numbers in a list of distinct ones, so that a component may hold millions."""
+    order = pc.sort_indices(entries.select([c for c, _ in ORDER]), ORDER).to_numpy()
+    names = entries["names"].combine_chunks()
+    sizes = pc.list_value_length(names).to_numpy().astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    known = names.flatten().dictionary_encode()
+    number = known.indices.to_numpy()
+    used, taken = [0] * len(known.dictionary), np.zeros(len(order), bool)
+    for at in range(0, len(order), TURNS):
+        some = order[at : at + TURNS]
+        size = sizes[some]
+        ends = np.cumsum(size)
+        mine = number[np.repeat(starts[some] - ends + size, size) + np.arange(size.sum())].tolist()
+        start = 0
+        for k, end in zip(some.tolist(), ends.tolist(), strict=True):
+            who, start = mine[start:end], end
+            if all(used[n] < limit for n in who):
+                for n in who:
+                    used[n] += 1
+                taken[k] = True
+    return pa.table({"_row": entries["_row"].filter(pa.array(taken))})
 
 
 def _entered() -> Column:
@@ -132,23 +150,20 @@ def greedy_selection(pool: DataFrame, limit: int = LIMIT) -> DataFrame:
         "year", "season", "id", "event", "team", "athlete_id", "athlete_name", "mark", "directed", F.coalesce(F.col("is_relay"), F.lit(False)).alias("is_relay"),
         place_points(F.col("rank")).alias("potential"), "rank",
     )
-    named = stored(actions.withColumn("names", _entered()), "entries")
+    named = stored(actions.withColumns({"names": _entered(), "_row": F.monotonically_increasing_id()}), "entries")
     members = named.where("is_relay").select("year", "season", "id", "names", F.explode("names").alias("name"))
     if members.isEmpty():
         return _own_turns(named, limit).select(actions.columns)
     person = lambda name: F.struct("year", "season", name.alias("name"))
     joined = components(members.select(person(F.get("names", F.lit(0))).alias("a"), person(F.col("name")).alias("b")))
-    joined = joined.select("node.year", "node.season", "node.name", F.col("component.name").alias("component"))
+    joined = narrow(joined.select("node.year", "node.season", "node.name", F.col("component.name").alias("component")), NODES)
     # a relay has the component of its first member, an athlete the one of the name
-    told = looked_up(named.withColumn("name", F.get("names", F.lit(0))), joined, ["year", "season", "name"])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["potential", "rank", "is_relay", "event", "id"], ascending=[False, True, True, True, True], kind="stable")
-        return group[_select(group, limit)].drop(columns=["names", "component"])
-
-    coupled = told.where("component IS NOT NULL").select(*actions.columns, "names", "component").groupBy("year", "season", "component").applyInPandas(run, actions.schema)
+    told = stored(looked_up(named.withColumn("name", F.get("names", F.lit(0))), joined, ["year", "season", "name"]), "entries-by-component")
+    coupled = told.where("component IS NOT NULL").select("year", "season", "component", "_row", "names", *[c for c, _ in ORDER])
+    # Python gets what the choice needs; the rows themselves don't go there
+    taken = stored(coupled.groupBy("year", "season", "component").applyInArrow(lambda group: _select(group, limit), "_row long"), "taken")
     apart = told.where("component IS NULL")
-    return _own_turns(apart, limit).select(actions.columns).unionByName(coupled)
+    return _own_turns(apart, limit).select(actions.columns).unionByName(told.join(narrow(taken), "_row", "left_semi").select(actions.columns))
 
 
 def _own_turns(entries: DataFrame, limit: int) -> DataFrame:
