@@ -204,3 +204,10 @@ def meets(files: DataFrame) -> DataFrame:
     events = results(files).groupBy("file", "block", "event", "gender", "is_relay").agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["r"]).alias("results"))
     listed = events.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "event", "gender", "is_relay", "results"))), lambda e: F.struct(e["event"].alias("event"), e["gender"].alias("gender"), e["is_relay"].alias("is_relay"), e["results"].alias("results"))).alias("events"))
     return _heads(files).join(listed, "file", "left")
+
+
+def counted_meets(files: DataFrame) -> DataFrame:
+    """file, meet_name, date, events, results: the numbers of events and results of the documents of ``meets``, counted on the results as rows; null where there are none."""
+    blocks = results(files).groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    numbers = blocks.groupBy("file").agg(F.count(F.lit(1)).alias("events"), F.sum("n").alias("results"))
+    return _heads(files).join(numbers, "file", "left")
