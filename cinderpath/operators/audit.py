@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cleanse import date_in_season
@@ -42,6 +42,16 @@ def warnings_report(meets: DataFrame, n: int = 20) -> DataFrame:
     return found.select("file", "event_ord", "result_ord", "event", F.explode("r.warnings").alias("warning")).orderBy("file", "event_ord", "result_ord", "warning").limit(n)
 
 
+def first_warnings(results: DataFrame, n: int = 20) -> DataFrame:
+    """SNK-5, LIM-2: ``warnings_report`` of the results as rows (``report_parser.results``), without a document that holds all of a file.
+
+    Events count from 0 in the order of the blocks that have results.
+    """
+    found = results.select("file", "block", (F.col("result_ord") - 1).cast("int").alias("result_ord"), "event", "warnings")
+    found = found.withColumn("event_ord", F.dense_rank().over(Window.partitionBy("file").orderBy("block")) - 1)
+    return found.select("file", "event_ord", "result_ord", "event", F.explode("warnings").alias("warning")).orderBy("file", "event_ord", "result_ord", "warning").limit(n)
+
+
 def first_results(meets: DataFrame, n: int = 3) -> DataFrame:
     """LIM-2: the first n results of each event, as a preview of a parsed meet; cut in the row."""
     events = meets.select("file", F.posexplode("events").alias("event_ord", "e"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from cinderpath.operators import report_parser
+from cinderpath.operators import audit, report_parser
 from cinderpath.plans import report_queries
 
 SF = "/root/testdata/sf0.001"
@@ -26,9 +26,11 @@ def test_rows_tell_what_documents_tell(spark):
     wanted = {(r["file"], r["meet_name"], r["date"], size(r["events"], len), size(r["events"], lambda v: sum(len(e["results"]) for e in v))) for r in meets.collect()}
     assert {tuple(r[c] for c in ("file", "meet_name", "date", "events", "results")) for r in report_parser.counted_meets(files).collect()} == wanted
     assert len(wanted) == 4 and ("no-events", "Example Field House, Town", "2024-01-02", None, None) in wanted
+    found, old = audit.first_warnings(report_parser.results(files), 1000), audit.warnings_report(meets, 1000)
+    assert found.columns == old.columns and [tuple(r) for r in found.collect()] == [tuple(r) for r in old.collect()] and found.count() > 2
 
 
-@pytest.mark.parametrize("query", [report_queries.report_meets])
+@pytest.mark.parametrize("query", [report_queries.report_meets, report_queries.report_warnings])
 def test_no_task_holds_the_results_of_a_file(spark, query):
     """Lists of all results were collected for each block and again for each file."""
     plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
